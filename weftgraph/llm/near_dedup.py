@@ -84,70 +84,130 @@ def signatures(documents: DataFrame, size: int = 5) -> DataFrame:
     )
 
 
-def _nodes(reps: DataFrame, trees: int, branches: int, depth: int, node_limit: int) -> DataFrame:
-    """``(node, rep, h1)``: the small nodes with at least two members, and blocks of the large ones at the last level."""
+def _blocks(rows: DataFrame, mine: str, other: str, node_limit: int) -> tuple:
+    """Own block and the blocks to meet, of a row whose side has ``mine`` members and meets ``other`` members."""
+    k, m = (F.greatest(F.lit(1), F.ceil(F.col(c) / node_limit)).cast("int") for c in (mine, other))
+    return F.pmod(F.xxhash64("rep", "h1"), k).cast("int"), F.explode(F.sequence(F.lit(0), m - 1))
+
+
+def _led(large: DataFrame, sets: DataFrame, percent: int, node_limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compare every member of each large node with one leader: links, nodes of doubtful members, and members not linked.
+
+    Members linked with the leader are joined by it. With distance 1 - similarity, which is a metric, a member
+    at more than twice the threshold's distance from the leader can't be near one that is within it. So only members
+    between the two must still meet the linked ones, block by block; and all that are not linked stay in the node.
+    """
+    leaders = large.groupBy("node").agg(F.min_by(F.struct("rep", "h1"), F.xxhash64("node", "rep", "h1")).alias("l"))
+    leaders = leaders.select("node", "l.rep", "l.h1").join(sets, ["rep", "h1"]).select("node", F.col("rep").alias("leader"), F.col("set").alias("leader_set"))
+    met = large.select("node", "rep", "h1").join(sets, ["rep", "h1"]).join(leaders, "node")
+    common = F.size(F.array_intersect("set", "leader_set"))
+    met = met.select("node", "rep", "h1", "leader", (100 * common).alias("c"), (F.size("set") + F.size("leader_set") - common).alias("u"))
+    linked, doubtful = F.col("c") >= percent * F.col("u"), F.col("c") >= (2 * percent - 100) * F.col("u")
+    met = cut(met.select("node", "rep", "h1", "leader", F.when(linked, 0).when(doubtful, 1).otherwise(2).alias("far")), "led")
+    links = met.where("far = 0 and rep <> leader").select(F.col("rep").alias("src"), F.col("leader").alias("dst"))
+    sizes = met.groupBy("node").agg(F.count_if(F.col("far") == 0).alias("n0"), F.count_if(F.col("far") == 1).alias("n1")).where("n1 > 0")
+    both = met.where("far < 2").join(sizes, "node")
+    parts = []
+    for far, mine, other in ((0, "n0", "n1"), (1, "n1", "n0")):
+        own, meets = _blocks(both, mine, other, node_limit)
+        rows = both.where(F.col("far") == far).select("node", "rep", "h1", own.alias("own"), meets.alias("meets"))
+        pair = ("own", "meets") if far == 0 else ("meets", "own")
+        parts.append(rows.select(F.xxhash64("node", F.lit("doubt"), *pair).alias("node"), "rep", "h1", F.lit(1 - far).alias("side")))
+    return links, parts[0].unionByName(parts[1]), met.where("far > 0").select("node", "rep", "h1")
+
+
+def _nodes(reps: DataFrame, fetch, percent: int, trees: int, branches: int, depth: int, node_limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """``(node, rep, h1, side)`` of nodes to compare, with members of side 1 joined already; and links found on the way."""
     level = reps.select(F.posexplode(F.slice("sketch", 1, trees)).alias("t", "v"), "rep", "h1").select(
         F.xxhash64("t", "v").alias("node"), "rep", "h1"
     )
-    done = None
+    done = links = sets = None
     for d in range(depth + 1):
         size = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sized = cut(level.join(size, "node"), "nodes")
-        small = sized.where(F.col("n") <= node_limit).select("node", "rep", "h1")
+        small = sized.where(F.col("n") <= node_limit).select("node", "rep", "h1", F.lit(0).alias("side"))
         done = small if done is None else done.unionByName(small)
         large = sized.where(F.col("n") > node_limit)
         if large.isEmpty():
-            return done
-        if d < depth:
-            picks = F.explode(F.array(*[F.lit(b) for b in range(branches)]))
-            level = (
-                large.join(reps.select("rep", "h1", "sketch"), ["rep", "h1"])
-                .select("node", "rep", "h1", "sketch", picks.alias("b"))
-                .withColumn("i", F.pmod(F.xxhash64("node", "b"), F.lit(SKETCH)).cast("int"))
-                .select(F.xxhash64("node", "b", F.get("sketch", F.col("i"))).alias("node"), "rep", "h1")
-                .distinct()
-            )
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / node_limit)).cast("int")
-    rows = large.select("node", "rep", "h1", blocks.alias("k"), F.pmod(F.xxhash64("rep", "h1"), blocks).cast("int").alias("x"))
-    rows = rows.select("node", "rep", "h1", "x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("y"))
-    return done.unionByName(rows.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y")).alias("node"), "rep", "h1"))
+            return done, links
+        if d == depth:
+            break
+        if sets is None:  # later levels' members are among these
+            sets = cut(fetch(large.select("rep", "h1").distinct()), "sets")
+        found, doubts, rest = _led(large, sets, percent, node_limit)
+        links = found if links is None else links.unionByName(found)
+        done = done.unionByName(doubts)
+        rest = rest.join(rest.groupBy("node").agg(F.count("*").alias("n")), "node")
+        picks = F.explode(F.array(*[F.lit(b) for b in range(branches)]))
+        split = (
+            rest.where(F.col("n") > node_limit)
+            .join(reps.select("rep", "h1", "sketch"), ["rep", "h1"])
+            .select("node", "rep", "h1", "sketch", picks.alias("b"))
+            .withColumn("i", F.pmod(F.xxhash64("node", "b"), F.lit(SKETCH)).cast("int"))
+            .select(F.xxhash64("node", "b", F.get("sketch", F.col("i"))).alias("node"), "rep", "h1")
+        )
+        level = rest.where(F.col("n") <= node_limit).select("node", "rep", "h1").unionByName(split)
+    blocks, meets = _blocks(large, "n", "n", node_limit)
+    rows = large.select("node", "rep", "h1", blocks.alias("x"), meets.alias("y"))
+    rows = rows.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y")).alias("node"), "rep", "h1", F.lit(0).alias("side"))
+    return done.unionByName(rows), links
+
+
+def _set_fetcher(size: int):
+    """Sets of documents whose set has the given hash."""
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, at in tk.blocks(batch.column(1), 1 << 20):
+                hashes, offsets = tk.shingle_sets(data, at, _TABLE, size)
+                wanted = batch.column(2).slice(i, j - i)
+                good = pa.array(_set_hashes(hashes, offsets)[0] == wanted.to_numpy(zero_copy_only=False))
+                sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), wanted, sets], ["rep", "h1", "set"]).filter(good)
+
+    return fetch
 
 
 def _fetcher(size: int):
     """Sets of the documents that some node holds, one row for each node."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "rep", "set"]
+        names = ["node", "rep", "side", "set"]
+
+        def rows(own: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*own, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names)
+
         for batch in batches:
             for i, j, data, at in tk.blocks(batch.column(1), 1 << 20):
                 hashes, offsets = tk.shingle_sets(data, at, _TABLE, size)
                 seen = _set_hashes(hashes, offsets)[0]
                 ids, wanted = batch.column(0).slice(i, j - i).to_pylist(), batch.column(2).slice(i, j - i).to_pylist()
-                node, rep, sets, held = [], [], [], 0
+                out, held = [], 0
                 for d, at_nodes in enumerate(batch.column(3).slice(i, j - i).to_pylist()):
                     if int(seen[d]) != wanted[d]:
                         continue
                     own = hashes[offsets[d] : offsets[d + 1]].tobytes()
                     for x in at_nodes:
-                        node.append(x)
-                        rep.append(ids[d])
-                        sets.append(own)
+                        out.append((x["node"], ids[d], x["side"], own))
                         held += len(own)
                         if held > 8 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(rep, pa.int64()), pa.array(sets, pa.binary())], names)
-                            node, rep, sets, held = [], [], [], 0
-                if node:
-                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(rep, pa.int64()), pa.array(sets, pa.binary())], names)
+                            yield rows(out)
+                            out, held = [], 0
+                if out:
+                    yield rows(out)
 
     return fetch
 
 
-def node_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links of at least ``percent`` similarity that join the members of one node."""
+def node_links(ids: list[int], sets: list[np.ndarray], percent: int, sides: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links of at least ``percent`` similarity that join the members of one node. Members of side 1 are joined already."""
     n = len(ids)
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     label = np.arange(n)
+    if sides is not None and any(sides):
+        joined = np.flatnonzero(sides)
+        label[joined] = joined[0]
     sketches = None
     if n > 8:
         at = np.concatenate([[0], np.cumsum(sizes[order])])
@@ -157,15 +217,13 @@ def node_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tup
     out = []
     for x in range(n - 1):
         i = order[x]
-        rest = order[x + 1 :]
-        able = (sizes[rest] * percent <= sizes[i] * 100) & (label[rest] != label[i])
-        if sketches is not None:
-            like = (sketches[x + 1 :] == sketches[x]).mean(axis=1)
-            able &= like >= floor
-            rest = rest[able][np.argsort(-like[able], kind="stable")]
-        else:
-            rest = rest[able]
-        for j in rest:
+        rest = np.arange(x + 1, n)
+        rest = rest[(sizes[order[rest]] * percent <= sizes[i] * 100) & (label[order[rest]] != label[i])]
+        if sketches is not None and len(rest):
+            like = (sketches[rest] == sketches[x]).mean(axis=1)
+            able = np.flatnonzero(like >= floor)
+            rest = rest[able[np.argsort(-like[able], kind="stable")]]
+        for j in order[rest]:
             if label[j] == label[i]:
                 continue
             common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -178,15 +236,16 @@ def node_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tup
 def _comparer(percent: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links() -> Iterator[tuple[int, int]]:
-            now, ids, sets = None, [], []
+            now, ids, sides, sets = None, [], [], []
             for batch in batches:
-                for node, rep, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for node, rep, side, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     if node != now:
-                        yield from node_links(ids, sets, percent)
-                        now, ids, sets = node, [], []
+                        yield from node_links(ids, sets, percent, sides)
+                        now, ids, sides, sets = node, [], [], []
                     ids.append(rep)
+                    sides.append(side)
                     sets.append(np.frombuffer(own, np.uint64))
-            yield from node_links(ids, sets, percent)
+            yield from node_links(ids, sets, percent, sides)
 
         held: list[tuple[int, int]] = []
         for link in links():
@@ -209,16 +268,22 @@ def near_duplicates(
         signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sketch")).alias("m")).select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.sketch").alias("sketch")),
         "representatives",
     )
-    nodes = _nodes(reps, trees, branches, depth, node_limit)
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+
+    def fetch(some: DataFrame) -> DataFrame:
+        held = texts.join(some, "rep").select("rep", "text", "h1").mapInArrow(_set_fetcher(size), "rep long, h1 long, set array<long>")
+        return held.dropDuplicates(["rep", "h1"])
+
+    nodes, early = _nodes(reps, fetch, percent, trees, branches, depth, node_limit)
     # Trees often agree on a node's members: such nodes are compared once. A node is known by two sums over its members.
-    member = F.xxhash64("rep", "h1")
+    member = F.xxhash64("rep", "h1", "side")
     same = nodes.groupBy("node").agg(F.bit_xor(member).alias("x"), F.sum(F.shiftright(member, 8)).alias("y"), F.count("*").alias("n"))
     chosen = same.groupBy("x", "y", "n").agg(F.min("node").alias("node")).select("node")
-    at = nodes.join(chosen, "node").groupBy("rep", "h1").agg(F.collect_set("node").alias("nodes"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    held = texts.join(at, "rep").select("rep", "text", "h1", "nodes").mapInArrow(_fetcher(size), "node long, rep long, set binary")
+    at = nodes.join(chosen, "node").groupBy("rep", "h1").agg(F.collect_set(F.struct("node", "side")).alias("nodes"))
+    held = texts.join(at, "rep").select("rep", "text", "h1", "nodes").mapInArrow(_fetcher(size), "node long, rep long, side int, set binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = held.repartition(parts, "node").sortWithinPartitions("node", "rep").mapInArrow(_comparer(percent), "src long, dst long")
+    links = links if early is None else links.unionByName(early)
     found = connected_components(cut(links.distinct(), "links"))
     classes = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
