@@ -7,9 +7,10 @@ joined to per-document frequencies and summed. No ids are kept or shipped.
 
 The commonest pre-tokens would be hot keys of that join. So the ``head`` commonest of a hashed sample
 of documents (its size is ``sample`` rows or so, whatever the input's) are counted first, and this
-bounded table goes to every task; the sums over them need no join. All other pre-tokens are joined by
-a shuffle, at most one row for each document and pre-token. The sample decides where a pre-token is
-looked up, never its count.
+bounded table goes to every task; the sums over them need no join. All other pre-tokens, at most one row
+for each document and pre-token, are dealt to tasks by pre-token and sorted, which brings a pre-token's
+rows together: it is counted there, once, and its count multiplies their frequencies. The sample decides
+where a pre-token is looked up, never its count.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); rows that repeat are counted each;
 a null doc_id is a value like any other. Columns other than ``doc_id`` and ``text`` are not read.
@@ -27,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.storage import cut
-
 _CUT = re.compile(r"(?<=\S)(?= )")
 _ODD = re.compile(r"\s ")
 #: Longer pre-tokens are never taken into the head.
 HEAD_LENGTH = 32
+#: Size that marks a row as that of a pre-token.
+_REST = -1
 _TOKENIZERS: dict[str, object] = {}
 _HEADS: dict[int, dict[str, int]] = {}
 
@@ -78,7 +79,7 @@ def _head(documents: DataFrame, path: str, head: int, sample: int) -> dict[str,
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["unit", "n"])
 
     counted = chosen.select("text").mapInArrow(units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    top = [r["unit"] for r in counted.orderBy(F.desc("n"), "unit").limit(head).select("unit").collect()]
+    top = counted.orderBy(F.desc("n"), "unit").limit(head).select("unit").toArrow().column(0).to_pylist()
     return dict(zip(top, count_pieces(path, top), strict=True)) if top else {}
 
 
@@ -91,53 +92,68 @@ def _head_of(broadcast, number: int) -> dict[str, int]:
 
 
 def _splitter(broadcast, number: int):
-    """One row for each document: what the head knows, summed, and the frequencies of the rest."""
+    """A row for each document, with what the head knows, summed; and one for each other pre-token of it, with its frequency."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _head_of(broadcast, number).get
-        names = ["doc_id", "check", "n_bytes", "n_head", "units", "times"]
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                sizes, sums, units, times, ends = [], [], [], [], [0]
-                for text in batch.column(2).to_pylist():
+                rows, units, numbers, sizes = [], [], [], []
+                for d, text in enumerate(batch.column(2).to_pylist()):
                     total = 0
                     for unit, n in pre_tokens(text or "").items():
                         pieces = known(unit)
                         if pieces is None:
+                            rows.append(d)
                             units.append(unit)
-                            times.append(n)
+                            numbers.append(n)
+                            sizes.append(_REST)
                         else:
                             total += pieces * n
+                    rows.append(d)
+                    units.append("")
+                    numbers.append(total)
                     sizes.append(len((text or "").encode()))
-                    sums.append(total)
-                    ends.append(len(units))
-                ends = pa.array(np.array(ends, np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(units, pa.string())), pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), *lists], names)
+                take = pa.array(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(units, pa.string()), pa.array(numbers, pa.int64()), pa.array(sizes, pa.int64())],
+                    ["doc_id", "check", "unit", "n", "n_bytes"],
+                )
 
     return split
 
 
-def _counter(path: str):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _multiplier(path: str):
+    """Frequencies times pieces, of rows sorted by pre-token. Rows of documents (without pre-token) stay as they are."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[str, int] = {"": 1}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count_pieces(path, batch.column(0).to_pylist()), pa.int32())], ["unit", "pieces"])
+            coded = batch.column(2).dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            new = [x for x in names if x not in last]
+            found = last | dict(zip(new, count_pieces(path, new), strict=True))
+            pieces = np.array([found[x] for x in names], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if names else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(batch.column(3).to_numpy() * pieces), batch.column(4)], ["doc_id", "check", "n", "n_bytes"])
+            if names:
+                last = {"": 1, names[-1]: found[names[-1]]}
 
-    return count
+    return multiply
 
 
-def token_counts(documents: DataFrame, tokenizer: str, limit: int = 1024, head: int = 200_000, sample: int = 20_000) -> DataFrame:
+def token_counts(documents: DataFrame, tokenizer: str, limit: int = 1024, head: int = 150_000, sample: int = 20_000) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit)``, one row for each row of ``documents``."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    broadcast = docs.sparkSession.sparkContext.broadcast(_head(docs, tokenizer, head, sample))
+    spark = docs.sparkSession
+    broadcast = spark.sparkContext.broadcast(_head(docs, tokenizer, head, sample))
     # Rows are told apart by doc_id and a hash of the text: rows that are equal in both have equal counts and share a sum.
     keyed = docs.select("doc_id", F.hash("text").alias("check"), "text")
-    parts = cut(keyed.mapInArrow(_splitter(broadcast, int(broadcast._jbroadcast.id())), "doc_id long, check int, n_bytes long, n_head long, units array<string>, times array<int>"), "pre_tokens")
-    rest = parts.select("doc_id", "check", F.arrays_zip("units", "times").alias("z")).select("doc_id", "check", F.inline("z")).withColumnsRenamed({"units": "unit"})
-    counts = rest.select("unit").distinct().mapInArrow(_counter(tokenizer), "unit string, pieces int")
-    summed = rest.join(counts, "unit").select("doc_id", "check", (F.col("times") * F.col("pieces").cast("long")).alias("n"), F.lit(0).alias("rows"), F.lit(0).cast("long").alias("n_bytes"))
-    own = parts.select("doc_id", "check", F.col("n_head").alias("n"), F.lit(1).alias("rows"), "n_bytes")
-    both = own.unionByName(summed).groupBy("doc_id", "check").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.max("n_bytes").alias("n_bytes"))
+    rows = keyed.mapInArrow(_splitter(broadcast, int(broadcast._jbroadcast.id())), "doc_id long, check int, unit string, n long, n_bytes long")
+    of_document = F.col("n_bytes") != _REST
+    place = F.when(of_document, F.xxhash64("doc_id", "check")).otherwise(F.xxhash64("unit"))
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), place).sortWithinPartitions("unit")
+    counted = dealt.mapInArrow(_multiplier(tokenizer), "doc_id long, check int, n long, n_bytes long")
+    both = counted.groupBy("doc_id", "check").agg(F.sum("n").alias("n"), F.count_if(of_document).alias("rows"), F.max("n_bytes").alias("n_bytes"))
     tokens = F.expr("n div rows")
     return both.select("doc_id", "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"), F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("_row")).drop("_row")
