@@ -6,7 +6,7 @@ from variants of them (words dropped, foreign words around them), and, as unknow
 the corpus: at most about ``sample`` of them, chosen by hash, none of them like a notice. A fifth of the
 variants is kept out of training and sets the temperature that calibrates the probabilities. A paragraph
 whose most probable family reaches ``least`` is then compared with that family's notices: it counts
-only if most of the notice's word pairs are in it, or most of its own are in a notice.
+only if most of the notice's word pairs are in it, or most of its own (two at least) are in a notice.
 
 Defined results: a null text has no paragraphs; blank lines are none; ties go to the first family in
 sorted order; rows that repeat are scanned each. Columns other than ``doc_id`` and ``text`` are not read.
@@ -132,7 +132,7 @@ class Classifier:
         for d in np.flatnonzero((p.max(axis=1) >= least) & (best != self.families.index(UNKNOWN))):
             own = np.unique(pairs[np.searchsorted(row, d) : np.searchsorted(row, d, "right")])
             family = self.families[best[d]]
-            if len(own) and max(len(np.intersect1d(own, x)) / min(len(own), len(x)) for x in self.notices[family]) >= alike:
+            if len(own) >= 2 and max(len(np.intersect1d(own, x)) / min(len(own), len(x)) for x in self.notices[family]) >= alike:
                 out.append((int(d), family, float(p[d, best[d]])))
         return out
 
