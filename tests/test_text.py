@@ -158,6 +158,8 @@ class Server(BaseHTTPRequestHandler):
             self.answer({"response": "[]"}, {"response": " "}, {"done": True, "response": "x", "context": [1]})
         elif self.path == "/api/show":
             self.answer({"name": body["name"]})
+        elif self.path == "/api/copy":
+            self.answer()
         else:
             self.answer({"status": "begun"}, {"status": "done"})
 
