@@ -147,13 +147,30 @@ def _hash(x: str) -> int:
     return int.from_bytes(hashlib.sha256(x.encode()).digest()[:8], "big")
 
 
-def _matrix(texts: list[str]) -> np.ndarray:
-    data, at = _paragraphs(texts)
-    out = np.zeros((len(texts), WIDTH), np.float32)
-    h, row, pairs, pair_row = features(data, at)
-    for x, r in ((h, row), (pairs, pair_row)):
-        np.add.at(out, (r, (x % np.uint64(WIDTH)).astype(np.int64)), 1)
-    return out / np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
+class _Sparse:
+    """Texts by hashed columns, as sorted (row, column) entries of weight 1 / sqrt(entries of the row)."""
+
+    def __init__(self, texts: list[str]):
+        h, row, pairs, pair_row = features(*_paragraphs(texts))
+        row, column = np.concatenate([row, pair_row]), (np.concatenate([h, pairs]) % np.uint64(WIDTH)).astype(np.int64)
+        order = np.argsort(row, kind="stable")
+        self.row, self.column, self.n = row[order], column[order], len(texts)
+        self.value = (1 / np.sqrt(np.bincount(self.row, minlength=self.n)))[self.row].astype(np.float32)[:, None]
+        self.rows = np.flatnonzero(np.diff(self.row, prepend=-1))
+        self.by_column = np.argsort(self.column, kind="stable")
+        self.columns = np.flatnonzero(np.diff(self.column[self.by_column], prepend=-1))
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, weights.shape[1]), np.float32)
+        if len(self.rows):
+            out[self.row[self.rows]] = np.add.reduceat(weights[self.column] * self.value, self.rows)
+        return out
+
+    def transposed_times(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((WIDTH, x.shape[1]), np.float32)
+        if len(self.rows):
+            out[self.column[self.by_column][self.columns]] = np.add.reduceat((x[self.row] * self.value)[self.by_column], self.columns)
+        return out
 
 
 def fit(ordinary: list[str]) -> Classifier:
@@ -173,33 +190,30 @@ def fit(ordinary: list[str]) -> Classifier:
                 around = [[foreign[i] for i in rng.integers(0, len(foreign), int(rng.integers(0, 4)))] if v else [] for _ in range(2)]
                 texts.append(" ".join([*around[0], *own, *around[1]]))
                 labels.append(family)
-    x, y = _matrix(texts), np.array([families.index(f) for f in labels])
+    y = np.array([families.index(f) for f in labels])
     kept = np.array([_hash(f"fold|{i}|{t}") % 5 == 0 for i, t in enumerate(texts)])
-    train, onehot = ~kept, np.eye(len(families), dtype=np.float32)[y]
-    used = np.flatnonzero(x[train].any(axis=0))
-    xs = np.ascontiguousarray(x[train][:, used])
-    weight = (len(y) / len(families) / np.maximum(np.bincount(y[train], minlength=len(families)), 1))[y[train]].astype(np.float32)
+    train, y_train = _Sparse([t for t, k in zip(texts, kept, strict=True) if not k]), y[~kept]
+    onehot = np.eye(len(families), dtype=np.float32)[y_train]
+    weight = (1 / np.maximum(np.bincount(y_train, minlength=len(families)), 1))[y_train].astype(np.float32)
     weight /= weight.sum()
-    w, b = np.zeros((len(used), len(families)), np.float32), np.zeros(len(families), np.float32)
+    w, b = np.zeros((WIDTH, len(families)), np.float32), np.zeros(len(families), np.float32)
     mean, square, step = [np.zeros_like(w), np.zeros_like(b)], [np.zeros_like(w), np.zeros_like(b)], 0.1
     for t in range(1, STEPS + 1):
-        f = xs @ w + b
+        f = train.times(w) + b
         f = np.exp(f - f.max(axis=1, keepdims=True))
-        g = (f / f.sum(axis=1, keepdims=True) - onehot[train]) * weight[:, None]
-        for k, (v, d) in enumerate(((w, xs.T @ g + DECAY * w), (b, g.sum(axis=0)))):
+        g = (f / f.sum(axis=1, keepdims=True) - onehot) * weight[:, None]
+        for k, (v, d) in enumerate(((w, train.transposed_times(g) + DECAY * w), (b, g.sum(axis=0)))):
             mean[k] = 0.9 * mean[k] + 0.1 * d
             square[k] = 0.999 * square[k] + 0.001 * d * d
             v -= step * (mean[k] / (1 - 0.9**t)) / (np.sqrt(square[k] / (1 - 0.999**t)) + 1e-8)
-    weights = np.zeros((WIDTH, len(families)), np.float32)
-    weights[used] = w
-    f = x[kept] @ weights + b
+    f = _Sparse([t for t, k in zip(texts, kept, strict=True) if k]).times(w) + b
 
     def loss(t: float) -> float:
         z = f / t - (f / t).max(axis=1, keepdims=True)
         return float(-(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))[np.arange(len(z)), y[kept]].mean())
 
     temperature = min(np.geomspace(0.2, 5, 40), key=loss)
-    return Classifier(families, weights, b, float(temperature), notices)
+    return Classifier(families, w, b, float(temperature), notices)
 
 
 _CLASSIFIERS: dict[int, Classifier] = {}
