@@ -1,13 +1,14 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 Texts become sets of hashed word shingles. Texts with equal sets form one class, and only one
-representative of a class goes on. ``trees`` independent trees branch the representatives: a
-tree's root splits them by one of their minwise tokens; every node that still holds more than
-``node_limit`` members is split again by ``branches`` minwise tokens chosen at random for that
-node, down to ``depth`` levels. Members of a small node are compared exhaustively. What is still
-large at the last level is compared exhaustively too, as pairs of blocks of ``node_limit``, so no
-task ever holds more than two blocks. A pair of similarity s shares a root with probability
-1 - (1 - s) ** trees (at 0.75 and 10 trees: 0.999999).
+representative of a class goes on. ``trees`` independent trees branch the representatives. A tree's
+first path is chosen by three of their minwise tokens. In a node of more than ``node_limit`` members all
+are first compared with one leader, which joins a dense group at once (see ``_led``; nothing is lost by
+it). If what isn't joined is still too large, it is split by ``branches`` minwise tokens chosen at random
+for that node, down to ``depth`` levels. Members of a small node are compared exhaustively. What is still
+large at the last level is compared exhaustively too, as pairs of blocks of ``node_limit``, so no task
+ever holds more than two blocks of a node. A pair of similarity s shares a first path with probability
+1 - (1 - s ** 3) ** trees (at 0.75 and 21 trees: 0.99999).
 
 Comparison inside a node takes the full sets. In nodes of many members a pair is first screened
 by ``SKETCH`` minwise values (a pair at the threshold fails the screen with probability 1e-5) and
@@ -21,6 +22,7 @@ document that has each of their sets. Columns other than ``doc_id`` and ``text``
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,8 @@ from weftgraph.storage import cut
 
 SEPARATORS = b" \t\n\x0b\x0c\r"
 SKETCH = 64
+#: Tokens that choose a tree's first path: three levels of branching are taken at once.
+ROOT = 3
 _TABLE = tk.word_table(SEPARATORS)
 _SALT = tk.mix(np.arange(1, 2 * SKETCH + 5, dtype=np.uint64))
 #: Lowest share of equal sketch values at which a pair is still compared: 4.25 standard deviations below the threshold.
@@ -90,38 +94,45 @@ def _blocks(rows: DataFrame, mine: str, other: str, node_limit: int) -> tuple:
     return F.pmod(F.xxhash64("rep", "h1"), k).cast("int"), F.explode(F.sequence(F.lit(0), m - 1))
 
 
-def _led(large: DataFrame, sets: DataFrame, percent: int, node_limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _led(large: DataFrame, fetch, percent: int, node_limit: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Compare every member of each large node with one leader: links, nodes of doubtful members, and members not linked.
 
     Members linked with the leader are joined by it. With distance 1 - similarity, which is a metric, a member
     at more than twice the threshold's distance from the leader can't be near one that is within it. So only members
     between the two must still meet the linked ones, block by block; and all that are not linked stay in the node.
+    The leader is the member of least hash, so the nodes that a dense group has in many trees mostly share it, and a
+    member is compared with it once.
     """
-    leaders = large.groupBy("node").agg(F.min_by(F.struct("rep", "h1"), F.xxhash64("node", "rep", "h1")).alias("l"))
-    leaders = leaders.select("node", "l.rep", "l.h1").join(sets, ["rep", "h1"]).select("node", F.col("rep").alias("leader"), F.col("set").alias("leader_set"))
-    met = large.select("node", "rep", "h1").join(sets, ["rep", "h1"]).join(leaders, "node")
+    member = F.struct(F.xxhash64("rep", "h1").alias("k"), "rep", "h1")
+    led = cut(large.select("node", "rep", "h1").join(large.groupBy("node").agg(F.min(member).alias("l")), "node").select("node", "rep", "h1", F.col("l.rep").alias("leader"), F.col("l.h1").alias("lh1")), "led")
+    pairs = led.select("rep", "h1", "leader", "lh1").distinct()
+    sets = cut(fetch(pairs.select("rep", "h1").distinct()), "sets")
+    met = pairs.join(sets, ["rep", "h1"]).join(sets.select(F.col("rep").alias("leader"), F.col("h1").alias("lh1"), F.col("set").alias("leader_set")), ["leader", "lh1"])
     common = F.size(F.array_intersect("set", "leader_set"))
-    met = met.select("node", "rep", "h1", "leader", (100 * common).alias("c"), (F.size("set") + F.size("leader_set") - common).alias("u"))
+    met = met.select("rep", "h1", "leader", "lh1", (100 * common).alias("c"), (F.size("set") + F.size("leader_set") - common).alias("u"))
     linked, doubtful = F.col("c") >= percent * F.col("u"), F.col("c") >= (2 * percent - 100) * F.col("u")
-    met = cut(met.select("node", "rep", "h1", "leader", F.when(linked, 0).when(doubtful, 1).otherwise(2).alias("far")), "led")
+    met = cut(met.select("rep", "h1", "leader", "lh1", F.when(linked, 0).when(doubtful, 1).otherwise(2).alias("far")), "met")
     links = met.where("far = 0 and rep <> leader").select(F.col("rep").alias("src"), F.col("leader").alias("dst"))
-    sizes = met.groupBy("node").agg(F.count_if(F.col("far") == 0).alias("n0"), F.count_if(F.col("far") == 1).alias("n1")).where("n1 > 0")
-    both = met.where("far < 2").join(sizes, "node")
+    placed = cut(led.join(met, ["rep", "h1", "leader", "lh1"]).select("node", "rep", "h1", "far"), "placed")
+    rest = placed.where("far > 0").select("node", "rep", "h1")
+    if placed.where("far = 1").isEmpty():
+        return links, None, rest
+    sizes = placed.groupBy("node").agg(F.count_if(F.col("far") == 0).alias("n0"), F.count_if(F.col("far") == 1).alias("n1")).where("n1 > 0")
+    both = cut(placed.where("far < 2").join(sizes, "node"), "doubts")
     parts = []
     for far, mine, other in ((0, "n0", "n1"), (1, "n1", "n0")):
         own, meets = _blocks(both, mine, other, node_limit)
         rows = both.where(F.col("far") == far).select("node", "rep", "h1", own.alias("own"), meets.alias("meets"))
         pair = ("own", "meets") if far == 0 else ("meets", "own")
         parts.append(rows.select(F.xxhash64("node", F.lit("doubt"), *pair).alias("node"), "rep", "h1", F.lit(1 - far).alias("side")))
-    return links, parts[0].unionByName(parts[1]), met.where("far > 0").select("node", "rep", "h1")
+    return links, parts[0].unionByName(parts[1]), rest
 
 
 def _nodes(reps: DataFrame, fetch, percent: int, trees: int, branches: int, depth: int, node_limit: int) -> tuple[DataFrame, DataFrame | None]:
     """``(node, rep, h1, side)`` of nodes to compare, with members of side 1 joined already; and links found on the way."""
-    level = reps.select(F.posexplode(F.slice("sketch", 1, trees)).alias("t", "v"), "rep", "h1").select(
-        F.xxhash64("t", "v").alias("node"), "rep", "h1"
-    )
-    done = links = sets = None
+    roots = [F.xxhash64(F.lit(t), *[F.get("sketch", F.lit(ROOT * t + k)) for k in range(ROOT)]) for t in range(trees)]
+    level = reps.select(F.explode(F.array(*roots)).alias("node"), "rep", "h1")
+    done = links = None
     for d in range(depth + 1):
         size = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sized = cut(level.join(size, "node"), "nodes")
@@ -132,11 +143,11 @@ def _nodes(reps: DataFrame, fetch, percent: int, trees: int, branches: int, dept
             return done, links
         if d == depth:
             break
-        if sets is None:  # later levels' members are among these
-            sets = cut(fetch(large.select("rep", "h1").distinct()), "sets")
-        found, doubts, rest = _led(large, sets, percent, node_limit)
+        found, doubts, rest = _led(large, fetch, percent, node_limit)
         links = found if links is None else links.unionByName(found)
-        done = done.unionByName(doubts)
+        done = done if doubts is None else done.unionByName(doubts)
+        if rest.isEmpty():
+            return done, links
         rest = rest.join(rest.groupBy("node").agg(F.count("*").alias("n")), "node")
         picks = F.explode(F.array(*[F.lit(b) for b in range(branches)]))
         split = (
@@ -259,9 +270,13 @@ def _comparer(percent: int):
 
 
 def near_duplicates(
-    documents: DataFrame, size: int = 5, percent: int = 75, trees: int = 10, branches: int = 2, depth: int = 6, node_limit: int = 400
+    documents: DataFrame, size: int = 5, percent: int = 75, trees: int = 21, branches: int = 2, depth: int | None = None, node_limit: int = 400
 ) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, one row for each row of ``documents``."""
+    """``(doc_id, n_shingles, component_id, kept)``, one row for each row of ``documents``.
+
+    ``depth``: how often large nodes are split before the rest is compared in blocks; by default two times, and
+    once more for each factor of 4 by which the number of different texts passes a million.
+    """
     spark = documents.sparkSession
     signed = cut(signatures(documents, size), "signatures")
     reps = cut(
@@ -274,6 +289,8 @@ def near_duplicates(
         held = texts.join(some, "rep").select("rep", "text", "h1").mapInArrow(_set_fetcher(size), "rep long, h1 long, set array<long>")
         return held.dropDuplicates(["rep", "h1"])
 
+    if depth is None:
+        depth = 2 + max(0, math.ceil(math.log(max(1, reps.count()) / 1e6, 4)))
     nodes, early = _nodes(reps, fetch, percent, trees, branches, depth, node_limit)
     # Trees often agree on a node's members: such nodes are compared once. A node is known by two sums over its members.
     member = F.xxhash64("rep", "h1", "side")
