@@ -77,6 +77,6 @@ def test_empty_table(spark):
 
 
 def test_cuts_follow_the_bytes_even_when_ids_are_far_apart(spark):
-    rows = spark.createDataFrame([(i, 1 << 19) for i in range(20)] + [(1 << 60, 1)], "page_id long, bytes long")
+    rows = spark.createDataFrame([(i, 1 << 21) for i in range(20)] + [(1 << 60, 1)], "page_id long, bytes long")
     cuts = warc.cut_points(rows)
     assert cuts == sorted(set(cuts)) and 8 <= len(cuts) <= 21 and all(0 < c <= 1 << 60 for c in cuts)

@@ -55,8 +55,8 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def shard_bytes(total: int) -> int:
-    """Payload bytes of a shard: 1 MiB for small tables, up to 1 GiB for large ones."""
-    return max(1 << 20, min(1 << 30, total // 4096))
+    """Payload bytes of a shard: 4 MiB for small tables, up to 1 GiB for large ones."""
+    return max(4 << 20, min(1 << 30, total // 4096))
 
 
 def cut_points(rows: DataFrame) -> list[int]:
