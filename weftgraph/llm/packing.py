@@ -22,6 +22,7 @@ occur; a null doc_id is a value like any other. Columns other than ``doc_id`` an
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,9 +35,11 @@ from weftgraph.storage import cut
 
 BINS, DEPTH, BLOCKS = 64, 4, 256
 #: Entries and longest stretch that the cache of encoded stretches keeps.
-CACHE, CACHED_LENGTH = 500_000, 64
+CACHE, CACHED_LENGTH = 600_000, 64
 #: Plans of more rows than this are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+_WORD_END = "</w>"
+_ONE_WORD = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?").fullmatch
 _ENCODERS: dict[str, "StretchEncoder"] = {}
 
 
@@ -49,14 +52,41 @@ class StretchEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
+
+    def encode_new(self, stretches: list[str]) -> dict[str, bytes]:
+        """Ids of stretches without ASCII white space."""
+        words, rest, out = [], [], {}
+        for x in stretches:
+            (words if _ONE_WORD(x) else rest).append(x)
+        for i in range(0, len(words), 20_000):
+            some = words[i : i + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.cumsum([1 if x[-1] not in ".," else 2 for x in some]) - 1
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != last[-1] + 1:  # a tokenizer of another kind
+                rest += some
+                continue
+            data, begin = ids.tobytes(), 0
+            for x, end in zip(some, (4 * ends[last]).tolist(), strict=True):
+                out[x] = data[begin:end]
+                begin = end
+        if rest:
+            encoded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+            out.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(rest, encoded, strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known = {}
         split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
         known = self.known
-        new = list({part for parts in split for part in parts if part not in known})
-        ids = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)} if new else {}
+        seen: set[str] = set()
+        for parts in split:
+            seen.update(parts)
+        ids = self.encode_new([part for part in seen if part not in known])
         known.update((p, b) for p, b in ids.items() if len(p) <= CACHED_LENGTH)
         look = known if all(len(p) <= CACHED_LENGTH for p in ids) else {**{p: known[p] for parts in split for p in parts if p in known}, **ids}
         return [b"".join(map(look.__getitem__, parts)) for parts in split]
