@@ -16,6 +16,7 @@ from weftgraph.operators.graph import betweenness, build, community, rank, style
 from weftgraph.operators.graph.components import connected_components
 from weftgraph.plans import flows
 from weftgraph.schemas import DIRECTED, PIPELINE
+from weftgraph.storage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -227,13 +228,16 @@ def entity_top100(spark: SparkSession, d: str) -> DataFrame:
 # -- graphs -------------------------------------------------------------------------------------------
 
 
-def nation_graph(spark: SparkSession, d: str, least: int = 0) -> DataFrame:
-    """Supplier's nation to customer's nation, weighted by orders; only pairs that differ by less than 7 and weigh ``least``."""
+def nation_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Supplier's nation to customer's nation, weighted by lines: every line counts, every pair stays."""
     o, c, s, li = (table(spark, d, x) for x in ("orders", "customer", "supplier", "lineitem"))
     rows = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey)
-    near = F.pmod(F.col("s_nationkey") * 3 + F.col("c_nationkey"), F.lit(7)) == 0
-    rows = rows.where(near).groupBy(F.col("s_nationkey").cast("string").alias("src"), F.col("c_nationkey").cast("string").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
-    return rows.where(F.col("weight") >= least)
+    return rows.groupBy(F.col("s_nationkey").cast("string").alias("src"), F.col("c_nationkey").cast("string").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+
+
+def heavy_pairs(edges: DataFrame, least: float = 1.0) -> DataFrame:
+    """Edges that weigh at least ``least`` times the mean edge: all nations trade with each other, so communities need a threshold."""
+    return edges.join(F.broadcast(edges.agg(F.avg("weight").alias("mean")))).where(F.col("weight") >= least * F.col("mean")).drop("mean")
 
 
 _NATIONS = """g AS (SELECT CAST(s_nationkey AS VARCHAR) AS src, CAST(c_nationkey AS VARCHAR) AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -295,7 +299,7 @@ def edge_betweenness(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def communities_gn(spark: SparkSession, d: str) -> DataFrame:
-    return community.girvan_newman(nation_graph(spark, d))
+    return community.girvan_newman(heavy_pairs(cut(nation_graph(spark, d), "nations")))
 
 
 @query()
@@ -305,9 +309,9 @@ def communities_label(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def node_style(spark: SparkSession, d: str) -> DataFrame:
-    edges = nation_graph(spark, d)
+    edges = cut(nation_graph(spark, d), "nations")
     ranks, _ = rank.rank_or_fall_back(edges)
-    return style.styled(build.nodes_of(edges), ranks, style.colours(community.girvan_newman(edges)))
+    return style.styled(build.nodes_of(edges), ranks, style.colours(community.girvan_newman(heavy_pairs(edges))))
 
 
 # -- text ---------------------------------------------------------------------------------------------
