@@ -4,8 +4,8 @@ Edges of highest betweenness go one after another until the number of components
 second level has two communities more than the graph has components; a graph with too few edges has what it has.
 Ties of betweenness (rounded to nine places) are broken by the smallest pair of ends. This is a method for small
 graphs: the graph must fit in memory, so more than ``max_nodes`` nodes raise an error. Only the component that lost
-an edge is searched again; the others keep their betweenness. Larger graphs have ``label_communities``, which is
-another measure under another name.
+an edge is searched again; the others keep their betweenness. Larger graphs have ``label_communities``, distributed
+label propagation, which is another measure under another name.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from weftgraph.operators.graph.betweenness import from_source
 from weftgraph.operators.graph.build import nodes_of, undirected
 from weftgraph.operators.graph.components import connected_components
+from weftgraph.storage import cut, drop
 
 MAX_NODES = 2_000
+MAX_ROUNDS = 30
 
 
 def _reached(v: str, near: dict[str, set[str]]) -> set[str]:
@@ -76,10 +78,33 @@ def girvan_newman(edges: DataFrame, splits: int = 2, max_nodes: int = MAX_NODES)
     return spark.createDataFrame(rows, "node string, group int")
 
 
-def label_communities(edges: DataFrame) -> DataFrame:
-    """``(node, group)`` by connected components; no bound on size. The rank of least nodes is by a running count of components."""
-    found = connected_components(edges.where("src <> dst"))
-    every = nodes_of(edges).join(found, "id", "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
+def label_communities(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
+    """``(node, group)`` by label propagation on the undirected graph, weights aside; no bound on size.
+
+    Every node begins with its own label. In a round, half of the nodes (by a hash of node and round, so that two sides
+    don't swap labels for ever) take the label that most of their neighbours and they themselves have; the least
+    such label on a tie. It ends when no node of either half would change, or after ``rounds`` rounds. A group is a
+    connected set of nodes of one label: groups are numbered from 1 in order of each one's least node, and a node without neighbours is its own.
+    Each round is an equi-join and two partially aggregated groupings, written to the shared folder; no neighbour list is collected.
+    """
+    plain = undirected(edges).where("src <> dst")
+    both = cut(plain.unionByName(plain.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "neighbours")
+    labels = cut(both.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("label")), "labels")
+    for k in range(rounds):
+        heard = both.join(labels.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "label").unionByName(labels)
+        votes = heard.groupBy("id", "label").agg(F.count("*").alias("n"))
+        best = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m")).select("id", F.col("m.label").alias("best"))
+        turn = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)) == 0
+        new = labels.join(best, "id").select("id", F.when(turn, F.col("best")).otherwise(F.col("label")).alias("label"), (F.col("best") != F.col("label")).alias("open"))
+        step = cut(new, "labels")
+        moved = not step.where("open").isEmpty()
+        drop(labels)
+        labels = step.select("id", "label")
+        if not moved:
+            break
+    ends = both.where("src < dst").join(labels.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst")
+    found = connected_components(ends.where("a = b").select("src", "dst"))
+    every = nodes_of(edges).where("id is not null").join(found, "id", "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
     return numbered(every)
 
 
@@ -89,8 +114,6 @@ def numbered(members: DataFrame) -> DataFrame:
     Components are counted in range partitions first, so that no task sees all of them.
     """
     heads = members.select("component").distinct().repartitionByRange("component").withColumn("p", F.spark_partition_id())
-    from weftgraph.storage import cut
-
     heads = cut(heads, "components")
     sizes = heads.groupBy("p").agg(F.count("*").alias("n"))  # a row for each partition
     before = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))

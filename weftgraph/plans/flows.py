@@ -1,4 +1,7 @@
-"""The flows of the modes, from relations or text to a styled graph."""
+"""The flows of the modes, from relations or text to a styled graph.
+
+``communities`` is Girvan-Newman, which refuses graphs over its bound; for those ``community.label_communities`` can be given, another measure.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +18,9 @@ from weftgraph.sources import files, html
 from weftgraph.storage import cut
 
 
+Communities = Callable[[DataFrame], DataFrame]
+
+
 @dataclass
 class Graph:
     nodes: DataFrame
@@ -44,29 +50,29 @@ def merged_edges(relations: DataFrame, mode: Mode) -> DataFrame:
     return merge.rendered(merge.merge(relations, proximity.proximity(relations, mode), mode), mode)
 
 
-def directed_graph(relations: DataFrame, mode: Mode = DIRECTED, seed: int | None = None) -> Graph:
+def directed_graph(relations: DataFrame, mode: Mode = DIRECTED, seed: int | None = None, communities: Communities = community.girvan_newman) -> Graph:
     """Edges, ranks, communities and styles of the directed modes."""
     merged = cut(merged_edges(relations, mode), "edges")
     edges = build.edges_of(merged)
     ranks, label = rank.rank_or_fall_back(edges)
-    groups = style.colours(community.girvan_newman(edges), seed)
+    groups = style.colours(communities(edges), seed)
     return Graph(style.styled(build.nodes_of(edges), ranks, groups, mode.name), edges, merged, label)
 
 
-def undirected_graph(relations: DataFrame, seed: int | None = None) -> Graph:
+def undirected_graph(relations: DataFrame, seed: int | None = None, communities: Communities = community.girvan_newman) -> Graph:
     """The notebook mode: undirected edges, sizes by degree."""
     merged = cut(merged_edges(relations, NOTEBOOK), "edges")
     edges = build.last_written(merged).withColumns({"label": F.col("title"), "value": F.col("weight")})
-    groups = style.colours(community.girvan_newman(edges), seed).withColumnRenamed("node", "id")
+    groups = style.colours(communities(edges), seed).withColumnRenamed("node", "id")
     nodes = build.degree(edges).join(groups, "id", "left").select("id", F.coalesce("group", F.lit(0)).alias("group"), F.coalesce("color", F.lit(style.DEFAULT_COLOUR)).alias("color"), F.col("degree").alias("size"))
     return Graph(nodes, edges, merged, "degree")
 
 
-def concept_graph(rows: DataFrame, seed: int | None = None) -> Graph:
+def concept_graph(rows: DataFrame, seed: int | None = None, communities: Communities = community.girvan_newman) -> Graph:
     """The concept mode: co-occurring concepts, sizes by importance. Nodes seen only on the right have no size or colour."""
     pairs = cut(clean.drop_nodes(concepts.cooccurrence(clean.clean_concepts(rows))), "concepts")
     ends = pairs.select(F.col("entity_L").alias("src"), F.col("entity_R").alias("dst"))
-    groups = style.colours(community.girvan_newman(ends), seed)
+    groups = style.colours(communities(ends), seed)
     known = concepts.coloured(concepts.importance(pairs).withColumnRenamed("entity", "id"), groups, "id").withColumn("size", style.concept_size("importance"))
     nodes = build.nodes_of(ends).join(known, "id", "left")
     edges = build.last_written(pairs, "entity_L", "entity_R", 1.0, "chunks", "count").withColumns({"label": F.lit(None).cast("string"), "value": F.col("weight")})
@@ -76,6 +82,7 @@ def concept_graph(rows: DataFrame, seed: int | None = None) -> Graph:
 def text_to_graph(
     spark: SparkSession, folder: str, factory: Callable[[], extract.Extractor], cache: str | None = None, regenerate: bool = False,
     mode: Mode = PIPELINE, size: int = 1500, overlap: int = 150, page: str | None = None, tasks: int | None = None,
+    communities: Communities = community.girvan_newman,
 ) -> Graph:
     """Text files to a graph: chunks, extracted relations (kept in ``cache`` and read from there next time), graph, and an HTML page."""
 
@@ -84,7 +91,7 @@ def text_to_graph(
         return clean.clean_relations(extract.extract(chunks, factory, extract.RELATION, tasks=tasks), mode.parsed_weight)
 
     rows = files.cached(spark, cache, relations, regenerate) if cache else cut(relations(), "relations")
-    graph = directed_graph(rows, mode)
+    graph = directed_graph(rows, mode, communities=communities)
     if page:
         html.write_page(graph.nodes, graph.edges, page)
     return graph
