@@ -2,7 +2,8 @@
 
 Two texts are as alike as the number of byte n-grams (n = 1, 2, 3 together) that both hold, each
 counted once, over the geometric mean of their own numbers. A-Z count as a-z and every other ASCII
-character that is no letter as a space. N-grams are those held by most landmarks, ``VOCABULARY`` of them.
+character that is no letter as a space. N-grams of the landmarks all have a column; those of a text that no landmark
+holds add to its own number only, as they can't be common.
 Landmarks are labelled texts, the same number from each language. One-versus-rest kernel ridge
 regression is solved on the landmarks' span (Nystroem: subset of regressors), and texts are scored
 in batches: a 0/1 matrix of texts by n-grams, times landmarks, times coefficients.
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import textkernels as tk
 
-ORDERS, VOCABULARY, LANDMARKS, RIDGE = 3, 4096, 192, 1e-4
+ORDERS, LANDMARKS, RIDGE = 3, 192, 1e-4
+#: Entries of a batch's matrix of texts by n-grams.
+CELLS = 1 << 22
 UNKNOWN = "und"
 _BASE = (0, 1 << 8, (1 << 8) + (1 << 16))
 _FOLD = np.full(256, 32, np.uint8)
@@ -45,28 +48,46 @@ def codes(data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def presence(data: np.ndarray, at: np.ndarray, lookup: np.ndarray, width: int) -> np.ndarray:
-    """0/1 matrix of texts by n-grams of the vocabulary."""
+def presence(data: np.ndarray, at: np.ndarray, lookup: np.ndarray, width: int, others: np.ndarray | None = None) -> np.ndarray:
+    """0/1 matrix of texts by n-grams of the vocabulary. Each text's number of different n-grams without a column is added to ``others``."""
     out = np.zeros((len(at) - 1) * width, np.float32)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     for n in range(1, ORDERS + 1):
-        column = lookup[codes(data, n)]
+        code = codes(data, n)
+        column = lookup[code]
         m = len(column)
-        held = (column >= 0) & (row[:m] == row[n - 1 : n - 1 + m]) if m else np.zeros(0, bool)
+        inside = row[:m] == row[n - 1 : n - 1 + m] if m else np.zeros(0, bool)
+        held, other = inside & (column >= 0), inside & (column < 0)
         out[row[:m][held] * width + column[held]] = 1
+        if others is not None:
+            others += np.bincount(np.unique(row[:m][other] << 25 | code[other]) >> 25, minlength=len(others))
     return out.reshape(-1, width)
 
 
+def batches(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First and last row, bytes and offsets of texts whose matrix has at most about ``CELLS`` entries."""
+    step = max(1, min(512, CELLS // max(1, width)))
+    for first, last, data, at in tk.blocks(column, 1 << 20):
+        for i in range(first, last, step):
+            j = min(last, i + step)
+            part = at[i - first : j - first + 1]
+            yield i, j, data[part[0] : part[-1]], part - part[0]
+
+
 class Model:
     def __init__(self, languages: list[str], grams: np.ndarray, landmarks: np.ndarray, weights: np.ndarray):
         self.languages, self.grams, self.landmarks, self.weights = languages, grams, landmarks, weights
 
-    def kernel(self, x: np.ndarray) -> np.ndarray:
-        own = np.sqrt(np.maximum(x.sum(axis=1), 1))
+    def kernel(self, x: np.ndarray, others: np.ndarray | float = 0.0) -> np.ndarray:
+        own = np.sqrt(np.maximum(x.sum(axis=1) + others, 1)).astype(np.float32)
         return (x @ self.landmarks.T) / own[:, None] / np.sqrt(np.maximum(self.landmarks.sum(axis=1), 1))[None, :]
 
+    def kernel_of(self, data: np.ndarray, at: np.ndarray, lookup: np.ndarray) -> np.ndarray:
+        others = np.zeros(len(at) - 1)
+        return self.kernel(presence(data, at, lookup, len(self.grams), others), others)
+
     def lookup(self) -> np.ndarray:
-        out = np.full((1 << 8) + (1 << 16) + (1 << 24), -1, np.int16)
+        out = np.full((1 << 8) + (1 << 16) + (1 << 24), -1, np.int16 if len(self.grams) < 1 << 15 else np.int32)
         out[self.grams] = np.arange(len(self.grams))
         return out
 
@@ -78,18 +99,15 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
         return None
     each = max(1, LANDMARKS // len(languages))
     landmarks = [i for lang in languages for i in [k for k, x in enumerate(labels) if x == lang][:each]]
-    counts: dict[int, int] = {}
+    grams = np.zeros(0, np.int32)
     for i in landmarks:
         data = np.frombuffer(texts[i].encode(), np.uint8)
-        own = np.unique(np.concatenate([codes(data, n) for n in range(1, ORDERS + 1)]))
-        for g in own.tolist():
-            counts[g] = counts.get(g, 0) + 1
-    grams = np.array(sorted(sorted(counts, key=lambda g: (-counts[g], g))[:VOCABULARY]), np.int64)
-    model = Model(languages, grams, np.zeros((0, len(grams)), np.float32), np.zeros((0, 0)))
+        grams = np.union1d(grams, np.concatenate([codes(data, n) for n in range(1, ORDERS + 1)]))
+    model = Model(languages, grams.astype(np.int64), np.zeros((0, len(grams)), np.float32), np.zeros((0, 0)))
     lookup = model.lookup()
-    x = np.concatenate([presence(data, at, lookup, len(grams)) for _, _, data, at in tk.blocks(pa.array(texts), 1 << 20)])
-    model.landmarks = x[landmarks]
-    k = model.kernel(x).astype(np.float64)
+    chosen = pa.array([texts[i] for i in landmarks])
+    model.landmarks = np.concatenate([presence(data, at, lookup, len(grams)) for _, _, data, at in batches(chosen, len(grams))])
+    k = np.concatenate([model.kernel_of(data, at, lookup) for _, _, data, at in batches(pa.array(texts), len(grams))]).astype(np.float64)
     kmm = k[landmarks]
     y = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     a = k.T @ k + RIDGE * len(texts) * kmm
@@ -116,17 +134,13 @@ def lettered(data: np.ndarray) -> bool:
 
 def predict(column: pa.Array, model: Model, lookup: np.ndarray) -> tuple[list[str], np.ndarray]:
     names, scores = [UNKNOWN] * len(column), np.zeros(len(column))
-    for first, last, data, at in tk.blocks(column, 1 << 20):
-        for i in range(first, last, 512):
-            j = min(last, i + 512)
-            part = at[i - first : j - first + 1]
-            own = data[part[0] : part[-1]]
-            f = model.kernel(presence(own, part - part[0], lookup, len(model.grams))) @ model.weights
-            best = f.argmax(axis=1)
-            for d in range(i, j):
-                if lettered(own[part[d - i] - part[0] : part[d - i + 1] - part[0]]):
-                    names[d] = model.languages[best[d - i]]
-                    scores[d] = min(1.0, max(0.0, (float(f[d - i, best[d - i]]) + 1) / 2))
+    for i, j, own, part in batches(column, len(model.grams)):
+        f = model.kernel_of(own, part, lookup) @ model.weights
+        best = f.argmax(axis=1)
+        for d in range(i, j):
+            if lettered(own[part[d - i] : part[d - i + 1]]):
+                names[d] = model.languages[best[d - i]]
+                scores[d] = min(1.0, max(0.0, (float(f[d - i, best[d - i]]) + 1) / 2))
     return names, scores
 
 
