@@ -23,8 +23,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is recognised go (no text or no letter)."""
-    return identify(docs).where(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
+    """Documents in which no language is recognised go: no text, no letter, or no n-gram of letters that a learnt language has.
+
+    No threshold of score: clean documents of one word score as low as text of a script that was not learnt.
+    """
+    return identify(docs, known=True).where((F.col("lang_pred") != UNKNOWN) & F.col("known")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

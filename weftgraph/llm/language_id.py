@@ -36,6 +36,8 @@ _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
+#: Not bytes inside a character, nor first bytes of signs (0xC2 and 0xE2), which scripts share.
+_TELLS = ((_FOLD != 32) & ((np.arange(256) < 128) | (np.arange(256) >= 0xC3)) & (np.arange(256) != 0xE2)).astype(np.float32)
 _LOOKUPS: dict[int, tuple] = {}
 
 
@@ -82,6 +84,16 @@ class Model:
         own = np.sqrt(np.maximum(x.sum(axis=1) + others, 1)).astype(np.float32)
         return (x @ self.landmarks.T) / own[:, None] / np.sqrt(np.maximum(self.landmarks.sum(axis=1), 1))[None, :]
 
+    def telling(self) -> np.ndarray:
+        """1 for each n-gram (rows) of order n (columns) that holds an ASCII letter or the first byte of another script's letter."""
+        out = np.zeros((len(self.grams), ORDERS), np.float32)
+        for n in range(1, ORDERS + 1):
+            own = self.grams - _BASE[n - 1]
+            for k in range(n):
+                out[:, n - 1] = np.maximum(out[:, n - 1], _TELLS[own >> 8 * k & 255])
+            out[(own < 0) | (own >= 1 << 8 * n), n - 1] = 0
+        return out
+
     def kernel_of(self, data: np.ndarray, at: np.ndarray, lookup: np.ndarray) -> np.ndarray:
         others = np.zeros(len(at) - 1)
         return self.kernel(presence(data, at, lookup, len(self.grams), others), others)
@@ -132,25 +144,30 @@ def lettered(data: np.ndarray) -> bool:
     return bool(_ASCII_LETTERS[data].any()) or (bool((data >= 128).any()) and any(map(str.isalpha, data.tobytes().decode(errors="replace"))))
 
 
-def predict(column: pa.Array, model: Model, lookup: np.ndarray) -> tuple[list[str], np.ndarray]:
-    names, scores = [UNKNOWN] * len(column), np.zeros(len(column))
+def predict(column: pa.Array, model: Model, lookup: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, scores, and whether a text shares an n-gram of a letter with a landmark, n being 3 or the bytes of a shorter text."""
+    names, scores, known = [UNKNOWN] * len(column), np.zeros(len(column)), np.zeros(len(column), bool)
+    telling = model.telling()
     for i, j, own, part in batches(column, len(model.grams)):
-        f = model.kernel_of(own, part, lookup) @ model.weights
+        others = np.zeros(j - i)
+        x = presence(own, part, lookup, len(model.grams), others)
+        f = model.kernel(x, others) @ model.weights
+        known[i:j] = (x @ telling)[np.arange(j - i), np.clip(np.diff(part), 1, ORDERS) - 1] > 0
         best = f.argmax(axis=1)
         for d in range(i, j):
             if lettered(own[part[d - i] : part[d - i + 1]]):
                 names[d] = model.languages[best[d - i]]
                 scores[d] = min(1.0, max(0.0, (float(f[d - i, best[d - i]]) + 1) / 2))
-    return names, scores
+    return names, scores, known
 
 
 def _predictor(broadcast, number: int):
-    @F.arrow_udf("struct<lang_pred:string, score:double>")
+    @F.arrow_udf("struct<lang_pred:string, score:double, known:boolean>")
     def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, lookup = _model(broadcast, number)
         for column in columns:
-            names, scores = predict(column, model, lookup)
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang_pred", "score"])
+            names, scores, known = predict(column, model, lookup)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores), pa.array(known)], ["lang_pred", "score", "known"])
 
     return score
 
@@ -174,12 +191,13 @@ def train(documents: DataFrame, per_language: int = 1000) -> Model | None:
     return fit([r["text"] for r in kept], [r["lang"] for r in kept])
 
 
-def identify(documents: DataFrame, per_language: int = 1000) -> DataFrame:
-    """``documents`` with ``held_out``, ``lang_pred`` and ``score``."""
+def identify(documents: DataFrame, per_language: int = 1000, known: bool = False) -> DataFrame:
+    """``documents`` with ``held_out``, ``lang_pred`` and ``score``; with ``known`` also whether the text shares letters' n-grams with the landmarks (see ``predict``)."""
     model = train(documents, per_language)
     out = documents.withColumn("held_out", held_out(F.col("doc_id")))
     if model is None:
-        return out.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return out.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)} | ({"known": F.lit(False)} if known else {}))
     broadcast = documents.sparkSession.sparkContext.broadcast(model)
     found = _predictor(broadcast, int(broadcast._jbroadcast.id()))(F.col("text").cast("string"))
-    return out.withColumn("_found", found).withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    names = ["lang_pred", "score", *(["known"] if known else [])]
+    return out.withColumn("_found", found).withColumns({x: F.col(f"_found.{x}") for x in names}).drop("_found")
