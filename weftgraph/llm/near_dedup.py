@@ -8,7 +8,8 @@ it). If what isn't joined is still too large, it is split by ``branches`` minwis
 for that node, down to ``depth`` levels. Members of a small node are compared exhaustively. What is still
 large at the last level is compared exhaustively too, as pairs of blocks of ``node_limit``, so no task
 ever holds more than two blocks of a node. A pair of similarity s shares a first path with probability
-1 - (1 - s ** 3) ** trees (at 0.75 and 21 trees: 0.99999).
+1 - (1 - s ** 3) ** trees (at 0.75 and 21 trees: 0.99999). A split keeps it with probability 1 - (1 - s) ** branches; where
+all of a pair's nodes are split ``depth`` times it is 1 - (1 - s ** 3 * (1 - (1 - s) ** branches) ** depth) ** trees (0.99994; see ``recall``).
 
 Comparison inside a node takes the full sets. In nodes of many members a pair is first screened
 by ``SKETCH`` minwise values (a pair at the threshold fails the screen with probability 1e-5) and
@@ -22,7 +23,6 @@ document that has each of their sets. Columns other than ``doc_id`` and ``text``
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -164,6 +164,11 @@ def _nodes(reps: DataFrame, fetch, percent: int, trees: int, branches: int, dept
     return done.unionByName(rows), links
 
 
+def recall(s: float, trees: int = 21, branches: int = 2, depth: int = 2) -> float:
+    """Least probability that a pair of similarity ``s`` meets, as when all its nodes are large; the screen apart."""
+    return 1 - (1 - s**ROOT * (1 - (1 - s) ** branches) ** depth) ** trees
+
+
 def _set_fetcher(size: int):
     """Sets of documents whose set has the given hash."""
 
@@ -270,12 +275,11 @@ def _comparer(percent: int):
 
 
 def near_duplicates(
-    documents: DataFrame, size: int = 5, percent: int = 75, trees: int = 21, branches: int = 2, depth: int | None = None, node_limit: int = 400
+    documents: DataFrame, size: int = 5, percent: int = 75, trees: int = 21, branches: int = 2, depth: int = 2, node_limit: int = 400
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row for each row of ``documents``.
 
-    ``depth``: how often large nodes are split before the rest is compared in blocks; by default two times, and
-    once more for each factor of 4 by which the number of different texts passes a million.
+    ``depth``: how often large nodes are split before the rest is compared in blocks, the same at every size of input.
     """
     spark = documents.sparkSession
     signed = cut(signatures(documents, size), "signatures")
@@ -289,8 +293,6 @@ def near_duplicates(
         held = texts.join(some, "rep").select("rep", "text", "h1").mapInArrow(_set_fetcher(size), "rep long, h1 long, set array<long>")
         return held.dropDuplicates(["rep", "h1"])
 
-    if depth is None:
-        depth = 2 + max(0, math.ceil(math.log(max(1, reps.count()) / 1e6, 4)))
     nodes, early = _nodes(reps, fetch, percent, trees, branches, depth, node_limit)
     # Trees often agree on a node's members: such nodes are compared once. A node is known by two sums over its members.
     member = F.xxhash64("rep", "h1", "side")
