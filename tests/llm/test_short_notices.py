@@ -1,0 +1,15 @@
+"""Notices of two words are found; other lines of one word pair are not."""
+
+import pyarrow as pa
+
+from weftgraph.llm import licenses
+
+PLAIN = [f"Hern the and {w} of onat with edthe {w}ing or stion by that" for w in ("ble", "sha", "tion", "ner", "wh", "ati", "oue", "re", "ly", "ou")] * 12
+
+
+def test_short_notices():
+    classifier = licenses.fit(PLAIN)
+    short = [(f, t) for f, x in licenses.SHORT.items() for t in x]
+    texts = [*[t for _, t in short], "BSD LICENSE", "MIT student", "the License", "All rights", "driving license", "Public License"]
+    found = [[h["family"] for h in x] for x in licenses.scan_text_column(pa.array(texts), classifier, 0.6, 0.6)[1]]
+    assert found == [*[[f] for f, _ in short], ["bsd"], [], [], [], [], []]

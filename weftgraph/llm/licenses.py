@@ -6,7 +6,8 @@ from variants of them (words dropped, foreign words around them), and, as unknow
 the corpus: at most about ``sample`` of them, chosen by hash, none of them like a notice. A fifth of the
 variants is kept out of training and sets the temperature that calibrates the probabilities. A paragraph
 whose most probable family reaches ``least`` is then compared with that family's notices: it counts
-only if most of the notice's word pairs are in it, or most of its own (two at least) are in a notice.
+only if most of the notice's word pairs are in it, or most of its own (two at least) are in a notice, or its one
+word pair is a short notice of the family (``SHORT``).
 
 Defined results: a null text has no paragraphs; blank lines are none; ties go to the first family in
 sorted order; rows that repeat are scanned each. Columns other than ``doc_id`` and ``text`` are not read.
@@ -80,6 +81,17 @@ NOTICES = {
         "Copyright. All rights reserved. No part of this publication may be reproduced or transmitted in any form without prior written permission of the publisher.",
     ),
 }
+# Notices of two words, by family. A line with one word pair is a notice only if the pair is one of these.
+SHORT = {
+    "agpl": ("AGPL License", "License: AGPL"),
+    "apache": ("Apache License", "License: Apache"),
+    "bsd": ("BSD License", "License: BSD"),
+    "gpl": ("GPL License", "License: GPL"),
+    "lgpl": ("LGPL License", "License: LGPL"),
+    "mit": ("MIT License", "License: MIT"),
+    "mpl": ("MPL License", "License: MPL"),
+    "reserved": ("Rights reserved.",),
+}
 # Sentences with words of notices that are no notice.
 OTHERS = (
     "The driver showed a license to the officer.", "Version 2.0 of the game was released in May.", "All rights were discussed at length.", "The public library is free on Sundays.",
@@ -108,8 +120,8 @@ def _paragraphs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Classifier:
-    def __init__(self, families: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float, notices: dict[str, list[np.ndarray]]):
-        self.families, self.weights, self.bias, self.temperature, self.notices = families, weights, bias, temperature, notices
+    def __init__(self, families: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float, notices: dict[str, list[np.ndarray]], short: dict[str, np.ndarray]):
+        self.families, self.weights, self.bias, self.temperature, self.notices, self.short = families, weights, bias, temperature, notices, short
 
     def probabilities(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each paragraph and family; and the word pairs' hashes and paragraphs."""
@@ -132,7 +144,7 @@ class Classifier:
         for d in np.flatnonzero((p.max(axis=1) >= least) & (best != self.families.index(UNKNOWN))):
             own = np.unique(pairs[np.searchsorted(row, d) : np.searchsorted(row, d, "right")])
             family = self.families[best[d]]
-            if len(own) >= 2 and max(len(np.intersect1d(own, x)) / min(len(own), len(x)) for x in self.notices[family]) >= alike:
+            if len(own) == 1 and own[0] in self.short[family] or len(own) >= 2 and max(len(np.intersect1d(own, x)) / min(len(own), len(x)) for x in self.notices[family]) >= alike:
                 out.append((int(d), family, float(p[d, best[d]])))
         return out
 
@@ -190,8 +202,13 @@ def fit(ordinary: list[str]) -> Classifier:
                 around = [[foreign[i] for i in rng.integers(0, len(foreign), int(rng.integers(0, 4)))] if v else [] for _ in range(2)]
                 texts.append(" ".join([*around[0], *own, *around[1]]))
                 labels.append(family)
+    variants = len(texts)
+    for family, wordings in SHORT.items():
+        texts += [x for x in wordings for _ in range(VARIANTS)]
+        labels += [family] * (len(wordings) * VARIANTS)
     y = np.array([families.index(f) for f in labels])
     kept = np.array([_hash(f"fold|{i}|{t}") % 5 == 0 for i, t in enumerate(texts)])
+    kept[variants:] = False  # copies of what is learnt would tell nothing of calibration
     train, y_train = _Sparse([t for t, k in zip(texts, kept, strict=True) if not k]), y[~kept]
     onehot = np.eye(len(families), dtype=np.float32)[y_train]
     weight = (1 / np.maximum(np.bincount(y_train, minlength=len(families)), 1))[y_train].astype(np.float32)
@@ -213,7 +230,8 @@ def fit(ordinary: list[str]) -> Classifier:
         return float(-(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))[np.arange(len(z)), y[kept]].mean())
 
     temperature = min(np.geomspace(0.2, 5, 40), key=loss)
-    return Classifier(families, w, b, float(temperature), notices)
+    short = {f: np.concatenate(pair_sets(list(SHORT[f]))) if f in SHORT else np.zeros(0, np.uint64) for f in NOTICES}
+    return Classifier(families, w, b, float(temperature), notices, short)
 
 
 _CLASSIFIERS: dict[int, Classifier] = {}
