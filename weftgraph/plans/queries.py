@@ -345,4 +345,10 @@ def json_strict(spark: SparkSession, d: str) -> DataFrame:
 def doc_term_relations(spark: SparkSession, d: str) -> DataFrame:
     """Relations of neighbouring words in every chunk, by the deterministic extractor."""
     chunks = chunking.fixed_chunks(_documents(spark, d))
-    return clean.clean_relations(extract.extract(chunks, lambda: extract.RegexRelations(8)))
+    return clean.clean_relations(extract.extract(chunks, lambda: extract.RegexRelations()))
+
+
+@query()
+def doc_term_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of documents and how often one comes right before another in a chunk."""
+    return doc_term_relations(spark, d).groupBy(F.col("source").alias("src"), F.col("target").alias("dst")).agg(F.sum("weight").alias("weight"))
