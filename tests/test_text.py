@@ -60,6 +60,37 @@ def test_only_lists_of_objects_have_rows(spark):
         extract.parse_rows(rows, "answer", extract.RELATION, fail_fast=True).collect()
 
 
+@pytest.mark.parametrize("answer", [None, "oops", "[1]"])
+def test_strict_parsing_names_the_answer(spark, answer):
+    rows = spark.createDataFrame([("c", answer)], "chunk_id string, answer string")
+    with pytest.raises(Exception, match=f"not a JSON list of objects: {'no answer' if answer is None else ''}"):
+        extract.parse_rows(rows, "answer", extract.RELATION, fail_fast=True).collect()
+    with pytest.raises(Exception, match="not a JSON list of objects"):
+        extract.extract(spark.createDataFrame([("c", "t")], "chunk_id string, text string"), lambda: lambda texts: [answer] * len(texts), fail_fast=True).collect()
+
+
+def test_answers_of_extractors_are_parsed_as_those_of_columns(spark):
+    rows = spark.createDataFrame([(f"c{i}", a) for i, a in enumerate(ANSWERS)], "chunk_id string, answer string")
+    given = dict(enumerate(ANSWERS))
+    chunks = spark.createDataFrame([(f"c{i}", str(i)) for i in given], "chunk_id string, text string")
+    found = extract.extract(chunks, lambda: lambda texts: [given[int(t)] for t in texts])
+    assert sorted(map(str, found.collect())) == sorted(map(str, extract.parse_rows(rows, "answer", extract.RELATION).collect()))
+
+
+def test_pairs_are_judged(spark):
+    pairs = spark.createDataFrame([("a", "b", "x", 1), ("c", "d", None, 2)], "entity_1 string, entity_2 string, text string, related int")
+
+    def judge():
+        return lambda texts: ['{"Relationship": "is", "Related": "Yes"}' if "'a'" in t else "no" for t in texts]
+
+    assert {tuple(r) for r in extract.judged_pairs(pairs, judge).collect()} == {("a", "b", "x", "is", True), ("c", "d", None, None, None)}
+
+
+def test_offline_named_entities(spark):
+    chunks = spark.createDataFrame([("c", "In New York Ann met bob")], "chunk_id string, text string")
+    assert {tuple(r) for r in extract.entities_of_text(chunks, lambda: extract.CapitalisedEntities()).collect()} == {("In New York Ann", "MISC", "c")}
+
+
 def test_extractors(spark):
     chunks = spark.createDataFrame([("c1", "Alpha beta, gamma"), ("c2", None)], "chunk_id string, text string")
     found = clean.clean_relations(extract.extract(chunks, lambda: extract.RegexRelations(), tasks=2))
@@ -70,7 +101,7 @@ def test_extractors(spark):
 
     assert {tuple(r) for r in extract.entities_of_text(chunks, names).collect()} == {("n", "Alpha", "c1")}
     rows = spark.createDataFrame([("Big thing", "place", "c")], "entity string, category string, chunk_id string")
-    assert {tuple(r) for r in extract.entities_of_concepts(rows, names).collect()} == {("n", "n", "place", "c", "entity")}
+    assert {tuple(r) for r in extract.entities_of_concepts(rows, names).collect()} == {("n", "Big", "c", "entity")}
 
     def ideas():
         return lambda texts: ['[{"entity": "E", "importance": "high", "category": "misc"}, {"entity": "F", "importance": 3}]' for _ in texts]
@@ -81,7 +112,7 @@ def test_extractors(spark):
 
 
 def test_files_round_trip(spark, tmp_path):
-    rows = spark.createDataFrame([('a "quoted" | text\nof two lines', "s", "c1"), ("é", None, "c2")], CHUNKS_CSV)
+    rows = spark.createDataFrame([('a "quoted" | text\nof two lines', "s", "c1"), ("é", None, "c2"), (" spaces at both ends\n ", "s", "c3")], CHUNKS_CSV)
     files.write_table(rows, str(tmp_path / "made" / "chunks"))
     assert sorted(map(str, files.read_chunks(spark, str(tmp_path / "made" / "chunks")).collect())) == sorted(map(str, rows.collect()))
     concepts = files.rows_to_table(spark, [{"entity": "e", "importance": 2, "other": 1}], CONCEPTS)
@@ -101,6 +132,8 @@ def test_cache(spark, tmp_path):
 
     path = str(tmp_path / "cache")
     assert [files.cached(spark, path, compute, again).count() for again in (False, False, True)] == [1, 1, 2]
+    (tmp_path / "cache" / "_SUCCESS").unlink()
+    assert files.cached(spark, path, compute).count() == 3
 
 
 def test_binary_documents(spark, tmp_path):

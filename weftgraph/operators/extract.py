@@ -15,12 +15,14 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RELATION = "array<struct<source:string, target:string, relationship:string, weight:string, description:string>>"
 OLD_RELATION = "array<struct<node_1:string, node_2:string, edge:string>>"
 CONCEPT = "array<struct<entity:string, importance:string, category:string>>"
 TYPED_CONCEPT = "array<struct<entity:string, importance:string, type:string>>"
 NAMED_ENTITY = "array<struct<name:string, entity:string>>"
+# The kinds of concept that the concept prompt allows.
 CATEGORIES = ("event", "concept", "place", "object", "document", "organisation", "condition", "misc")
 
 
@@ -28,15 +30,31 @@ class Extractor(Protocol):
     def __call__(self, texts: list[str]) -> list[str | None]: ...
 
 
-def strict_json(text: str | None) -> str | None:
-    """The text itself if it is a JSON list of objects, with scalars as text; else null."""
+#: Texts that an extractor gets at once, and rows of a batch that goes on.
+TEXTS, ROWS = 256, 10_000
+
+
+def _text(value: object) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value)
+
+
+def _fields(schema: str) -> list[T.StructField]:
+    return T.DataType.fromDDL(schema).elementType.fields
+
+
+def strict_rows(text: str | None) -> list[dict] | None:
+    """The objects of a JSON list of objects; None for any other text."""
     try:
         rows = json.loads(text)
     except (TypeError, ValueError):
         return None
-    if not isinstance(rows, list) or not all(isinstance(x, dict) for x in rows):
-        return None
-    return json.dumps([{k: v if v is None or isinstance(v, str) else json.dumps(v) for k, v in x.items()} for x in rows])
+    return rows if isinstance(rows, list) and all(isinstance(x, dict) for x in rows) else None
+
+
+def strict_json(text: str | None) -> str | None:
+    """The text itself if it is a JSON list of objects, with scalars as text; else null."""
+    rows = strict_rows(text)
+    return None if rows is None else json.dumps([{k: _text(v) for k, v in x.items()} for x in rows])
 
 
 def _strict(column: Column) -> Column:
@@ -51,7 +69,7 @@ def parse_rows(table: DataFrame, column: str, schema: str, fail_fast: bool = Fal
     """The table's columns but ``column``, and the fields of each object in it. Keys that the table has are ignored."""
     checked = _strict(F.col(column))
     if fail_fast:
-        checked = F.coalesce(checked, F.raise_error(F.concat(F.lit("not a JSON list of objects: "), F.col(column))))
+        checked = F.coalesce(checked, F.raise_error(F.concat(F.lit("not a JSON list of objects: "), F.coalesce(F.col(column), F.lit("no answer")))))
     rest = [c for c in table.columns if c != column]
     rows = table.select(*rest, F.explode(F.from_json(checked, schema)).alias("_row"))
     names = [f.name for f in rows.schema["_row"].dataType.fields if f.name not in rest]
@@ -59,19 +77,41 @@ def parse_rows(table: DataFrame, column: str, schema: str, fail_fast: bool = Fal
 
 
 def extract(chunks: DataFrame, factory: Callable[[], Extractor], schema: str = RELATION, column: str = "text", keep: tuple[str, ...] = ("chunk_id",), tasks: int | None = None, fail_fast: bool = False) -> DataFrame:
-    """Rows extracted from each chunk. ``tasks`` bounds how many extractors run at once."""
+    """Rows extracted from each chunk. ``tasks`` bounds how many extractors run at once.
+
+    Answers are parsed where they are made, ``TEXTS`` at a time, and rows go on in batches of ``ROWS``, so a worker never holds
+    the answers of a whole batch of chunks.
+    """
     picked = chunks.select(*keep, column)
     if tasks:
         picked = picked.repartition(tasks)
+    names = [f.name for f in _fields(schema) if f.name not in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extractor = factory()
         for batch in batches:
-            answers = extractor([x or "" for x in batch.column(len(keep)).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(answers, pa.string())], [*keep, "_answer"])
-
-    kinds = ", ".join(f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in keep)
-    return parse_rows(picked.mapInArrow(run, f"{kinds}, _answer string"), "_answer", schema, fail_fast)
+            at, found = [], []
+            for i in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(i, TEXTS)
+                texts = [x or "" for x in part.column(len(keep)).to_pylist()]
+                for d, answer in enumerate(extractor(texts), i):
+                    rows = strict_rows(answer)
+                    if rows is None and fail_fast:
+                        raise ValueError(f"not a JSON list of objects: {answer}")
+                    for row in rows or ():
+                        at.append(d)
+                        found.append(row)
+                    if len(found) >= ROWS:
+                        yield made(batch, at, found)
+                        at, found = [], []
+            yield made(batch, at, found)
+
+    def made(batch: pa.RecordBatch, at: list[int], found: list[dict]) -> pa.RecordBatch:
+        own = [c.take(pa.array(at, pa.int64())) for c in batch.columns[: len(keep)]]
+        return pa.RecordBatch.from_arrays([*own, *[pa.array([_text(x.get(n)) for x in found], pa.string()) for n in names]], [*keep, *names])
+
+    kinds = [f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in keep]
+    return picked.mapInArrow(run, ", ".join([*kinds, *[f"`{n}` string" for n in names]]))
 
 
 def concepts(chunks: DataFrame, factory: Callable[[], Extractor], **options) -> DataFrame:
@@ -86,9 +126,36 @@ def entities_of_text(chunks: DataFrame, factory: Callable[[], Extractor], **opti
 
 
 def entities_of_concepts(concept_rows: DataFrame, factory: Callable[[], Extractor]) -> DataFrame:
-    """``(name, entity, category, chunk_id, type)`` of a named-entity extractor over each concept."""
-    rows = extract(concept_rows, factory, NAMED_ENTITY, "entity", ("chunk_id", "category"))
-    return rows.select("name", F.col("name").alias("entity"), "category", "chunk_id", F.lit("entity").alias("type"))
+    """``(entity, category, chunk_id, type)`` of a named-entity extractor over each concept: its word and its kind."""
+    rows = extract(concept_rows.select("chunk_id", F.col("entity").alias("_text")), factory, NAMED_ENTITY, "_text")
+    return rows.select(F.col("name").alias("entity"), F.col("entity").alias("category"), "chunk_id", F.lit("entity").alias("type"))
+
+
+def judged_pairs(pairs: DataFrame, factory: Callable[[], Extractor]) -> DataFrame:
+    """``pairs`` (``entity_1``, ``entity_2``, ``text`` and others) with ``relationship`` and ``related`` as an extractor judges them.
+
+    The extractor reads both entities and their context; its answer is one JSON object. Any other answer leaves both columns null.
+    """
+    rest = [c for c in pairs.columns if c not in ("relationship", "related")]
+    asked = pairs.select(*rest, F.concat(F.lit("Entities: ['"), F.col("entity_1"), F.lit("', '"), F.col("entity_2"), F.lit("']. Context: ```"), F.col("text"), F.lit("```")).alias("_asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extractor = factory()
+        for batch in batches:
+            answers = [pair_judgement(x) for x in extractor([x or "" for x in batch.column(len(rest)).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *[pa.array([a[k] for a in answers], t) for k, t in enumerate((pa.string(), pa.bool_()))]], [*rest, "relationship", "related"])
+
+    kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in rest)
+    return asked.mapInArrow(run, f"{kinds}, relationship string, related boolean")
+
+
+def pair_judgement(answer: str | None) -> tuple[str | None, bool | None]:
+    """Relationship and whether the entities are related, of an answer to ``PAIR_PROMPT``."""
+    try:
+        found = json.loads(answer)
+        return str(found["Relationship"]), str(found["Related"]).strip().lower() in ("yes", "true")
+    except (TypeError, ValueError, KeyError):
+        return None, None
 
 
 class RegexRelations:
@@ -105,6 +172,28 @@ class RegexRelations:
         return out
 
 
+class CapitalisedEntities:
+    """Runs of capitalised words are named entities of the kind ``MISC``. Deterministic; for tests and offline runs."""
+
+    def __init__(self, kind: str = "MISC"):
+        self.run, self.kind = re.compile(r"[A-Z][\w'-]*(?: [A-Z][\w'-]*)*"), kind
+
+    def __call__(self, texts: list[str]) -> list[str]:
+        return [json.dumps([{"name": x, "entity": self.kind} for x in self.run.findall(t)]) for t in texts]
+
+
+class ModelEntities:
+    """Named entities of a token-classification model, loaded once per worker task. Needs the ``transformers`` package and the model's files."""
+
+    def __init__(self, model: str):
+        from transformers import pipeline
+
+        self.find = pipeline("token-classification", model=model, aggregation_strategy="simple")
+
+    def __call__(self, texts: list[str]) -> list[str]:
+        return [json.dumps([{"name": x["word"], "entity": x["entity_group"]} for x in found]) for found in self.find(texts)]
+
+
 RELATION_PROMPT = (
     "Read the passage between the fences and list how its terms act on each other. Answer with a JSON list and nothing else. Each object has "
     '"source" (the term that acts), "target" (the term acted on), "relationship" (a short active predicate), "weight" (1 for implied to 10 for '
@@ -115,7 +204,7 @@ CONCEPT_PROMPT = (
     + ", ".join(CATEGORIES) + ". Break compound concepts into simple ones and leave persons out."
 )
 OLD_RELATION_PROMPT = 'List pairs of related terms of the passage as a JSON list of objects with "node_1", "node_2" and "edge" (one sentence on how they are related), and nothing else.'
-PAIR_PROMPT = 'Say whether the two entities are related in the text. Answer with one JSON object: "Entity 1", "Entity 2", "Relationship" and "Related" (true or false).'
+PAIR_PROMPT = 'Say whether the two entities are directly related in the context, and only there. Answer with one JSON object: "Entity 1", "Entity 2", "Relationship" (one sentence) and "Related" ("Yes" or "No").'
 
 
 class ServerExtractor:
