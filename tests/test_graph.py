@@ -42,6 +42,14 @@ def test_pagerank_of_the_worked_graph(spark):
     assert found == pytest.approx(dense_rank(pairs), abs=1e-5)
 
 
+def test_each_mode_has_its_own_attempts(spark, monkeypatch):
+    tried = []
+    monkeypatch.setattr(rank, "pagerank", lambda edges, weight, max_iter, tol: (tried.append((max_iter, tol)), False))
+    edges = graph(spark, [("a", "b")])
+    assert [rank.rank_or_fall_back(edges, mode=m)[1] for m in ("pipeline", "directed")] == ["in-degree centrality"] * 2
+    assert tried == [(200, 1e-6), (100, 1e-6), (500, 1e-5)]
+
+
 def test_pagerank_that_does_not_converge_says_so(spark):
     assert rank.pagerank(graph(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c")]), max_iter=1)[1] is False
 
@@ -107,9 +115,10 @@ def test_betweenness_against_all_shortest_paths(spark):
     assert got == pytest.approx(want)
 
 
-def test_betweenness_refuses_large_graphs(spark):
-    with pytest.raises(ValueError, match="at most 3"):
-        betweenness.edge_betweenness(graph(spark, SMALL), max_edges=3)
+def test_betweenness_in_tables_is_the_same(spark):
+    edges = graph(spark, [*random_pairs(3, 10, 12), (7, 7), (50, 51)])
+    rows = [{(r["src"], r["dst"]): round(r["betweenness"], 9) for r in betweenness.edge_betweenness(edges, n).collect()} for n in (10**6, 0)]
+    assert rows[0] == rows[1] and rows[0]
 
 
 def test_second_level_communities(spark):
@@ -131,8 +140,12 @@ def test_communities_are_two_more_than_components_and_cover_the_nodes(spark):
 def test_too_few_edges_to_split(spark):
     found = community.girvan_newman(graph(spark, [("a", "b"), ("c", "c")]))
     assert {(r["node"], r["group"]) for r in found.collect()} == {("a", 1), ("b", 2), ("c", 3)}
-    with pytest.raises(ValueError, match="at most 2"):
-        community.girvan_newman(graph(spark, SMALL), max_nodes=2)
+
+
+def test_communities_in_tables_are_the_same(spark):
+    pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("e", "e")]
+    found = [sorted(map(tuple, community.girvan_newman(graph(spark, pairs), in_memory=n).collect())) for n in (2000, 0)]
+    assert found[0] == found[1]
 
 
 def test_label_communities_are_numbered_by_least_node(spark):
@@ -159,6 +172,8 @@ def test_styles(spark):
     want = {k + 1: "#" + "".join(f"{int(x * 255):02x}" for x in colorsys.hls_to_rgb(k / 3, 0.55, 0.75)) for k in range(3)}
     assert {r["group"]: r["color"] for r in groups.collect()} == want
     assert {r["color"] for r in style.colours(community.girvan_newman(edges), seed=4).collect()} == set(want.values())
+    soft = {k: "#" + "".join(f"{round(x * 255):02x}" for x in colorsys.hls_to_rgb((3 - k) / 3 + 0.01, 0.6, 0.65)) for k in (1, 2, 3)}
+    assert {r["group"]: r["color"] for r in style.colours(community.girvan_newman(edges), palette="soft").collect()} == soft
     ranks = spark.createDataFrame([("0", 0.1), ("1", 0.3)], "id string, pagerank double")
     found = {r["id"]: (r["group"], r["color"], r["size"]) for r in style.styled(build.nodes_of(edges), ranks, groups.where("node <> '6'")).collect()}
     assert found["0"][2] == 10 and found["1"][2] == 60 and found["6"] == (0, "#aaaaaa", 10)

@@ -65,6 +65,19 @@ def test_defaults_and_old_schema(spark):
     assert {r["weight"] for r in clean.from_legacy(old.drop("count")).collect()} == {4.0}
 
 
+def test_old_schema_keeps_nothing_but_the_count(spark):
+    old = spark.createDataFrame([("a", "b", "r", 7, "x", "c")], "node_1 string, node_2 string, edge string, weight int, description string, chunk_id string")
+    row = clean.from_legacy(old).first()
+    assert (row["source"], row["target"], row["relationship"], row["weight"], row["description"], row["chunk_id"]) == ("a", "b", "r", 4.0, "", "c")
+    both = old.withColumn("source", F.lit("s"))
+    assert clean.from_legacy(both).columns == both.columns
+
+
+def test_white_space_of_all_kinds_is_stripped(spark):
+    rows = spark.createDataFrame([("\u2003\x1c a\u3000b \u00a0\n",), ("",), (None,)], "x string")
+    assert [r[0] for r in rows.select(text.strip("x")).collect()] == ["a\u3000b", "", None]
+
+
 def test_na_texts(spark):
     rows = spark.createDataFrame([(x,) for x in ("None", "null", "NULL", "NA", "N/A", "n/a", "nan", "<NA>", "none", "na", "-", "unknown")], "x string")
     assert [r[0] for r in rows.select(text.na_to_null("x").alias("y")).where("y is not null").collect()] == ["none", "na", "-", "unknown"]
@@ -83,6 +96,14 @@ def test_merge_keeps_order_and_drops_repeats_if_told(spark):
     assert row["chunk_id"] == "c1,c1,c2,c1,c1,c1,c1,c2"
 
 
+@pytest.mark.parametrize("mode", [DIRECTED, PIPELINE])
+def test_merge_without_chunk_lists_says_the_same(spark, mode):
+    rows = relations(spark, *[edge(f"n{i % 3}", f"n{(i * 7) % 5}", f"c{i % 4}", f"r{i % 6}") for i in range(60)], edge("lone", "one", "z"))
+    rows = rows.withColumn("weight", F.col("weight").cast("double"))
+    whole, bare = (flows.merged_edges(rows, mode, chunks) for chunks in (True, False))
+    assert "chunk_id" not in bare.columns and sorted(map(str, whole.select(bare.columns).collect())) == sorted(map(str, bare.collect()))
+
+
 def test_all_null_weights_sum_to_zero(spark):
     rows = relations(spark, edge("a", "b", "c", "r", None)).withColumn("weight", F.col("weight").cast("double"))
     assert merge.merge(rows, proximity.proximity(rows)).first()["weight"] == 0.0
@@ -128,7 +149,7 @@ def test_concepts_lose_only_single_spaces_and_nulls(spark):
 
 def test_dropped_nodes_are_case_sensitive(spark):
     rows = spark.createDataFrame([("Accelerating Global Health", "a"), ("accelerating global health", "a")], "entity_L string, entity_R string")
-    assert clean.drop_nodes(rows).count() == 1
+    assert clean.drop_nodes(rows, ("Accelerating Global Health",)).count() == 1
 
 
 def test_entity_counts(spark):

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from weftgraph.schemas import NA_STRINGS
 
 
+#: White space of Unicode, and the four separators of ASCII that also count as such.
+_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at both ends, Unicode's included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(_SPACE))
 
 
 def tidy(c: Column | str) -> Column:
@@ -42,8 +46,8 @@ def first_part(c: Column | str, separator: str, stripped: bool = True) -> Column
     return strip(part) if stripped else part
 
 
-def hls_hex(hue: Column, lightness: float = 0.55, saturation: float = 0.75) -> Column:
-    """``#rrggbb`` of a hue between 0 and 1; channels are truncated to whole numbers."""
+def hls_hex(hue: Column, lightness: float = 0.55, saturation: float = 0.75, rounded: bool = False) -> Column:
+    """``#rrggbb`` of a hue between 0 and 1; channels are truncated to whole numbers, or ``rounded``."""
     top = lightness * (1 + saturation) if lightness <= 0.5 else lightness + saturation - lightness * saturation
     low = 2 * lightness - top
 
@@ -52,6 +56,6 @@ def hls_hex(hue: Column, lightness: float = 0.55, saturation: float = 0.75) -> C
         rising = F.lit(low) + (top - low) * h * 6
         falling = F.lit(low) + (top - low) * (F.lit(2 / 3) - h) * 6
         value = F.when(h < 1 / 6, rising).when(h < 0.5, F.lit(top)).when(h < 2 / 3, falling).otherwise(F.lit(low))
-        return (value * 255).cast("int")
+        return F.rint(value * 255).cast("int") if rounded else (value * 255).cast("int")
 
     return F.format_string("#%02x%02x%02x", channel(1 / 3), channel(0.0), channel(-1 / 3))

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from weftgraph.functions.text import blank_to_null, na_to_null, tidy, weight
 
 ENDS = ["source", "target", "relationship"]
-# Nodes that touch too much to say anything, as the legacy mode lists them.
-OVER_CONNECTED = ("Pathways to Health Equity for the G20", "Accelerating Global Health")
 
 
 def require(relations: DataFrame, columns: list[str] = ENDS) -> DataFrame:
@@ -53,13 +51,16 @@ def from_cache(relations: DataFrame) -> DataFrame:
 
 
 def from_legacy(relations: DataFrame, default_weight: float = 4.0) -> DataFrame:
-    """Relations in the old schema (node_1, node_2, edge, perhaps count) in the new one."""
-    if "node_1" not in relations.columns:
+    """Relations in the old schema (node_1, node_2, edge, perhaps count) in the new one; a table that has ``source`` is in the new one already.
+
+    Weight comes from ``count`` or is the default, and the description is empty, whatever else the old table holds.
+    """
+    if "node_1" not in relations.columns or "source" in relations.columns:
         return relations
-    out = relations.withColumnsRenamed({"node_1": "source", "node_2": "target", "edge": "relationship"})
-    if "count" in out.columns:
-        out = out.withColumn("weight", weight("count", default_weight)).drop("count")
-    return with_defaults(out, default_weight)
+    value = weight("count", default_weight) if "count" in relations.columns else F.lit(float(default_weight))
+    kept = relations.withColumns({"_weight": value}).drop("count", "weight", "description", "target", "relationship")
+    out = kept.withColumnsRenamed({"node_1": "source", "node_2": "target", "edge": "relationship", "_weight": "weight"})
+    return out.withColumn("description", F.lit(""))
 
 
 def clean_concepts(concepts: DataFrame) -> DataFrame:
@@ -74,6 +75,6 @@ def clean_entities(entities: DataFrame) -> DataFrame:
     return entities.withColumns(columns).where("entity is not null")
 
 
-def drop_nodes(edges: DataFrame, nodes: tuple[str, ...] = OVER_CONNECTED, left: str = "entity_L", right: str = "entity_R") -> DataFrame:
-    """Edges that touch none of the nodes (case matters)."""
+def drop_nodes(edges: DataFrame, nodes: tuple[str, ...], left: str = "entity_L", right: str = "entity_R") -> DataFrame:
+    """Edges that touch none of the nodes, which are those of the corpus at hand that touch too much to say anything (case matters)."""
     return edges.where(~F.col(left).isin(*nodes) & ~F.col(right).isin(*nodes))

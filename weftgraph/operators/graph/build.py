@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.storage import cut
+
 
 def edges_of(merged: DataFrame) -> DataFrame:
     """Directed edges with title, label, weight and thickness, from ``rendered`` merged edges."""
@@ -49,6 +51,7 @@ def in_degree_centrality(edges: DataFrame) -> DataFrame:
 
 
 def summary(edges: DataFrame) -> DataFrame:
-    """One row: numbers of nodes and edges, least and largest weight."""
-    totals = edges.agg(F.count("*").alias("edges"), F.min("weight").alias("least_weight"), F.max("weight").alias("largest_weight"))
-    return totals.join(F.broadcast(nodes_of(edges).agg(F.count("*").alias("nodes"))))
+    """One row: numbers of nodes and edges, least and largest weight. The edges are written once and read for both."""
+    once = cut(edges.select("src", "dst", "weight"), "edges")
+    totals = once.agg(F.count("*").alias("edges"), F.min("weight").alias("least_weight"), F.max("weight").alias("largest_weight"))
+    return totals.join(F.broadcast(nodes_of(once).agg(F.count("*").alias("nodes"))))

@@ -1,11 +1,11 @@
-"""Communities of the second Girvan-Newman level.
+"""Communities of the second Girvan-Newman level, and of label propagation.
 
 Edges of highest betweenness go one after another until the number of components has grown twice, so the
 second level has two communities more than the graph has components; a graph with too few edges has what it has.
-Ties of betweenness (rounded to nine places) are broken by the smallest pair of ends. This is a method for small
-graphs: the graph must fit in memory, so more than ``max_nodes`` nodes raise an error. Only the component that lost
-an edge is searched again; the others keep their betweenness. Larger graphs have ``label_communities``, distributed
-label propagation, which is another measure under another name.
+Ties of betweenness (rounded to nine places) are broken by the smallest pair of ends. Only the component that lost
+an edge is searched again; the others keep their betweenness. Graphs of at most ``in_memory`` nodes are held by the
+driver; larger ones stay in tables, with the same result. The cost grows with nodes times edges at every removal, so
+``label_communities``, another measure under another name, is the one whose cost grows with the graph only.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators.graph.betweenness import from_source
+from weftgraph.operators.graph.betweenness import edge_betweenness, from_source
 from weftgraph.operators.graph.build import nodes_of, undirected
 from weftgraph.operators.graph.components import connected_components
 from weftgraph.storage import cut, drop
 
-MAX_NODES = 2_000
+IN_MEMORY = 2_000
 MAX_ROUNDS = 30
 
 
@@ -38,8 +38,6 @@ def _loads(spark, near: dict[str, set[str]], nodes: list[str]) -> dict[tuple[str
     """Edge betweenness within one component, its sources dealt to tasks where there are enough of them."""
     if len(nodes) > 200:
         rows = [(a, b) for a in nodes for b in near[a] if a < b]
-        from weftgraph.operators.graph.betweenness import edge_betweenness
-
         return {(r["src"], r["dst"]): r["betweenness"] for r in edge_betweenness(spark.createDataFrame(rows, "src string, dst string")).collect()}
     total: dict[tuple[str, str], float] = defaultdict(float)
     for s in nodes:
@@ -48,12 +46,12 @@ def _loads(spark, near: dict[str, set[str]], nodes: list[str]) -> dict[tuple[str
     return total
 
 
-def girvan_newman(edges: DataFrame, splits: int = 2, max_nodes: int = MAX_NODES) -> DataFrame:
+def girvan_newman(edges: DataFrame, splits: int = 2, in_memory: int = IN_MEMORY) -> DataFrame:
     """``(node, group)``: groups from 1, in order of each one's least node."""
     spark = edges.sparkSession
-    nodes = [r[0] for r in nodes_of(edges).where("id is not null").limit(max_nodes + 1).collect()]
-    if len(nodes) > max_nodes:
-        raise ValueError(f"Girvan-Newman takes at most {max_nodes} nodes; label_communities has no such bound")
+    nodes = [r[0] for r in nodes_of(edges).where("id is not null").limit(in_memory + 1).collect()]
+    if len(nodes) > in_memory:
+        return _in_tables(edges, splits)
     near: dict[str, set[str]] = {v: set() for v in nodes}
     for a, b in undirected(edges).where("src <> dst").collect():
         near[a].add(b)
@@ -78,10 +76,30 @@ def girvan_newman(edges: DataFrame, splits: int = 2, max_nodes: int = MAX_NODES)
     return spark.createDataFrame(rows, "node string, group int")
 
 
+def _in_tables(edges: DataFrame, splits: int) -> DataFrame:
+    """Girvan-Newman with edges, loads and components in tables; one edge at a time comes to the driver."""
+    left = cut(undirected(edges).where("src <> dst"), "edges")
+    loads, parts = cut(edge_betweenness(left), "loads"), cut(connected_components(left), "parts")
+    while splits and (top := loads.select(F.round("betweenness", 9).alias("x"), "src", "dst").orderBy(F.desc("x"), "src", "dst").first()):
+        own = parts.where(F.col("id") == F.lit(top["src"])).first()["component"]
+        left = cut(left.where(~((F.col("src") == F.lit(top["src"])) & (F.col("dst") == F.lit(top["dst"])))), "edges")
+        touched = parts.where(F.col("component") == F.lit(own)).select(F.col("id").alias("src"))
+        inside = cut(left.join(touched, "src", "left_semi"), "inside")
+        again = connected_components(inside)
+        ends = again.where(F.col("id").isin(top["src"], top["dst"])).collect()
+        if len(ends) < 2 or ends[0]["component"] != ends[1]["component"]:
+            splits -= 1
+        loads = loads.join(touched, "src", "left_anti")
+        loads = cut(loads if inside.isEmpty() else loads.unionByName(edge_betweenness(inside)), "loads")
+        parts = cut(parts.where(F.col("component") != F.lit(own)).unionByName(again), "parts")
+    every = nodes_of(edges).where("id is not null").join(parts, "id", "left")
+    return numbered(every.select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component")))
+
+
 def label_communities(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
     """``(node, group)`` by label propagation on the undirected graph, weights aside; no bound on size.
 
-    Every node begins with its own label. In a round, half of the nodes (by a hash of node and round, so that two sides
+    Every node begins with its own label. In a round, half of the nodes (by the MD5 of node and round, so that two sides
     don't swap labels for ever) take the label that most of their neighbours and they themselves have; the least
     such label on a tie. It ends when no node of either half would change, or after ``rounds`` rounds. A group is a
     connected set of nodes of one label: groups are numbered from 1 in order of each one's least node, and a node without neighbours is its own.
@@ -94,7 +112,7 @@ def label_communities(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
         heard = both.join(labels.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "label").unionByName(labels)
         votes = heard.groupBy("id", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m")).select("id", F.col("m.label").alias("best"))
-        turn = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)) == 0
+        turn = F.substring(F.md5(F.concat_ws(":", "id", F.lit(k))), 1, 1) < "8"
         new = labels.join(best, "id").select("id", F.when(turn, F.col("best")).otherwise(F.col("label")).alias("label"), (F.col("best") != F.col("label")).alias("open"))
         step = cut(new, "labels")
         moved = not step.where("open").isEmpty()

@@ -40,9 +40,13 @@ def pagerank(edges: DataFrame, weight: str | None = "weight", alpha: float = 0.8
     return now.select("id", F.col("rank").alias("pagerank")), fixed is not None
 
 
-def rank_or_fall_back(edges: DataFrame, weight: str | None = "weight") -> tuple[DataFrame, str]:
-    """PageRank; if it doesn't converge, with more rounds and less precision; at last in-degree centrality. The label says which."""
-    for label, rounds, tol in (("pagerank", 100, 1e-6), ("pagerank (loose)", 500, 1e-5)):
+#: By mode, the attempts before in-degree centrality: label, rounds and tolerance.
+ATTEMPTS = {"directed": (("pagerank", 100, 1e-6), ("pagerank (loose)", 500, 1e-5)), "pipeline": (("pagerank", 200, 1e-6),)}
+
+
+def rank_or_fall_back(edges: DataFrame, weight: str | None = "weight", mode: str = "directed") -> tuple[DataFrame, str]:
+    """PageRank as the mode tries it; if that doesn't converge, in-degree centrality. The label says which."""
+    for label, rounds, tol in ATTEMPTS[mode]:
         ranks, converged = pagerank(edges, weight, max_iter=rounds, tol=tol)
         if converged:
             return ranks, label

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -12,19 +13,26 @@ from weftgraph.functions.text import hls_hex
 DEFAULT_COLOUR = "#aaaaaa"
 
 
-def colours(communities: DataFrame, seed: int | None = None) -> DataFrame:
-    """``(node, group, color)``: hues spread evenly over the groups, in order, or permuted by ``seed``."""
+def colours(communities: DataFrame, seed: int | None = None, palette: str = "even") -> DataFrame:
+    """``(node, group, color)``: hues spread evenly over the groups, in order, or permuted by ``seed``.
+
+    ``even`` is the directed mode's palette; ``soft`` is that of the other modes: hues begin at 0.01, colours are paler
+    and lighter, and the first group takes the last of them. The permutation steps through the places by a stride that has
+    no factor in common with their number, so it needs no list of the groups.
+    """
     groups = communities.select("group").distinct()
     total = groups.agg(F.count("*").alias("total"))  # one row
     place: Column = F.col("group") - 1
+    if palette == "soft":
+        place = F.col("total") - F.col("group")
     if seed is not None:
-        n = groups.count()
-        if n > 100_000:
-            raise ValueError("too many groups for a permuted palette")
-        shuffled = list(range(n))
-        random.Random(seed).shuffle(shuffled)
-        place = F.get(F.array(*[F.lit(x) for x in shuffled]), place)
-    coloured = groups.join(F.broadcast(total)).select("group", hls_hex((F.pmod(place, F.col("total"))) / F.col("total")).alias("color"))
+        n = max(1, groups.count())
+        draw = random.Random(seed)
+        stride = next(k for k in iter(lambda: draw.randrange(1, n + 1), None) if math.gcd(k, n) == 1)
+        place = F.pmod(place.cast("long") * stride + draw.randrange(n), F.lit(n))
+    hue = F.pmod(place, F.col("total")) / F.col("total")
+    made = hls_hex(hue) if palette == "even" else hls_hex(F.pmod(hue + 0.01, F.lit(1.0)), 0.6, 0.65, rounded=True)
+    coloured = groups.join(F.broadcast(total)).select("group", made.alias("color"))
     return communities.join(coloured, "group").select("node", "group", "color")
 
 

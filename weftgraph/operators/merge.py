@@ -1,39 +1,80 @@
 """One edge per ordered pair, from direct relations and proximity edges.
 
-Values of a pair are kept as arrays in order of appearance (direct relations by ``ord``, then proximity) and
-rendered as text only by ``rendered``. Ties in ``ord`` are ordered by the values themselves.
+A pair has at most one proximity edge, so direct relations are summed to one row per pair first and the two tables
+meet in one outer join; proximity rows never pass through a grouping. Values of a pair are kept as arrays in order of
+appearance (direct relations by ``ord``, then proximity) and rendered as text only by ``rendered``. Ties in ``ord`` are
+ordered by the values themselves. Chunk lists are as long as the pair's relations. ``chunks=False`` leaves them out; a mode
+that drops repeated labels then drops them by a partial aggregation before labels are gathered, so that a row holds a pair's
+different labels and not all of its relations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.schemas import DIRECTED, NOTEBOOK, Mode
 
+_PAIR = ["source", "target"]
+
 
 def union(direct: DataFrame, near: DataFrame) -> DataFrame:
     """Both tables under one schema; ``branch`` 0 for direct, 1 for proximity. Columns that one lacks are null in it."""
-    if "ord" not in direct.columns:
-        direct = direct.withColumn("ord", F.lit(None).cast("long"))
-    direct = direct.withColumn("chunk_ids", F.when(F.col("chunk_id").isNotNull(), F.array("chunk_id"))).drop("chunk_id")
+    direct = _with_ord(direct).withColumn("chunk_ids", F.when(F.col("chunk_id").isNotNull(), F.array("chunk_id"))).drop("chunk_id")
     return direct.withColumn("branch", F.lit(0)).unionByName(near.withColumn("branch", F.lit(1)), allowMissingColumns=True)
 
 
-def merge(direct: DataFrame, near: DataFrame, mode: Mode = DIRECTED) -> DataFrame:
-    """``(source, target, chunk_ids, relationships, weight, descriptions)``; weight is the sum, 0 if no row has one."""
-    rows = union(direct, near).where("source is not null and target is not null")
-    values = F.array_sort(F.collect_list(F.struct("branch", "ord", "relationship", "description", "chunk_ids")))
-    grouped = rows.groupBy("source", "target").agg(values.alias("v"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight"))
-    present = lambda name: F.filter(F.transform("v", lambda x: x[name]), lambda x: x.isNotNull())
-    once = F.array_distinct if mode.distinct else lambda x: x
-    return grouped.select("source", "target", F.flatten(present("chunk_ids")).alias("chunk_ids"), once(present("relationship")).alias("relationships"), "weight", once(present("description")).alias("descriptions"))
+def _with_ord(direct: DataFrame) -> DataFrame:
+    return direct if "ord" in direct.columns else direct.withColumn("ord", F.lit(None).cast("long"))
+
+
+def _in_order(value: str, alias: str) -> Column:
+    """A group's non-null values by ``ord``."""
+    rows = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct("ord", value))))
+    return F.transform(rows, lambda x: x[value]).alias(alias)
+
+
+def _different(direct: DataFrame, value: str, alias: str) -> DataFrame:
+    """Each pair's different values, in order of first appearance."""
+    firsts = direct.where(F.col(value).isNotNull()).groupBy(*_PAIR, value).agg(F.min("ord").alias("ord"))
+    return firsts.groupBy(*_PAIR).agg(_in_order(value, alias))
+
+
+def _summed(direct: DataFrame, mode: Mode, chunks: bool) -> DataFrame:
+    """``(source, target, w, relationships, descriptions[, own_chunks])`` of direct relations, one row per pair."""
+    rows = direct.where("source is not null and target is not null")
+    if chunks or not mode.distinct:  # a row holds all relations of its pair in any case
+        lists = [_in_order("relationship", "relationships"), _in_order("description", "descriptions"), *([_in_order("chunk_id", "own_chunks")] if chunks else [])]
+        return rows.groupBy(*_PAIR).agg(F.sum("weight").alias("w"), *lists)
+    out = rows.groupBy(*_PAIR).agg(F.sum("weight").alias("w"))
+    for value, alias in (("relationship", "relationships"), ("description", "descriptions")):
+        out = out.join(_different(rows, value, alias), _PAIR, "left")
+    return out
+
+
+def merge(direct: DataFrame, near: DataFrame, mode: Mode = DIRECTED, chunks: bool = True) -> DataFrame:
+    """``(source, target[, chunk_ids], relationships, weight, descriptions)``; weight is the sum, 0 if no row has one."""
+    found = _summed(_with_ord(direct), mode, chunks)
+    own = near.where("source is not null and target is not null").select(
+        *_PAIR, F.array("relationship").alias("n_relationships"), F.col("weight").alias("n_weight"), F.array("description").alias("n_descriptions"), *(["chunk_ids"] if chunks else [])
+    )
+    both = found.join(own, _PAIR, "full")
+    empty = F.array().cast("array<string>")
+
+    def values(mine: str, other: str) -> Column:
+        every = F.concat(F.coalesce(mine, empty), F.filter(F.coalesce(other, empty), lambda x: x.isNotNull()))
+        return F.array_distinct(every) if mode.distinct else every
+
+    listed = [F.concat(F.coalesce("own_chunks", empty), F.coalesce("chunk_ids", empty)).alias("chunk_ids")] if chunks else []
+    weight = F.coalesce("w", F.lit(0.0)) + F.coalesce("n_weight", F.lit(0.0))
+    return both.select(*_PAIR, *listed, values("relationships", "n_relationships").alias("relationships"), weight.alias("weight"), values("descriptions", "n_descriptions").alias("descriptions"))
 
 
 def rendered(edges: DataFrame, mode: Mode = DIRECTED) -> DataFrame:
     """Merged edges with their arrays as text, and a ``label``: the first relationship."""
+    listed = [F.array_join("chunk_ids", ",").alias("chunk_id")] if "chunk_ids" in edges.columns else []
     return edges.select(
-        "source", "target", F.array_join("chunk_ids", ",").alias("chunk_id"), F.array_join("relationships", mode.separator).alias("relationship"), "weight",
+        *_PAIR, *listed, F.array_join("relationships", mode.separator).alias("relationship"), "weight",
         F.array_join("descriptions", " | ").alias("description"), F.get("relationships", F.lit(0)).alias("label"),
     )
 
@@ -47,11 +88,16 @@ def split_label(edges: DataFrame, mode: Mode = DIRECTED) -> DataFrame:
 
 def merge_counts(direct: DataFrame, near: DataFrame, direct_count: int = 4, mode: Mode = NOTEBOOK) -> DataFrame:
     """``(node_1, node_2, chunk_id, edge, count)``: the notebook's merge; a direct relation counts ``direct_count``."""
-    rows = union(direct.withColumn("count", F.lit(direct_count).cast("long")), near).where("source is not null and target is not null")
-    values = F.array_sort(F.collect_list(F.struct("branch", "ord", "relationship", "chunk_ids")))
-    grouped = rows.groupBy(F.col("source").alias("node_1"), F.col("target").alias("node_2")).agg(values.alias("v"), F.sum("count").alias("count"))
-    chunks = F.flatten(F.filter(F.transform("v", lambda x: x["chunk_ids"]), lambda x: x.isNotNull()))
-    return grouped.select("node_1", "node_2", F.array_join(chunks, mode.separator).alias("chunk_id"), F.array_join(F.transform("v", lambda x: x["relationship"]), mode.separator).alias("edge"), "count")
+    rows = _with_ord(direct).where("source is not null and target is not null")
+    found = rows.groupBy(*_PAIR).agg(F.count("*").alias("rows"), _in_order("chunk_id", "own_chunks"), _in_order("relationship", "own_edges"))
+    both = found.join(near.select(*_PAIR, "chunk_ids", F.col("relationship").alias("near_edge"), F.col("count").alias("near_count")), _PAIR, "full")
+    empty = F.array().cast("array<string>")
+    chunks = F.concat(F.coalesce("own_chunks", empty), F.coalesce("chunk_ids", empty))
+    edges = F.concat(F.coalesce("own_edges", empty), F.when(F.col("near_edge").isNotNull(), F.array("near_edge")).otherwise(empty))
+    count = F.coalesce("rows", F.lit(0)) * direct_count + F.coalesce("near_count", F.lit(0))
+    return both.select(
+        F.col("source").alias("node_1"), F.col("target").alias("node_2"), F.array_join(chunks, mode.separator).alias("chunk_id"), F.array_join(edges, mode.separator).alias("edge"), count.cast("long").alias("count")
+    )
 
 
 def top_edges(edges: DataFrame, n: int = 10) -> DataFrame:
@@ -59,6 +105,11 @@ def top_edges(edges: DataFrame, n: int = 10) -> DataFrame:
     return edges.orderBy(F.desc("weight"), "source", "target").limit(n)
 
 
+def heaviest(edges: DataFrame, n: int = 10, width: int = 35, mode: Mode = DIRECTED) -> DataFrame:
+    """``(weight, source, target, label)`` of the heaviest ``rendered`` edges, labels cut to ``width`` characters, as a summary prints them."""
+    return split_label(top_edges(edges, n), mode).select("weight", "source", "target", F.substring("label", 1, width).alias("label"))
+
+
 def weight_range(edges: DataFrame) -> DataFrame:
     """Number of edges and their least and largest weight."""
     return edges.agg(F.count("*").alias("edges"), F.min("weight").alias("least"), F.max("weight").alias("largest"))

@@ -1,6 +1,7 @@
 """The flows of the modes, from relations or text to a styled graph.
 
-``communities`` is Girvan-Newman, which refuses graphs over its bound; for those ``community.label_communities`` can be given, another measure.
+``communities`` is the community step: ``community.girvan_newman``, as the modes have it, or ``community.label_communities``, another measure
+whose cost grows with the graph only. Girvan-Newman works at every size, but its cost grows with nodes times edges; which one runs is the caller's choice.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import chunking, clean, concepts, entities, extract, merge, proximity
 from weftgraph.operators.graph import build, community, rank, style
-from weftgraph.schemas import DIRECTED, NOTEBOOK, PIPELINE, Mode
+from weftgraph.schemas import CONCEPT, DIRECTED, NOTEBOOK, PIPELINE, Mode
 from weftgraph.sources import files, html
 from weftgraph.storage import cut
 
@@ -33,7 +34,7 @@ def prepared(relations: DataFrame, mode: Mode, cached: bool = True) -> DataFrame
     """Relations as the mode's later steps take them: from a file (``cached``) or fresh from an extractor."""
     if not cached:
         return clean.clean_relations(relations, mode.parsed_weight)
-    old = "node_1" in relations.columns
+    old = "node_1" in relations.columns and "source" not in relations.columns
     rows = clean.with_defaults(clean.from_legacy(clean.from_cache(relations), mode.legacy_weight), mode.cached_weight)
     rows = clean.sanitize(rows, mode.normalize)
     if mode.normalize and not old:
@@ -43,19 +44,19 @@ def prepared(relations: DataFrame, mode: Mode, cached: bool = True) -> DataFrame
     return rows.withColumn("weight", F.col("weight").try_cast("double"))
 
 
-def merged_edges(relations: DataFrame, mode: Mode) -> DataFrame:
-    """Direct and proximity edges merged to one per pair."""
+def merged_edges(relations: DataFrame, mode: Mode, chunks: bool = True) -> DataFrame:
+    """Direct and proximity edges merged to one per pair; without lists of chunks if told so (the notebook's have them always)."""
     if mode.name == NOTEBOOK.name:
         return merge.merge_counts(relations, proximity.proximity(relations, mode))
-    return merge.rendered(merge.merge(relations, proximity.proximity(relations, mode), mode), mode)
+    return merge.rendered(merge.merge(relations, proximity.proximity(relations, mode, chunks), mode, chunks), mode)
 
 
-def directed_graph(relations: DataFrame, mode: Mode = DIRECTED, seed: int | None = None, communities: Communities = community.girvan_newman) -> Graph:
-    """Edges, ranks, communities and styles of the directed modes."""
-    merged = cut(merged_edges(relations, mode), "edges")
+def directed_graph(relations: DataFrame, mode: Mode = DIRECTED, seed: int | None = None, communities: Communities = community.girvan_newman, chunks: bool = True) -> Graph:
+    """Edges, ranks, communities and styles of the directed modes. ``chunks=False`` keeps every row bounded."""
+    merged = cut(merged_edges(relations, mode, chunks), "edges")
     edges = build.edges_of(merged)
-    ranks, label = rank.rank_or_fall_back(edges)
-    groups = style.colours(communities(edges), seed)
+    ranks, label = rank.rank_or_fall_back(edges, mode=mode.name)
+    groups = style.colours(communities(edges), seed, mode.palette)
     return Graph(style.styled(build.nodes_of(edges), ranks, groups, mode.name), edges, merged, label)
 
 
@@ -63,16 +64,16 @@ def undirected_graph(relations: DataFrame, seed: int | None = None, communities:
     """The notebook mode: undirected edges, sizes by degree."""
     merged = cut(merged_edges(relations, NOTEBOOK), "edges")
     edges = build.last_written(merged).withColumns({"label": F.col("title"), "value": F.col("weight")})
-    groups = style.colours(communities(edges), seed).withColumnRenamed("node", "id")
+    groups = style.colours(communities(edges), seed, NOTEBOOK.palette).withColumnRenamed("node", "id")
     nodes = build.degree(edges).join(groups, "id", "left").select("id", F.coalesce("group", F.lit(0)).alias("group"), F.coalesce("color", F.lit(style.DEFAULT_COLOUR)).alias("color"), F.col("degree").alias("size"))
     return Graph(nodes, edges, merged, "degree")
 
 
-def concept_graph(rows: DataFrame, seed: int | None = None, communities: Communities = community.girvan_newman) -> Graph:
-    """The concept mode: co-occurring concepts, sizes by importance. Nodes seen only on the right have no size or colour."""
-    pairs = cut(clean.drop_nodes(concepts.cooccurrence(clean.clean_concepts(rows))), "concepts")
+def concept_graph(rows: DataFrame, seed: int | None = None, communities: Communities = community.girvan_newman, over_connected: tuple[str, ...] = ()) -> Graph:
+    """The concept mode: co-occurring concepts but ``over_connected`` ones, sizes by importance. Nodes seen only on the right have no size or colour."""
+    pairs = cut(clean.drop_nodes(concepts.cooccurrence(clean.clean_concepts(rows)), over_connected), "concepts")
     ends = pairs.select(F.col("entity_L").alias("src"), F.col("entity_R").alias("dst"))
-    groups = style.colours(communities(ends), seed)
+    groups = style.colours(communities(ends), seed, CONCEPT.palette)
     known = concepts.coloured(concepts.importance(pairs).withColumnRenamed("entity", "id"), groups, "id").withColumn("size", style.concept_size("importance"))
     nodes = build.nodes_of(ends).join(known, "id", "left")
     edges = build.last_written(pairs, "entity_L", "entity_R", 1.0, "chunks", "count").withColumns({"label": F.lit(None).cast("string"), "value": F.col("weight")})

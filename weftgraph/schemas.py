@@ -44,11 +44,13 @@ class Mode:
     normalize: bool = True
     proximity_label: str = "contextual proximity"
     proximity_description: str = ""
+    #: Which colours communities get: see ``style.colours``.
+    palette: str = "soft"
 
 
 # What proximity edges of the two directed modes say.
 PIPELINE = Mode("pipeline", True, ",", False, normalize=False, proximity_description="These concepts co-occur in the same text chunk.")
-DIRECTED = Mode("directed", True, " | ", True, proximity_description="Co-occurring concepts in the same text chunk.")
+DIRECTED = Mode("directed", True, " | ", True, proximity_description="Co-occurring concepts in the same text chunk.", palette="even")
 NOTEBOOK = Mode("notebook", False, ",", False)
 CONCEPT = Mode("concepts", False, ",", False)
 MODES = {m.name: m for m in (PIPELINE, DIRECTED, NOTEBOOK, CONCEPT)}

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from weftgraph.schemas import CHUNKS_CSV, CONCEPTS, RELATIONS
 
-_CSV = {"sep": "|", "header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+_CSV = {"sep": "|", "header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def text_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -62,8 +62,11 @@ def write_table(table: DataFrame, path: str) -> None:
 
 
 def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame], regenerate: bool = False) -> DataFrame:
-    """The table at ``path`` if it is there and not to be made again; else what ``compute`` gives, written there first."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    """The table at ``path`` if it is there and complete and not to be made again; else what ``compute`` gives, written there first.
+
+    Complete means that the writer has left its mark of success, so a half-written table is made again.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
     if regenerate or not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

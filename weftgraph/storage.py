@@ -1,13 +1,22 @@
-"""Shared-folder tables: how lineage is cut so that a lost executor costs a re-read, not a re-run."""
+"""Shared-folder tables: how lineage is cut so that a lost executor costs a re-read, not a re-run.
+
+Tables are written under ``weftgraph/`` in the folder of ``spark.checkpoint.dir``. A result may read such tables for as
+long as it is used, so they stay until they are dropped: one by one (``drop``), or all that a block of code has made
+(``scratch``), when what it returns has been written elsewhere or is no longer needed.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Paths made so far, by the blocks of ``scratch`` that are open.
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,7 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/weftgraph/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/weftgraph/{label}-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.append(path)
+    return path
 
 
 def cut(df: DataFrame, label: str = "table") -> DataFrame:
@@ -32,12 +44,29 @@ def cut(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by ``cut`` that no later plan reads."""
-    spark = df.sparkSession
-    root = f"{shared_dir(spark)}/weftgraph/"
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        if target.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()):
-            target.getFileSystem(conf).delete(target, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``cut`` that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/weftgraph/").toUri().getPath()
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().startswith(root):
+                _delete(spark, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete what the block has written to the shared folder when it ends. Paths taken out of the yielded list stay."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN[:] = [x for x in _OPEN if x is not made]
+        for path in made:
+            _delete(spark, path)
