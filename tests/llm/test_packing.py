@@ -84,3 +84,24 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert sorted((r["length"], r["offset"]) for r in rows) == [(2, 6), (3, 0), (3, 3)] or sum(r["length"] for r in rows) == 8
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 3
     assert packing.pack(frame.limit(0), WORD_BPE, 16).collect() == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abcdeinrstAZéÜßÿ", min_size=1, max_size=25), min_size=1, max_size=40))
+def test_merged_words_have_the_library_s_ids(words):
+    encoder = packing.stretch_encoder(WORD_BPE)
+    words = [w + ("", ".", ",")[k % 3] for k, w in enumerate(words)] + ["aaaaaaa", "b" * 64]
+    assert encoder.merges is not None
+    want = encoder.tokenizer.encode_batch(words, add_special_tokens=False)
+    assert encoder.encode_words(words) == {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, want, strict=True)}
+
+
+def test_other_tokenizers_go_to_the_library():
+    encoder = packing.StretchEncoder(tokenizer("byte_bpe_50k.json"))
+    assert encoder.merges is None and encoder.encode_new(["abc"]) == {"abc": np.array(encoder.tokenizer.encode("abc", add_special_tokens=False).ids, "<u4").tobytes()}
+
+
+def test_rows_alike_are_ranked_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 7)
+    rows = packing.pack(spark.createDataFrame([(None, "a b")] * 100 + [(1, "c")] * 30, "doc_id long, text string").repartition(3), WORD_BPE, 16).collect()
+    assert len(rows) == 130 == len({(r["sequence_id"], r["offset"]) for r in rows}) and len({r["sequence_id"] for r in rows}) <= 24

@@ -9,11 +9,13 @@
    the longest length left that fits. What the patterns leave over is packed best fit, longest first,
    into the room left in sequences and into new ones. All of this works on counts of equal lengths, so
    its cost depends on ``capacity``, not on the number of pieces.
-5. The plan says for each length which ranks go to which sequences. Ranks within a length are counted in
-   ``BLOCKS`` hashed blocks, so that a length that many pieces share is no hot key.
+5. The plan says for each length which ranks go to which sequences; its size depends on ``capacity`` only, so it is
+   broadcast. Ranks within a length are counted in blocks of about ``BLOCK_ROWS`` rows, dealt by a hash of each row's place
+   in the written table, so that neither a length that many pieces share nor rows that repeat are a hot key.
 
 Tokenising: white space never lies inside a token of this tokenizer, so texts are split at ASCII white
-space and each distinct stretch is encoded once by the library and kept in a bounded cache.
+space and each distinct stretch is encoded once and kept in a bounded cache. Stretches of one word are merged many
+at a time by ``wordmerges``, which gives the library's ids; all others, and tokenizers of another kind, go to the library.
 
 Defined results: a null or empty text has only the end id; rows that repeat are packed as often as they
 occur; a null doc_id is a value like any other. Columns other than ``doc_id`` and ``text`` are not read.
@@ -21,6 +23,7 @@ occur; a null doc_id is a value like any other. Columns other than ``doc_id`` an
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -31,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.llm.wordmerges import WordMerges
 from weftgraph.storage import cut
 
-BINS, DEPTH, BLOCKS = 64, 4, 256
+BINS, DEPTH, BLOCK_ROWS = 64, 4, 50_000
 #: Entries and longest stretch that the cache of encoded stretches keeps.
 CACHE, CACHED_LENGTH = 600_000, 64
-#: Plans of more rows than this are joined by a shuffle.
-BROADCAST_ROWS = 100_000
-_WORD_END = "</w>"
+_MARKS = np.zeros(256, bool)
+_MARKS[[ord("."), ord(",")]] = True
 _ONE_WORD = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?").fullmatch
 _ENCODERS: dict[str, "StretchEncoder"] = {}
 
@@ -52,27 +55,30 @@ class StretchEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
+        try:
+            self.merges = WordMerges(json.loads(self.tokenizer.to_str()))
+        except (ValueError, KeyError):
+            self.merges = None
+
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of Latin letters with a full stop or a comma behind, or none, which is a word of its own to the tokenizer."""
+        raw = [x.lower().encode() for x in words]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        begin = np.cumsum([0, *map(len, raw)])
+        starts = np.union1d(begin[:-1], np.flatnonzero(_MARKS[data]))
+        ids = self.merges.encode(data, starts)
+        held = ids >= 0
+        at = (4 * np.append(0, np.cumsum(held))[begin]).tolist()
+        flat = ids[held].astype("<u4").tobytes()
+        return {x: flat[a:b] for x, a, b in zip(words, at, at[1:], strict=False)}
 
     def encode_new(self, stretches: list[str]) -> dict[str, bytes]:
         """Ids of stretches without ASCII white space."""
         words, rest, out = [], [], {}
         for x in stretches:
-            (words if _ONE_WORD(x) else rest).append(x)
-        for i in range(0, len(words), 20_000):
-            some = words[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            last = np.cumsum([1 if x[-1] not in ".," else 2 for x in some]) - 1
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != last[-1] + 1:  # a tokenizer of another kind
-                rest += some
-                continue
-            data, begin = ids.tobytes(), 0
-            for x, end in zip(some, (4 * ends[last]).tolist(), strict=True):
-                out[x] = data[begin:end]
-                begin = end
+            (words if self.merges and _ONE_WORD(x) else rest).append(x)
+        for i in range(0, len(words), 50_000):
+            out |= self.encode_words(words[i : i + 50_000])
         if rest:
             encoded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
             out.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(rest, encoded, strict=True))
@@ -292,13 +298,14 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int
     cutted = cut(pieces(documents, tokenizer, capacity, end_id), "pieces")
     histogram = {r["length"]: r["n"] for r in cutted.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rows = plan(histogram, capacity)
-    made = spark.createDataFrame(rows or [(0, 0, 0, 0, 0, 1)], "p_length long, first long, last long, sequence long, at long, times long")
-    if len(rows) <= BROADCAST_ROWS:
-        made = F.broadcast(made)
-    blocked = cutted.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BLOCKS)))
+    made = F.broadcast(spark.createDataFrame(rows or [(0, 0, 0, 0, 0, 1)], "p_length long, first long, last long, sequence long, at long, times long"))
+    # At most ``capacity`` rows: how many blocks the ranks of a length are counted in.
+    dealt = F.broadcast(spark.createDataFrame([(length, -(-n // BLOCK_ROWS)) for length, n in histogram.items()] or [(0, 1)], "length long, blocks long"))
+    placed_rows = cutted.select("*", F.xxhash64("_metadata.file_name", "_metadata.row_index").alias("place")).join(dealt, "length")
+    blocked = placed_rows.withColumn("block", F.pmod("place", "blocks")).drop("blocks")
     sizes = blocked.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = sizes.select("length", "block", (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    inside = F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32", "place")) - 1
     ranked = blocked.withColumn("inside", inside).join(before, ["length", "block"]).withColumn("rank", F.col("before") + F.col("inside"))
     placed = ranked.join(made, (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     nth = F.col("rank") - F.col("first")
