@@ -37,7 +37,8 @@ def test_predictions_ignore_labels_sources_and_held_out_rows(spark):
 def test_odd_rows(spark):
     odd = [(None, "ba bo", "xx"), (1001, None, "xx"), (1002, "", None), (1003, "123 -- !?", None), (1004, "BA BO BRI NE", None), (1005, "bone " * 50_000, None), (1006, "日本", None)]
     frame = spark.createDataFrame([*corpus(), *odd, odd[4]], "doc_id long, text string, lang string").withColumns({"score": F.lit(7), "_found": F.lit(1)})
-    out = {r["doc_id"]: r for r in li.identify(frame.drop("_found")).collect()}
+    out = {r["doc_id"]: r for r in li.identify(frame).collect()}
+    assert {r["_found"] for r in out.values()} == {1}
     assert [out[i]["lang_pred"] for i in (1001, 1002, 1003)] == ["und"] * 3 and out[1001]["score"] == 0.0
     assert out[1004]["lang_pred"] == out[1005]["lang_pred"] == "xx"
     assert out[None]["held_out"] is False and out[1006]["lang_pred"] in SYLLABLES
@@ -60,3 +61,34 @@ def test_kernel_is_shared_ngrams_over_geometric_mean():
 
     a, b = grams(texts[0]), grams(texts[1])
     assert np.allclose(model.kernel(x), [[1, len(a & b) / (len(a) * len(b)) ** 0.5], [len(a & b) / (len(a) * len(b)) ** 0.5, 1]])
+
+
+def test_scores_are_those_of_ridge_regression_on_sets_of_ngrams(spark):
+    """Brute force: kernels by intersection of Python sets, and the same regression on them."""
+    rows = [*corpus(150, 3), (900, "ba BO!", "xx"), (901, "ba BO!", "xx")]
+    frame = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string")
+
+    def grams(t):
+        b = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in t.encode())
+        return {b[i : i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+
+    hashes = {(r["doc_id"], r["text"]): r["h"] for r in frame.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("h")).collect()}
+    learnt = sorted({(lang, hashes[(i, t)], t) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2})
+    languages = sorted({x[0] for x in learnt})
+    marks = [grams(t) for lang in languages for _, _, t in [x for x in learnt if x[0] == lang][: li.LANDMARKS // 3]]
+    like = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    k = np.array([[like(grams(t), m) for m in marks] for _, _, t in learnt])
+    a = k.T @ k + li.RIDGE * len(learnt) * np.array([[like(x, y) for y in marks] for x in marks])
+    y = np.where(np.array([x[0] for x in learnt])[:, None] == np.array(languages)[None, :], 1.0, -1.0)
+    w = np.linalg.lstsq(a + 1e-9 * np.trace(a) / len(a) * np.eye(len(a)), k.T @ y, rcond=None)[0]
+    for r in li.identify(frame).collect():
+        f = np.array([like(grams(r["text"]), m) for m in marks]) @ w
+        assert r["lang_pred"] == languages[int(f.argmax())] and abs(r["score"] - min(1, max(0, (f.max() + 1) / 2))) < 5e-3
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = [(i, "aba", lang) for i, lang in enumerate(["yy", "xx"] * 12)]
+    found = li.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).select("lang_pred").distinct().collect()
+    assert len(found) == 1
+    model = li.fit(["aba", "aba"], ["yy", "xx"])
+    assert li.predict(pa.array(["aba"]), model, model.lookup())[0] == ["xx"]

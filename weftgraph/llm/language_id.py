@@ -8,12 +8,13 @@ Landmarks are labelled texts, the same number from each language. One-versus-res
 regression is solved on the landmarks' span (Nystroem: subset of regressors), and texts are scored
 in batches: a 0/1 matrix of texts by n-grams, times landmarks, times coefficients.
 
-Training reads at most about ``per_language`` labelled texts of each language, chosen by a hash of
-their id; that bound is the only sampling. Every text is scored whole.
+Training reads about ``per_language`` labelled texts of each language, chosen by a hash of id and text; that bound is the only
+sampling. The driver gets the n-grams of the landmarks and sums of one size from the executors, never a text. Every text is scored whole.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter, or where there is no
 labelled text to learn from; ties go to the first language in sorted order; a row with a null doc_id
-is not held out, and is not learnt from. Columns other than ``doc_id``, ``text`` and ``lang`` are not read.
+is not held out, and is not learnt from; rows that repeat are learnt from once and get a result each. All columns of the input
+are carried along whatever their names, and columns named like the added ones are replaced; only ``doc_id``, ``text`` and ``lang`` are read.
 """
 
 from __future__ import annotations
@@ -25,9 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.names import free
 from weftgraph.llm import textkernels as tk
+from weftgraph.storage import cut, drop
 
 ORDERS, LANDMARKS, RIDGE = 3, 192, 1e-4
+#: Tasks among which the texts to learn from are dealt: so many sums go to the driver.
+PARTS = 16
 #: Entries of a batch's matrix of texts by n-grams.
 CELLS = 1 << 22
 UNKNOWN = "und"
@@ -104,27 +109,52 @@ class Model:
         return out
 
 
+def grams_of(data: np.ndarray) -> np.ndarray:
+    """The different n-grams of a text, sorted."""
+    return np.unique(np.concatenate([codes(data, n) for n in range(1, ORDERS + 1)]))
+
+
+def landmark_model(languages: list[str], landmarks: list[np.ndarray]) -> Model:
+    """A model without weights, of the landmarks' n-grams."""
+    grams = np.unique(np.concatenate([np.zeros(0, np.int32), *landmarks])).astype(np.int64)
+    rows = np.zeros((len(landmarks), len(grams)), np.float32)
+    for i, own in enumerate(landmarks):
+        rows[i, np.searchsorted(grams, own)] = 1
+    return Model(languages, grams, rows, np.zeros((0, 0)))
+
+
+def sums(model: Model, lookup: np.ndarray, column: pa.Array, labels: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``k.T @ k`` and ``k.T @ y`` of labelled texts, k being their kernel with the landmarks and y 1 for their language and -1 for others."""
+    m, names = len(model.landmarks), np.array(model.languages)
+    a, b = np.zeros((m, m)), np.zeros((m, len(names)))
+    for i, j, data, at in batches(column, len(model.grams)):
+        k = model.kernel_of(data, at, lookup).astype(np.float64)
+        a += k.T @ k
+        b += k.T @ np.where(np.array(labels[i:j])[:, None] == names[None, :], 1.0, -1.0)
+    return a, b
+
+
+def solve(model: Model, a: np.ndarray, b: np.ndarray, rows: int) -> Model:
+    """The model with the weights that ridge regression on the landmarks' span gives."""
+    a = a + RIDGE * rows * model.kernel(model.landmarks).astype(np.float64)
+    model.weights = np.linalg.lstsq(a + 1e-9 * np.trace(a) / len(a) * np.eye(len(a)), b, rcond=None)[0]
+    return model
+
+
+def chosen(labels: list[str]) -> tuple[list[str], list[int]]:
+    """The languages, and which rows are landmarks: the first of each language."""
+    languages = sorted(set(labels))
+    each = max(1, LANDMARKS // max(1, len(languages)))
+    return languages, [i for lang in languages for i in [k for k, x in enumerate(labels) if x == lang][:each]]
+
+
 def fit(texts: list[str], labels: list[str]) -> Model | None:
     """A model of labelled texts, given in the order in which landmarks are to be taken."""
-    languages = sorted(set(labels))
+    languages, landmarks = chosen(labels)
     if not languages:
         return None
-    each = max(1, LANDMARKS // len(languages))
-    landmarks = [i for lang in languages for i in [k for k, x in enumerate(labels) if x == lang][:each]]
-    grams = np.zeros(0, np.int32)
-    for i in landmarks:
-        data = np.frombuffer(texts[i].encode(), np.uint8)
-        grams = np.union1d(grams, np.concatenate([codes(data, n) for n in range(1, ORDERS + 1)]))
-    model = Model(languages, grams.astype(np.int64), np.zeros((0, len(grams)), np.float32), np.zeros((0, 0)))
-    lookup = model.lookup()
-    chosen = pa.array([texts[i] for i in landmarks])
-    model.landmarks = np.concatenate([presence(data, at, lookup, len(grams)) for _, _, data, at in batches(chosen, len(grams))])
-    k = np.concatenate([model.kernel_of(data, at, lookup) for _, _, data, at in batches(pa.array(texts), len(grams))]).astype(np.float64)
-    kmm = k[landmarks]
-    y = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    a = k.T @ k + RIDGE * len(texts) * kmm
-    model.weights = np.linalg.lstsq(a + 1e-9 * np.trace(a) / len(a) * np.eye(len(a)), k.T @ y, rcond=None)[0]
-    return model
+    model = landmark_model(languages, [grams_of(np.frombuffer(texts[i].encode(), np.uint8)) for i in landmarks])
+    return solve(model, *sums(model, model.lookup(), pa.array(texts), labels), len(texts))
 
 
 def _model(broadcast, number: int) -> tuple[Model, np.ndarray]:
@@ -179,16 +209,43 @@ def held_out(doc_id: Column) -> Column:
 def train(documents: DataFrame, per_language: int = 1000) -> Model | None:
     """Learn from rows with a language and an id that is not held out."""
     able = documents.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    able = able.select("text", F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
+    able = able.select("text", F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("h"))
     sizes = {r["lang"]: r["n"] for r in able.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    # Twice the bound by hash, then the bound by order of the hash: a bounded number of rows leaves the executors.
-    most = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(min(1.0, 2 * per_language / n) * (1 << 30)) + 1))])
-    rows = able.where(F.col("h") < most[F.col("lang")]).collect()
-    rows.sort(key=lambda r: (r["lang"], r["h"], r["text"]))
-    kept = [r for i, r in enumerate(rows) if i < per_language or rows[i - per_language]["lang"] != r["lang"]]
-    return fit([r["text"] for r in kept], [r["lang"] for r in kept])
+    most = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(min(1.0, per_language / n) * (1 << 30)) + 1))])
+    sample = cut(able.where(F.col("h") < most[F.col("lang")]).dropDuplicates(["lang", "h"]), "labelled")
+    keys = sorted((r["lang"], r["h"]) for r in sample.select("lang", "h").collect())
+    languages, landmarks = chosen([lang for lang, _ in keys])
+    if not languages:
+        return None
+    wanted = F.broadcast(documents.sparkSession.createDataFrame([keys[i] for i in landmarks], "lang string, h long"))
+
+    def grams(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            own = [grams_of(np.frombuffer(x.encode(), np.uint8)).tolist() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.list_(pa.int32()))], ["lang", "h", "grams"])
+
+    found = {(r["lang"], r["h"]): np.array(r["grams"], np.int32) for r in sample.join(wanted, ["lang", "h"]).select("lang", "h", "text").mapInArrow(grams, "lang string, h long, grams array<int>").collect()}
+    model = landmark_model(languages, [found[keys[i]] for i in landmarks])
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def partial(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total, first = shared.value, None, None
+        lookup = own.lookup()
+        for batch in batches_:
+            first = batch.column(0)[0].as_py() if first is None else first
+            got = sums(own, lookup, batch.column(2), batch.column(1).to_pylist())
+            total = got if total is None else (total[0] + got[0], total[1] + got[1])
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in total]], ["h", "a", "b"])
+
+    dealt = sample.select("h", "lang", "text").repartition(PARTS, "h").sortWithinPartitions("h", "lang")
+    parts = sorted(dealt.mapInArrow(partial, "h long, a binary, b binary").collect(), key=lambda r: r["h"])
+    a, b = (sum(np.frombuffer(r[c]) for r in parts) for c in ("a", "b"))
+    shared.destroy()
+    drop(sample)
+    return solve(model, a.reshape(len(landmarks), -1), b.reshape(len(landmarks), -1), len(keys))
 
 
 def identify(documents: DataFrame, per_language: int = 1000, known: bool = False) -> DataFrame:
@@ -200,4 +257,5 @@ def identify(documents: DataFrame, per_language: int = 1000, known: bool = False
     broadcast = documents.sparkSession.sparkContext.broadcast(model)
     found = _predictor(broadcast, int(broadcast._jbroadcast.id()))(F.col("text").cast("string"))
     names = ["lang_pred", "score", *(["known"] if known else [])]
-    return out.withColumn("_found", found).withColumns({x: F.col(f"_found.{x}") for x in names}).drop("_found")
+    own = free([*out.columns, *names], "found")[0]
+    return out.withColumn(own, found).withColumns({x: F.col(f"{own}.{x}") for x in names}).drop(own)
