@@ -52,6 +52,13 @@ def test_odd_rows(spark):
     assert sorted(out, key=str) == [(1, "")] * 6 + [(None, "x\nz")]
 
 
+def test_columns_of_the_caller_keep_their_names_and_values(spark):
+    names = ["_gone", "gone", "_doc", "doc", "_check", "Check", "lines", "_lines", "pos", "site", "first"]
+    frame = spark.createDataFrame(ROWS, "doc_id long, text string, source string").withColumns({n: F.lit(n) for n in names})
+    out = ld.dedup_lines(frame)
+    assert out.columns == [*frame.columns, "n_lines", "n_removed"] and [out.first()[n] for n in names] == names
+
+
 def test_sql_says_the_same(spark):
     db = duckdb.connect()
     db.register("documents", pd.DataFrame(ROWS, columns=["doc_id", "text", "source"]))

@@ -10,7 +10,10 @@ occurrence stays (least doc_id, hash of the text and line number) and every othe
 Defined results: a null text stays null and has no lines; blank lines stay; a null source is no
 site; a text whose lines all go becomes empty; rows equal in doc_id and text are one document and
 lose the same lines; lines are counted once a site, however often they repeat. All columns of the
-input are carried along, and columns named like the added ones are replaced.
+input are carried along, whatever their names, and columns named like the added ones are replaced.
+
+The lines' keys are written once and read by each of the three steps that need them; texts are split twice, for that and
+for the result.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.names import free
 from weftgraph.storage import cut
 
 LG_K = 11
@@ -54,21 +58,22 @@ def dedup_lines(documents: DataFrame, min_sites: int = 5) -> DataFrame:
     """``documents`` with boilerplate lines taken out of ``text``, and ``n_lines`` and ``n_removed``."""
     docs = documents.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string"), "source": F.col("source").cast("string")})
     docs = docs.drop("n_lines", "n_removed")
-    lines = _keyed(docs.select("doc_id", "text", "source"))
+    lines = cut(_keyed(docs.select("doc_id", "text", "source")), "lines")
     spread = cut(boilerplate(lines, min_sites), "boilerplate")
+    doc, check, gone, own = free([*docs.columns, "n_lines", "n_removed"], "doc", "check", "gone", "lines")
     here = F.struct("doc_id", "check", "pos")
-    gone = lines.join(spread, ["a", "b", "c"]).where(~here.eqNullSafe(F.col("first")))
-    gone = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("check").alias("_check")).agg(F.collect_set("pos").alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_check")), "left")
-    every = F.sequence(F.lit(0), F.size("_lines") - 1)
-    left = F.array_join(F.transform(F.array_except(every, "_gone"), lambda i: F.get("_lines", i)), "\n")
-    out = joined.withColumn("_lines", _lines(F.col("text")))
+    out = lines.join(spread, ["a", "b", "c"]).where(~here.eqNullSafe(F.col("first")))
+    out = out.groupBy(F.col("doc_id").alias(doc), F.col("check").alias(check)).agg(F.collect_set("pos").alias(gone))
+    out = docs.join(out, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(check)), "left")
+    every = F.sequence(F.lit(0), F.size(own) - 1)
+    left = F.array_join(F.transform(F.array_except(every, gone), lambda i: F.get(own, i)), "\n")
+    out = out.withColumn(own, _lines(F.col("text")))
     out = out.withColumns({
-        "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left),
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long"),
-        "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
+        "text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(left),
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(own)).cast("long"),
+        "n_removed": F.greatest(F.lit(0), F.coalesce(F.size(gone), F.lit(0))).cast("long"),
     })
-    return out.select(*docs.columns, "n_lines", F.when(F.col("n_removed") < 0, 0).otherwise(F.col("n_removed")).alias("n_removed"))
+    return out.drop(doc, check, gone, own)
 
 
 #: The same rows in DuckDB's SQL.
