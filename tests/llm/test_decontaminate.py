@@ -46,7 +46,7 @@ def corpus(seed):
 
 def test_equals_brute_force_for_all_lengths_of_items(spark):
     docs, items = corpus(1)
-    items = [x for x in items if len(words(x[1])) != 1]
+    assert {len(words(t)) for _, t in items} >= {0, 1, 2, 3}
     assert run(spark, docs, items, 4) == brute(docs, items, 4)
 
 
@@ -55,6 +55,29 @@ def test_benchmark_in_blocks_gives_the_same(spark):
     assert run(spark, docs, items, 4, block_bytes=16) == brute(docs, items, 4)
 
 
+def test_fifty_blocks_and_one_table_at_a_time(spark):
+    r = random.Random(6)
+    items = [(i, " ".join(f"w{r.randrange(400)}" for _ in range(12))) for i in range(150)]
+    docs = [(i, " ".join([*(f"w{r.randrange(400)}" for _ in range(5)), *(items[(7 * i + k) % 150][1] for k in range(i % 3)), "end"])) for i in range(40)]
+    size = sum(len(t) for _, t in items)
+    got = run(spark, docs, items, block_bytes=size // 50)
+    assert got == brute(docs, items, 10) and sum(n > 0 for _, n, _ in got.values()) > 20
+    dc._TABLES[0] = []
+    dc._tables(type("B", (), {"value": []})(), 1, 10)
+    assert set(dc._TABLES) == {1}
+    dc._TABLES.clear()
+
+
+def test_columns_of_the_caller_keep_their_names_and_values(spark):
+    names = ["_found0", "found", "_found", "a", "B", "c", "more", "f"]
+    d = spark.createDataFrame([(1, "x y z"), (None, "x y z"), (None, "x y z")], "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    bench = spark.createDataFrame([(1, "x y"), (2, "y z")], "item_id long, text string")
+    for size in (2 << 20, 1):
+        out = dc.decontaminate(d, bench, 2, block_bytes=size)
+        assert set(out.columns) == {*d.columns, "n_words", "n_hit", "spans", "items"} and [out.first()[n] for n in names] == names
+        assert [(r["n_hit"], r["items"]) for r in out.collect()] == [(3, ["1", "2"])] * 3
+
+
 def test_odd_rows(spark):
     item = "One two-three FOUR; five 6 seven éight nine ten eleven"
     docs = [(1, None), (2, ""), (3, "x " * 50_000 + item), (4, item.upper().replace("É", "é")), (5, "One two three"), (6, "!!"), (7, item + " " + item)]

@@ -7,14 +7,15 @@ sooner; a block of shift 0 ends some pattern, and its bucket holds the patterns
 which are compared word by word. A block that no pattern holds moves the search by m - 1 words,
 so most words of a document are never looked up.
 
-The benchmark is read in blocks of at most ``block_bytes`` of text, each broadcast on its own and
-searched by its own pass over the text, so nothing that is broadcast grows with the benchmark.
-Documents are not shuffled.
+The benchmark is read in blocks of about ``block_bytes`` of text (one item at least). Each block is broadcast, searched in a
+pass over the texts of its own, and given up: neither the driver nor a worker ever holds the tables of two blocks, so memory
+doesn't grow with the benchmark, and time grows with it by passes. Of a pass only the texts that were hit leave a row, keyed
+by hashes of the text, and these rows are joined back at the end. With one block there is one pass and no join.
 
 Defined results: a null text has no words; an item that is null or has no words has no windows;
 an item with a null id marks words but is named in no list; an item id with several texts is one
-item with the windows of all of them. Other columns are carried along untouched; columns of the
-input named like the added ones are replaced.
+item with the windows of all of them; rows that repeat, or lack an id, get a result each. Other columns are carried along
+whatever their names; columns of the input named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -27,10 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.names import free
+from weftgraph.storage import cut
+
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _RESULT = "struct<n_words:long, spans:array<struct<first:int, last:int>>, items:array<string>>"
 _SPAN = pa.struct([("first", pa.int32()), ("last", pa.int32())])
 _ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(_SPAN)), ("items", pa.list_(pa.string()))])
+#: Tables of the one block that this worker searches for now.
 _TABLES: dict[int, list["WuManber"]] = {}
 
 
@@ -101,8 +106,9 @@ def find(text: bytes | None, tables: list[WuManber]) -> tuple[int, list[tuple[in
 
 
 def _tables(broadcast, number: int, window: int) -> list[WuManber]:
-    """``number`` tells broadcasts apart: a worker builds the tables of one once."""
+    """``number`` tells broadcasts apart: a worker builds the tables of one once, and forgets those of the one before."""
     if number not in _TABLES:
+        _TABLES.clear()
         _TABLES[number] = searchers(broadcast.value, window)
     return _TABLES[number]
 
@@ -125,14 +131,29 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    found = []
-    for b in range(blocks):
+
+    def found(table: DataFrame, b: int, name: str) -> tuple[DataFrame, object]:
         rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         broadcast = spark.sparkContext.broadcast([(r["item_id"], r["text"].encode()) for r in rows])
-        found.append(_finder(broadcast, int(broadcast._jbroadcast.id()), window)(F.col("text").cast("string")))
-    out = documents.select("*", *[f.alias(f"_found{b}") for b, f in enumerate(found)])
-    spans = F.flatten(F.array(*[F.col(f"_found{b}.spans") for b in range(blocks)]))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"_found{b}.items") for b in range(blocks)]))))
-    out = out.withColumns({"n_words": F.col("_found0.n_words"), "spans": spans, "items": items})
+        return table.withColumn(name, _finder(broadcast, int(broadcast._jbroadcast.id()), window)(F.col("text").cast("string"))), broadcast
+
+    text = F.col("text").cast("string")
+    key = [F.xxhash64(text), F.hash(text), F.octet_length(text)]
+    passes = None
+    for b in range(1, blocks):
+        hit, broadcast = found(documents.select("text"), b, "f")
+        hit = cut(hit.where(F.size("f.spans") > 0).select(*[k.alias(n) for k, n in zip(key, "abc", strict=True)], "f.spans", "f.items").distinct(), "hits")
+        broadcast.destroy()
+        passes = hit if passes is None else passes.unionByName(hit)
+    out = documents.drop("n_words", "n_hit", "spans", "items")
+    first, a, b, c, more = free([*out.columns, "n_words", "n_hit", "spans", "items"], "found", "a", "b", "c", "more")
+    out, _ = found(out, 0, first)
+    spans, items = F.col(f"{first}.spans"), F.col(f"{first}.items")
+    if passes is not None:
+        rest = passes.groupBy("a", "b", "c").agg(F.struct(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")).alias(more))
+        rest = rest.withColumnsRenamed({"a": a, "b": b, "c": c})
+        out = out.join(rest, (key[0] == F.col(a)) & (key[1] == F.col(b)) & (key[2] == F.col(c)), "left")
+        spans, items = F.concat(spans, F.coalesce(f"{more}.spans", F.filter(spans, lambda _: F.lit(False)))), F.concat(items, F.coalesce(f"{more}.items", F.filter(items, lambda _: F.lit(False))))
+    out = out.withColumns({"n_words": F.col(f"{first}.n_words"), "spans": spans, "items": F.array_sort(F.array_distinct(items))})
     hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))))
-    return out.withColumn("n_hit", hit.cast("long")).drop(*[f"_found{b}" for b in range(blocks)])
+    return out.withColumn("n_hit", hit.cast("long")).drop(first, a, b, c, more)
