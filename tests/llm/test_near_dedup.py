@@ -120,6 +120,21 @@ def test_node_links_join_as_exhaustive_comparison_does():
     assert parts(links) == parts(want)
 
 
+def test_intersections_are_exact():
+    r = np.random.default_rng(8)
+    sets = [np.unique(r.integers(0, 40 if i % 2 else 5000, int(r.integers(1, 300)), dtype=np.uint64)) for i in range(40)]
+    want = np.array([[len(np.intersect1d(a, b)) if i != j else 0 for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    got = near_dedup.intersections(sets)
+    np.fill_diagonal(got, 0)
+    assert (got == want).all()
+
+
+def test_members_joined_already_are_linked_with_others_only():
+    sets = [np.arange(k, k + 20, dtype=np.uint64) for k in (0, 1, 2, 3)]
+    assert {x[1] for x in near_dedup.node_links([5, 6, 7, 8], sets, 75, [1, 1, 0, 0])} == {7, 8}
+    assert near_dedup.node_links([5, 6], sets[:2], 75, [1, 1]) == [] and near_dedup.node_links([5, 6], sets[:2], 75, [1, 0]) == [(5, 6)]
+
+
 def test_word_hashes_tell_words_apart():
     data, at = tk.flat(__import__("pyarrow").array(["The cat", "the CAT sat", "", None, "é"]))
     starts, ends, first = tk.words(data, at, tk.word_table(near_dedup.SEPARATORS))

@@ -11,10 +11,10 @@ ever holds more than two blocks of a node. A pair of similarity s shares a first
 1 - (1 - s ** 3) ** trees (at 0.75 and 21 trees: 0.99999). A split keeps it with probability 1 - (1 - s) ** branches; where
 all of a pair's nodes are split ``depth`` times it is 1 - (1 - s ** 3 * (1 - (1 - s) ** branches) ** depth) ** trees (0.99994; see ``recall``).
 
-Comparison inside a node takes the full sets. In nodes of many members a pair is first screened
-by ``SKETCH`` minwise values (a pair at the threshold fails the screen with probability 1e-5) and
-pairs already joined through others are passed over, as the result is the classes, not the links.
-Each node emits the links that join its members, fewer than it has members.
+Comparison inside a node takes the full sets, of every pair: the sizes of all intersections are counted exactly, by
+products of 0/1 matrices of members by shared shingles where there are many members. No sketch stands between a pair that
+meets and its comparison. Each node emits the links that join its members, fewer than it has members. What is written on
+the way is deleted when the links are.
 
 Defined results: a null or blank text has no shingles, links with nothing, and is its own
 component; a null doc_id has component null and is kept; rows that repeat a doc_id count as one
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import textkernels as tk
 from weftgraph.operators.graph.components import connected_components
-from weftgraph.storage import cut
+from weftgraph.storage import cut, drop, scratch
 
 SEPARATORS = b" \t\n\x0b\x0c\r"
 SKETCH = 64
@@ -40,8 +40,8 @@ SKETCH = 64
 ROOT = 3
 _TABLE = tk.word_table(SEPARATORS)
 _SALT = tk.mix(np.arange(1, 2 * SKETCH + 5, dtype=np.uint64))
-#: Lowest share of equal sketch values at which a pair is still compared: 4.25 standard deviations below the threshold.
-_SCREEN = 4.25
+#: Shingles of a matrix of members by shingles.
+_COLUMNS = 2048
 
 
 def _sketches(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -165,7 +165,7 @@ def _nodes(reps: DataFrame, fetch, percent: int, trees: int, branches: int, dept
 
 
 def recall(s: float, trees: int = 21, branches: int = 2, depth: int = 2) -> float:
-    """Least probability that a pair of similarity ``s`` meets, as when all its nodes are large; the screen apart."""
+    """Least probability that a pair of similarity ``s`` meets, as when all its nodes are large."""
     return 1 - (1 - s**ROOT * (1 - (1 - s) ** branches) ** depth) ** trees
 
 
@@ -215,37 +215,53 @@ def _fetcher(size: int):
     return fetch
 
 
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(code, kind="stable")
+    owner, held = owner[order], times[code[order]]
+    out, pairs = np.zeros((n, n), np.float32), []
+    for f in range(2, 6):  # shingles that few members hold: their pairs one by one
+        few = owner[held == f].reshape(-1, f)
+        pairs += [few[:, i] * n + few[:, j] for i in range(f) for j in range(f) if i != j]
+    out += np.bincount(np.concatenate(pairs), minlength=n * n).reshape(n, n)
+    owner, held = owner[held > 5], held[held > 5]
+    column = np.cumsum(np.append(0, np.diff(code[order][times[code[order]] > 5]) != 0)) if len(owner) else owner
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, [first, first + _COLUMNS])
+        part = np.zeros((n, _COLUMNS), np.float32)
+        part[owner[a:b], column[a:b] - first] = 1
+        out += part @ part.T
+    return out
+
+
 def node_links(ids: list[int], sets: list[np.ndarray], percent: int, sides: list[int] | None = None) -> list[tuple[int, int]]:
     """Links of at least ``percent`` similarity that join the members of one node. Members of side 1 are joined already."""
     n = len(ids)
     sizes = np.array([len(s) for s in sets])
-    order = np.argsort(sizes, kind="stable")
-    label = np.arange(n)
-    if sides is not None and any(sides):
-        joined = np.flatnonzero(sides)
-        label[joined] = joined[0]
-    sketches = None
-    if n > 8:
-        at = np.concatenate([[0], np.cumsum(sizes[order])])
-        sketches = _sketches(np.concatenate([sets[i] for i in order]), at)
-    s = percent / 100
-    floor = s - _SCREEN * (s * (1 - s) / SKETCH) ** 0.5
-    out = []
-    for x in range(n - 1):
-        i = order[x]
-        rest = np.arange(x + 1, n)
-        rest = rest[(sizes[order[rest]] * percent <= sizes[i] * 100) & (label[order[rest]] != label[i])]
-        if sketches is not None and len(rest):
-            like = (sketches[rest] == sketches[x]).mean(axis=1)
-            able = np.flatnonzero(like >= floor)
-            rest = rest[able[np.argsort(-like[able], kind="stable")]]
-        for j in order[rest]:
-            if label[j] == label[i]:
-                continue
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * common >= percent * (sizes[i] + sizes[j] - common):
-                out.append((ids[i], ids[j]))
-                label[label == label[j]] = label[i]
+    if n < 2:
+        return []
+    if n == 2:
+        common = 0 if sides is not None and all(sides) else len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(ids[0], ids[1])] if common and 100 * common >= percent * (sizes.sum() - common) else []
+    common = intersections(sets)
+    linked = (common > 0) & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
+    np.fill_diagonal(linked, False)
+    out, new = [], np.ones(n, bool)
+    joined = np.flatnonzero(sides) if sides is not None else []
+    for root in [joined, *[[x] for x in range(n)]]:
+        if not len(root) or not new[root].any():
+            continue
+        new[root] = False
+        todo = list(root)
+        while todo:
+            x = todo.pop()
+            found = np.flatnonzero(linked[x] & new)
+            new[found] = False
+            todo += found.tolist()
+            out += [(ids[x], ids[y]) for y in found]
     return out
 
 
@@ -293,17 +309,20 @@ def near_duplicates(
         held = texts.join(some, "rep").select("rep", "text", "h1").mapInArrow(_set_fetcher(size), "rep long, h1 long, set array<long>")
         return held.dropDuplicates(["rep", "h1"])
 
-    nodes, early = _nodes(reps, fetch, percent, trees, branches, depth, node_limit)
-    # Trees often agree on a node's members: such nodes are compared once. A node is known by two sums over its members.
-    member = F.xxhash64("rep", "h1", "side")
-    same = nodes.groupBy("node").agg(F.bit_xor(member).alias("x"), F.sum(F.shiftright(member, 8)).alias("y"), F.count("*").alias("n"))
-    chosen = same.groupBy("x", "y", "n").agg(F.min("node").alias("node")).select("node")
-    at = nodes.join(chosen, "node").groupBy("rep", "h1").agg(F.collect_set(F.struct("node", "side")).alias("nodes"))
-    held = texts.join(at, "rep").select("rep", "text", "h1", "nodes").mapInArrow(_fetcher(size), "node long, rep long, side int, set binary")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = held.repartition(parts, "node").sortWithinPartitions("node", "rep").mapInArrow(_comparer(percent), "src long, dst long")
-    links = links if early is None else links.unionByName(early)
-    found = connected_components(cut(links.distinct(), "links"))
+    with scratch(spark) as made:
+        nodes, early = _nodes(reps, fetch, percent, trees, branches, depth, node_limit)
+        # Trees often agree on a node's members: such nodes are compared once. A node is known by two sums over its members.
+        member = F.xxhash64("rep", "h1", "side")
+        same = nodes.groupBy("node").agg(F.bit_xor(member).alias("x"), F.sum(F.shiftright(member, 8)).alias("y"), F.count("*").alias("n"))
+        chosen = same.groupBy("x", "y", "n").agg(F.min("node").alias("node")).select("node")
+        at = nodes.join(chosen, "node").groupBy("rep", "h1").agg(F.collect_set(F.struct("node", "side")).alias("nodes"))
+        held = texts.join(at, "rep").select("rep", "text", "h1", "nodes").mapInArrow(_fetcher(size), "node long, rep long, side int, set binary")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        links = held.repartition(parts, "node").sortWithinPartitions("node", "rep").mapInArrow(_comparer(percent), "src long, dst long")
+        links = cut((links if early is None else links.unionByName(early)).distinct(), "links")
+        made.pop()  # the links themselves stay
+    found = connected_components(links)
+    drop(links)
     classes = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("c"))).otherwise(F.col("doc_id"))
