@@ -80,3 +80,34 @@ def test_cuts_follow_the_bytes_even_when_ids_are_far_apart(spark):
     rows = spark.createDataFrame([(i, 1 << 21) for i in range(20)] + [(1 << 60, 1)], "page_id long, bytes long")
     cuts = warc.cut_points(rows)
     assert cuts == sorted(set(cuts)) and 8 <= len(cuts) <= 21 and all(0 < c <= 1 << 60 for c in cuts)
+
+
+def test_heavy_ids_and_rows_without_one_are_dealt_to_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(warc, "shard_bytes", lambda total: 20_000)
+    rows = [(p, f"http://h/{i % 40}", f"{i % 60}" * 900) for i in range(120) for p in (None, 5)] + [(k, "http://x", "y" * 100) for k in range(3, 9)]
+    cuts = warc.cut_points(spark.createDataFrame([(p, len(t)) for p, _, t in rows], "page_id long, bytes long"))
+    assert cuts == sorted(cuts) and cuts.count(5) > 5 and cuts.count(warc.NULL) > 5 and max(cuts.count(c) for c in cuts if c not in (5, warc.NULL)) == 1
+    root = written(spark, rows)
+    found = warc.read_warc(spark, root).collect()
+    assert sorted((str(r["page_id"]), r["payload_bytes"]) for r in found) == sorted((str(p), len(t)) for p, _, t in rows)
+    assert sum(r["record_type"] == "response" for r in found) == len({t for _, _, t in rows})
+    bare = warc.read_warc(spark, root, payloads=False)
+    assert bare.where("payload is not null").isEmpty() and sorted(map(str, bare.drop("payload").collect())) == sorted(str(r) for r in warc.read_warc(spark, root).drop("payload").collect())
+    from pathlib import Path
+
+    assert len({p.name[:12] for p in Path(root.removeprefix("file://")).glob("shard-*")}) > 10
+
+
+def test_what_failed_attempts_left_is_deleted(spark):
+    from pathlib import Path
+
+    root = new_path(spark, "warc-test")
+    folder = Path(root.removeprefix("file://"))
+    folder.mkdir(parents=True)
+    (folder / ".tmp-0-0-shard-000000-0000.warc.gz").write_bytes(b"x")
+    warc.write_warc(frame(spark), root)
+    assert not list(folder.glob(".tmp*"))
+    files = warc._Files(root, 9, "a", 1 << 20)
+    files.add(b"r")
+    files.give_up()
+    assert not list(folder.glob(".tmp*")) and not list(folder.glob("shard-000009*"))

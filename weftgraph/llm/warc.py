@@ -3,9 +3,10 @@
 Records are dealt to shards by ranges of page_id. The cuts come from a histogram of payload bytes over
 the ids, refined where a bucket is heavier than a shard, so they follow from the data alone. Each shard
 is one task: it writes its records in order, each its own gzip member, and begins a new file whenever the
-compressed size passes ``file_bytes``. A file is written under a temporary name with the attempt in it and
+compressed size passes ``file_bytes``. A page_id (or the lack of one) that alone is heavier than a shard has as many shards as it
+needs, dealt by a hash of url and digest, which keeps rows that are alike together. A file is written under a temporary name with the attempt in it and
 renamed when complete; its name and bytes depend only on the data, so a task that runs again after a lost
-executor replaces a file by the same file. When all are there, a manifest with every file's records, bytes
+executor replaces a file by the same file. What attempts that failed have left is deleted when the manifest is there. When all are there, a manifest with every file's records, bytes
 and digest is written the same way; the reader takes files from the manifest only.
 
 Digests are made from the payload, as are lengths, record ids and HTTP headers. Of records with equal
@@ -41,6 +42,8 @@ MANIFEST = "manifest.json"
 DATE = "2024-01-01T00:00:00Z"
 #: Buckets of the first histogram, as a power of two, and by how many bits a heavy one is refined.
 FIRST_BITS, MORE_BITS = 12, 4
+#: The place of a null page_id among the others.
+NULL = -(1 << 63)
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 #: Rows that say what a record is sort before the record.
 _ROLE = 0
@@ -60,15 +63,16 @@ def shard_bytes(total: int) -> int:
 
 
 def cut_points(rows: DataFrame) -> list[int]:
-    """Least page_id of each shard but the first, from ``(page_id, bytes)``."""
-    known = rows.where("page_id is not null")
-    low, high, total = known.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
-    if low is None:
-        return []
+    """Least page_id of each shard but the first, from ``(page_id, bytes)``. An id is there once more for each further shard that it needs; ``NULL`` stands for none."""
+    weight = F.sum(F.col("bytes") + 500)
+    low, high, total, absent = rows.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes"), F.sum(F.when(F.col("page_id").isNull(), F.col("bytes") + 500))).first()
     target = shard_bytes(total or 0)
+    out = [NULL] * ((absent or 0) // target)
+    if low is None:
+        return out
+    known = rows.where("page_id is not null")
     bits = max(0, int(high - low).bit_length() - FIRST_BITS)
     at = F.col("page_id") - F.lit(low)
-    weight = F.sum(F.col("bytes") + 500)
     found = {(r["k"], bits): r["n"] for r in known.groupBy(F.shiftright(at, bits).alias("k")).agg(weight.alias("n")).collect()}
     while bits:
         heavy = [k for (k, b), n in found.items() if b == bits and n > target]
@@ -81,12 +85,17 @@ def cut_points(rows: DataFrame) -> list[int]:
             del found[(k, bits)]
         found |= {(r["k"], finer): r["n"] for r in split.collect()}
         bits = finer
-    out, held = [], 0
+    held, fresh = 0, not out
     for begin, n in sorted((low + (k << b), n) for (k, b), n in found.items()):
-        if held and held + n > target:
+        if n > target:  # a single id: its own shards, and the next id begins another
+            out += [begin] * -(-n // target)
+            held = target
+            fresh = False
+        elif (held and held + n > target) or not (held or fresh):
             out.append(begin)
-            held = 0
-        held += n
+            held = n
+        else:
+            held += n
     return out
 
 
@@ -135,6 +144,12 @@ class _Files:
         if self.size >= self.limit:
             self.close()
 
+    def give_up(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.fs.delete_file(self.tmp)
+            self.out = None
+
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
@@ -149,25 +164,30 @@ def _writer(root: str, file_bytes: int):
         context = TaskContext.get()
         attempt = f"{context.taskAttemptId()}-{context.attemptNumber()}"
         files, done, role, used = None, [], None, False
-        for batch in batches:
-            for shard, page, url, digest, kind, size, payload, first, first_url in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if kind == _ROLE:
-                    if role is None or role[0] != (page, url, digest):
-                        role, used = ((page, url, digest), first, first_url), False
-                    continue
-                if files is None or files.shard != shard:
-                    if files is not None:
-                        files.close()
-                        done += files.done
-                    files = _Files(root, shard, attempt, file_bytes)
-                shared = role is not None and role[0] == (page, url, digest)
-                # Equal rows are neighbours here: the first of them is the response.
-                revisit = shared and (used or (page, url or "") != role[1:])
-                used = True
-                files.add(_record("revisit" if revisit else "response", page, url, b"" if revisit else payload, size, digest, role[1] if shared else None))
-        if files is not None:
-            files.close()
-            done += files.done
+        try:
+            for batch in batches:
+                for shard, page, url, digest, kind, size, payload, first, first_url in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if kind == _ROLE:
+                        if role is None or role[0] != (page, url, digest):
+                            role, used = ((page, url, digest), first, first_url), False
+                        continue
+                    if files is None or files.shard != shard:
+                        if files is not None:
+                            files.close()
+                            done += files.done
+                        files = _Files(root, shard, attempt, file_bytes)
+                    shared = role is not None and role[0] == (page, url, digest)
+                    # Equal rows are neighbours here: the first of them is the response.
+                    revisit = shared and (used or (page, url or "") != role[1:])
+                    used = True
+                    files.add(_record("revisit" if revisit else "response", page, url, b"" if revisit else payload, size, digest, role[1] if shared else None))
+            if files is not None:
+                files.close()
+                done += files.done
+        except BaseException:
+            if files is not None:
+                files.give_up()
+            raise
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], ["name", "records", "bytes", "sha256"])
 
     return write
@@ -183,7 +203,7 @@ def write_warc(pages: DataFrame, root: str, file_bytes: int = 256 << 20, revisit
     firsts = rows.where(F.col("bytes") >= revisit_bytes).groupBy("digest", "bytes").agg(F.min(place).alias("f"), F.count("*").alias("n"))
     firsts = firsts.where("n > 1").select("digest", "bytes", "f.first", "f.first_url")
     cuts = cut_points(rows.select("page_id", "bytes"))
-    shard = _shard_of(spark, cuts)(F.col("page_id")).alias("shard")
+    shard = _shard_of(spark, cuts)(F.col("page_id"), F.xxhash64("url", "digest")).alias("shard")
     # Payloads move once: what a repeated payload's records are is joined without them, and meets them in the sort.
     key = [shard, "page_id", "url", "digest"]
     roles = rows.select("page_id", "url", "digest", "bytes").join(firsts, ["digest", "bytes"])
@@ -199,6 +219,9 @@ def write_warc(pages: DataFrame, root: str, file_bytes: int = 256 << 20, revisit
     with fs.open_output_stream(f"{path}/.tmp-{MANIFEST}", compression=None) as out:
         out.write(text.encode())
     fs.move(f"{path}/.tmp-{MANIFEST}", f"{path}/{MANIFEST}")
+    for left in fs.get_file_info(pafs.FileSelector(path)):
+        if left.base_name.startswith(".tmp-"):
+            fs.delete_file(left.path)
 
 
 def _shard_of(spark: SparkSession, cuts: list[int]):
@@ -207,9 +230,10 @@ def _shard_of(spark: SparkSession, cuts: list[int]):
     shared = spark.sparkContext.broadcast(np.array(cuts, np.int64))
 
     @F.arrow_udf("int")
-    def shard(column: pa.Array) -> pa.Array:
-        ids = column.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-        return pa.array(np.searchsorted(shared.value, ids, "right").astype(np.int32))
+    def shard(column: pa.Array, hashes: pa.Array) -> pa.Array:
+        ids = column.fill_null(NULL).to_numpy(zero_copy_only=False)
+        low, high = (np.searchsorted(shared.value, ids, side) for side in ("left", "right"))
+        return pa.array((high - hashes.to_numpy(zero_copy_only=False) % np.maximum(1, high - low + (ids == NULL))).astype(np.int32))
 
     return shard
 
@@ -228,7 +252,7 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def _reader(root: str):
+def _reader(root: str, payloads: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _open(root)
         fields = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -252,8 +276,8 @@ def _reader(root: str):
                             raise ValueError(f"payload digest in {name}")
                         size = int(re.search(rb"Content-Length: (\d+)", http)[1])
                         number = lambda x: None if x in (None, "-") else int(x)
-                        rows.append((number(headers["x-page"]), headers.get("warc-target-uri"), payload if response else None, size, own, headers["warc-type"], number(headers.get("x-refers-to-page"))))
-                        held += len(payload)
+                        rows.append((number(headers["x-page"]), headers.get("warc-target-uri"), payload if response and payloads else None, size, own, headers["warc-type"], number(headers.get("x-refers-to-page"))))
+                        held += 200 + (len(payload) if payloads else 0)
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_pylist([dict(zip(fields.names, r, strict=True)) for r in rows], fields)
                             rows, held = [], 0
@@ -262,15 +286,18 @@ def _reader(root: str):
     return read
 
 
-def read_warc(spark: SparkSession, root: str) -> DataFrame:
-    """``(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to)`` of the files of a manifest, verified."""
+def read_warc(spark: SparkSession, root: str, payloads: bool = True) -> DataFrame:
+    """``(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to)`` of the files of a manifest, verified.
+
+    Without ``payloads`` they are read and verified all the same, but stay where they are read and come out null.
+    """
     fs, path = _open(root)
     with fs.open_input_stream(f"{path}/{MANIFEST}") as stream:
         files = json.loads(stream.read())["files"]
     if not files:
         return spark.createDataFrame([], "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
     listed = spark.createDataFrame([(f["name"], f["sha256"]) for f in files], "name string, sha256 string").repartition(min(len(files), 10_000))
-    return listed.mapInArrow(_reader(root), "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return listed.mapInArrow(_reader(root, payloads), "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
@@ -278,7 +305,7 @@ def archive(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     root = new_path(spark, "warc")
     write_warc(pages, root, revisit_bytes=revisit_bytes)
-    return read_warc(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_warc(spark, root, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: The same rows in DuckDB's SQL: base32 digit by digit from the 40 hex digits of the SHA-1.
