@@ -38,3 +38,25 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     frame = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "d e")], "doc_id long, text string")
     assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in tc.token_counts(frame, BYTE_BPE, head=0).collect()) == [("1", 1), ("1", 2), ("1", 2), ("None", 2)]
     assert tc.token_counts(frame.limit(0), BYTE_BPE).collect() == []
+
+
+def test_a_long_pre_token_in_every_row_is_dealt_to_several_tasks(spark, library):
+    texts = [f"{'-' * 200} of{i}" for i in range(400)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor": "0.1"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        found = {r["doc_id"]: r["n_tokens"] for r in tc.token_counts(frame, BYTE_BPE, head=0).collect()}
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert found == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_long_pre_tokens_come_into_the_head_as_far_as_they_fit(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "-" * 200 + " a a b")], "doc_id long, text string")
+    assert set(tc._head(docs, BYTE_BPE, 10, 10)) == {"-" * 200, " a", " b"}
+    monkeypatch.setattr(tc, "HEAD_BYTES", 4)
+    assert " a" in tc._head(docs, BYTE_BPE, 10, 10) and "-" * 200 not in tc._head(docs, BYTE_BPE, 10, 10)
+    assert tc._head(docs.limit(0), BYTE_BPE, 10, 10) == {}

@@ -5,11 +5,12 @@ own splitting never crosses such a place, so a text's count is the sum over its
 strings included. Pieces are counted by the library once for each distinct pre-token; the counts are
 joined to per-document frequencies and summed. No ids are kept or shipped.
 
-The commonest pre-tokens would be hot keys of that join. So the ``head`` commonest of a hashed sample
-of documents (its size is ``sample`` rows or so, whatever the input's) are counted first, and this
-bounded table goes to every task; the sums over them need no join. All other pre-tokens, at most one row
+The commonest pre-tokens would be hot keys of that join. So the ``head`` commonest of a sample
+of documents (its size is ``sample`` rows or so, whatever the input's) are counted first, as many as fit into ``HEAD_BYTES``,
+and this bounded table goes to every task; the sums over them need no join. All other pre-tokens, at most one row
 for each document and pre-token, are dealt to tasks by pre-token and sorted, which brings a pre-token's
-rows together: it is counted there, once, and its count multiplies their frequencies. The sample decides
+rows together: it is counted there, once, and its count multiplies their frequencies. Spark splits a task that gets much more than the
+others, as by a long pre-token that very many documents hold, which is then counted once in each part. The sample decides
 where a pre-token is looked up, never its count.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); rows that repeat are counted each;
@@ -28,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.storage import cut, drop
+
 _CUT = re.compile(r"(?<=\S)(?= )")
 _ODD = re.compile(r"\s ")
-#: Longer pre-tokens are never taken into the head.
-HEAD_LENGTH = 32
+#: Bytes of all pre-tokens of the head; and of one, so that the commonest fit.
+HEAD_BYTES, HEAD_LENGTH = 8 << 20, 4096
 #: Size that marks a row as that of a pre-token.
 _REST = -1
 _TOKENIZERS: dict[str, object] = {}
@@ -69,7 +72,7 @@ def count_pieces(path: str, strings: list[str]) -> list[int]:
 
 def _head(documents: DataFrame, path: str, head: int, sample: int) -> dict[str, int]:
     share = min(1.0, sample / max(1, documents.count()))
-    chosen = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    chosen = documents if share == 1 else documents.sample(share, seed=1)
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +82,18 @@ def _head(documents: DataFrame, path: str, head: int, sample: int) -> dict[str,
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["unit", "n"])
 
     counted = chosen.select("text").mapInArrow(units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "unit").limit(head).select("unit").toArrow().column(0).to_pylist()
+    counted = cut(counted, "units")
+    # Places among the commonest are found without the texts: a pre-token is known by its hash until it is sure to fit.
+    ranked = counted.select(F.xxhash64("unit").alias("h"), "n", F.octet_length("unit").alias("size")).orderBy(F.desc("n"), "h").limit(head)
+    fits, held = set(), 0
+    for r in ranked.collect():
+        held += r["size"]
+        if held > HEAD_BYTES:
+            break
+        fits.add(r["h"])
+    least = counted.sparkSession.createDataFrame([(h,) for h in fits], "h long")
+    top = counted.withColumn("h", F.xxhash64("unit")).join(F.broadcast(least), "h").select("unit").toArrow().column(0).to_pylist()
+    drop(counted)
     return dict(zip(top, count_pieces(path, top), strict=True)) if top else {}
 
 
@@ -152,7 +166,7 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = 1024, head:
     rows = keyed.mapInArrow(_splitter(broadcast, int(broadcast._jbroadcast.id())), "doc_id long, check int, unit string, n long, n_bytes long")
     of_document = F.col("n_bytes") != _REST
     place = F.when(of_document, F.xxhash64("doc_id", "check")).otherwise(F.xxhash64("unit"))
-    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), place).sortWithinPartitions("unit")
+    dealt = rows.withColumn("place", place).hint("rebalance", "place").drop("place").sortWithinPartitions("unit")
     counted = dealt.mapInArrow(_multiplier(tokenizer), "doc_id long, check int, n long, n_bytes long")
     both = counted.groupBy("doc_id", "check").agg(F.sum("n").alias("n"), F.count_if(of_document).alias("rows"), F.max("n_bytes").alias("n_bytes"))
     tokens = F.expr("n div rows")
