@@ -39,7 +39,7 @@ def corpus(seed, groups=40, each=12, size=32, noise=0.02):
     return [(i, x, int(r.integers(3)) if i % 7 else 1) for i, x in enumerate(rows)]
 
 
-@pytest.mark.parametrize("options", [{}, {"leaf_limit": 20}, {"leaf_limit": 20, "sample": 60, "trees": 3}])
+@pytest.mark.parametrize("options", [{}, {"leaf_limit": 20}, {"leaf_limit": 20, "sample": 60}])
 def test_equals_brute_force(spark, options):
     rows = corpus(1)
     got, want = run(spark, rows, **options), brute(rows)
@@ -63,6 +63,23 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert ed.near_vectors(frame.limit(0)).collect() == []
 
 
+def test_dense_groups_are_counted_exactly_in_blocks(spark):
+    """A group of 150 vectors within the threshold of each other can't be split; every one of its links counts."""
+    r = np.random.default_rng(5)
+    base = r.normal(size=32)
+    rows = [(i, np.float32(base + 0.01 * r.normal(size=32)).tolist(), 1) for i in range(150)] + [(200 + i, np.float32(r.normal(size=32)).tolist(), 1) for i in range(150)]
+    got = run(spark, rows, leaf_limit=20, sample=50)
+    assert got == brute(rows) and got[0][0] == 149
+
+
+def test_leaves_are_split_until_they_are_small(spark):
+    r = np.random.default_rng(6)
+    reps = spark.createDataFrame([(i, i, np.float32(r.normal(size=24)).tolist()) for i in range(3000)], "rep long, a long, v array<float>")
+    members = ed._split_again(reps.select("rep", "a", F.lit(1).cast("long").alias("leaf")), reps, 0.98, 40)
+    sizes = [x["count"] for x in members.groupBy("leaf").count().collect()]
+    assert max(sizes) <= 40 and members.select("rep").distinct().count() == 3000 and sum(sizes) < 3 * 3000
+
+
 def test_spill_keeps_near_pairs_together():
     r = np.random.default_rng(2)
     x = r.normal(size=(4000, 48))
@@ -70,9 +87,12 @@ def test_spill_keeps_near_pairs_together():
     y = x + 0.018 * r.normal(size=x.shape)
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     near = (x * y).sum(axis=1) >= 0.98
-    forest = ed.Forest(4, 0.98, 100)
+    forest = ed.Forest(8, 0.98, 30)
     forest.fit("a", x)
-    a, b = forest.route("a", x), forest.route("a", y)
-    met = np.array([bool(set(p) & set(q)) for p, q in zip(a, b, strict=True)])
+    met, copies = np.zeros(len(x), bool), 0
+    (rows, leaves), (others, found) = forest.route("a", x), forest.route("a", y)
+    a, b = ({(i, leaf) for i, leaf in zip(p.tolist(), q.tolist(), strict=True)} for p, q in ((rows, leaves), (others, found)))
+    met[[i for i, _ in a & b]] = True
+    copies = len(rows) / len(x)
     assert near.sum() > 1000 and met[near].mean() > 0.999
-    assert np.mean([len(p) for p in a]) < 40
+    assert copies < 24
