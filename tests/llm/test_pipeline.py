@@ -1,9 +1,12 @@
 import random
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from weftgraph.llm import decontaminate
 from weftgraph.llm.queries import tokenizer
+from weftgraph.storage import new_path
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,3 +54,46 @@ def test_empty_corpus(spark, tmp_path):
     spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
     assert cp.run(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_every_stage_equals_brute_force_on_what_the_one_before_kept(spark, tmp_path):
+    """Each stage against the plain version of its operator, on rows that hold nulls, empty and repeated ones and further columns."""
+    import test_decontaminate
+    import test_line_dedup
+    import test_near_dedup
+    import test_packing
+    from tokenizers import Tokenizer
+
+    docs, bench = tables(spark, tmp_path)
+    rows = [*docs, (200, "", "xx", "s1"), (201, docs[0][1] + " ba", "xx", None), (202, "ba", "xx", "s2"), (203, "bo bri", None, "s3"), (204, "bo bri", None, "s3")]
+    now = spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in rows], COLUMNS).withColumns({n: F.lit(n) for n in ("lines", "h1", "found", "known", "kept")})
+    before = {i: (t, s) for i, t, _, s in rows}
+    for name, stage in cp.STAGES:
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / f"brute-{name}"))
+        now = spark.read.parquet(str(tmp_path / f"brute-{name}"))
+        found = now.collect()
+        after = {r["doc_id"]: (r["text"], r["source"]) for r in found} if name != "packing" else {}
+        if name == "language_id":
+            assert after == {i: x for i, x in before.items() if any(c.isalpha() for c in x[0] or "")}
+        if name == "line_dedup":
+            want = test_line_dedup.brute([(i, t, s) for i, (t, s) in before.items()])
+            assert {i: t for i, (t, _) in after.items()} == {i: t for i, (t, _, n) in want.items() if n == 0 or t.strip(" ")}
+        if name == "near_dedup":
+            want = test_near_dedup.brute([(i, t) for i, (t, _) in before.items()])
+            assert after == {i: x for i, x in before.items() if want[i][2]}
+        if name == "decontamination":
+            want = test_decontaminate.brute([(i, t) for i, (t, _) in before.items()], bench, 10)
+            assert after == {i: x for i, x in before.items() if want[i][1] == 0}
+        if name == "packing":
+            sequences, total = test_packing.check(found, [(i, t) for i, (t, _) in before.items()], Tokenizer.from_file(tokenizer("word_bpe_49k.json")), 4096)
+            assert sequences == -(-total // 4096)
+        before = after
+
+
+def test_a_run_leaves_only_its_result(spark, tmp_path):
+    tables(spark, tmp_path)
+    folder = Path(new_path(spark, "x").removeprefix("file://")).parent
+    before = set(folder.iterdir()) if folder.exists() else set()
+    out = cp.run(spark, str(tmp_path))
+    # The plan of the last stage has been run and written, so of all tables only that one is left.
+    assert [p.name.split("-")[1] for p in set(folder.iterdir()) - before] == ["packing"] and out.count() > 0
