@@ -165,8 +165,8 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = 1024, head:
     keyed = docs.select("doc_id", F.hash("text").alias("check"), "text")
     rows = keyed.mapInArrow(_splitter(broadcast, int(broadcast._jbroadcast.id())), "doc_id long, check int, unit string, n long, n_bytes long")
     of_document = F.col("n_bytes") != _REST
-    place = F.when(of_document, F.xxhash64("doc_id", "check")).otherwise(F.xxhash64("unit"))
-    dealt = rows.withColumn("place", place).hint("rebalance", "place").drop("place").sortWithinPartitions("unit")
+    # Rows of documents have no pre-token: they come to one task, which Spark splits as it does any that gets much more.
+    dealt = rows.hint("rebalance", "unit").sortWithinPartitions("unit")
     counted = dealt.mapInArrow(_multiplier(tokenizer), "doc_id long, check int, n long, n_bytes long")
     both = counted.groupBy("doc_id", "check").agg(F.sum("n").alias("n"), F.count_if(of_document).alias("rows"), F.max("n_bytes").alias("n_bytes"))
     tokens = F.expr("n div rows")
