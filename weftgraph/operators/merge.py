@@ -28,24 +28,29 @@ def _with_ord(direct: DataFrame) -> DataFrame:
     return direct if "ord" in direct.columns else direct.withColumn("ord", F.lit(None).cast("long"))
 
 
-def _in_order(value: str, alias: str) -> Column:
-    """A group's non-null values by ``ord``."""
-    rows = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct("ord", value))))
-    return F.transform(rows, lambda x: x[value]).alias(alias)
+def _gathered(*values: str) -> Column:
+    """A group's rows by ``ord``."""
+    return F.array_sort(F.collect_list(F.struct("ord", *values)))
+
+
+def _in_order(rows: str, value: str, alias: str) -> Column:
+    """The non-null values of gathered rows."""
+    return F.transform(F.filter(rows, lambda x: x[value].isNotNull()), lambda x: x[value]).alias(alias)
 
 
 def _different(direct: DataFrame, value: str, alias: str) -> DataFrame:
     """Each pair's different values, in order of first appearance."""
     firsts = direct.where(F.col(value).isNotNull()).groupBy(*_PAIR, value).agg(F.min("ord").alias("ord"))
-    return firsts.groupBy(*_PAIR).agg(_in_order(value, alias))
+    return firsts.groupBy(*_PAIR).agg(_gathered(value).alias("rows")).select(*_PAIR, _in_order("rows", value, alias))
 
 
 def _summed(direct: DataFrame, mode: Mode, chunks: bool) -> DataFrame:
     """``(source, target, w, relationships, descriptions[, own_chunks])`` of direct relations, one row per pair."""
     rows = direct.where("source is not null and target is not null")
     if chunks or not mode.distinct:  # a row holds all relations of its pair in any case
-        lists = [_in_order("relationship", "relationships"), _in_order("description", "descriptions"), *([_in_order("chunk_id", "own_chunks")] if chunks else [])]
-        return rows.groupBy(*_PAIR).agg(F.sum("weight").alias("w"), *lists)
+        wanted = {"relationship": "relationships", "description": "descriptions"} | ({"chunk_id": "own_chunks"} if chunks else {})
+        summed = rows.groupBy(*_PAIR).agg(F.sum("weight").alias("w"), _gathered(*wanted).alias("rows"))
+        return summed.select(*_PAIR, "w", *[_in_order("rows", value, alias) for value, alias in wanted.items()])
     out = rows.groupBy(*_PAIR).agg(F.sum("weight").alias("w"))
     for value, alias in (("relationship", "relationships"), ("description", "descriptions")):
         out = out.join(_different(rows, value, alias), _PAIR, "left")
@@ -89,12 +94,13 @@ def split_label(edges: DataFrame, mode: Mode = DIRECTED) -> DataFrame:
 def merge_counts(direct: DataFrame, near: DataFrame, direct_count: int = 4, mode: Mode = NOTEBOOK) -> DataFrame:
     """``(node_1, node_2, chunk_id, edge, count)``: the notebook's merge; a direct relation counts ``direct_count``."""
     rows = _with_ord(direct).where("source is not null and target is not null")
-    found = rows.groupBy(*_PAIR).agg(F.count("*").alias("rows"), _in_order("chunk_id", "own_chunks"), _in_order("relationship", "own_edges"))
+    found = rows.groupBy(*_PAIR).agg(F.count("*").alias("n"), _gathered("relationship", "chunk_id").alias("rows"))
+    found = found.select(*_PAIR, "n", _in_order("rows", "chunk_id", "own_chunks"), _in_order("rows", "relationship", "own_edges"))
     both = found.join(near.select(*_PAIR, "chunk_ids", F.col("relationship").alias("near_edge"), F.col("count").alias("near_count")), _PAIR, "full")
     empty = F.array().cast("array<string>")
     chunks = F.concat(F.coalesce("own_chunks", empty), F.coalesce("chunk_ids", empty))
     edges = F.concat(F.coalesce("own_edges", empty), F.when(F.col("near_edge").isNotNull(), F.array("near_edge")).otherwise(empty))
-    count = F.coalesce("rows", F.lit(0)) * direct_count + F.coalesce("near_count", F.lit(0))
+    count = F.coalesce("n", F.lit(0)) * direct_count + F.coalesce("near_count", F.lit(0))
     return both.select(
         F.col("source").alias("node_1"), F.col("target").alias("node_2"), F.array_join(chunks, mode.separator).alias("chunk_id"), F.array_join(edges, mode.separator).alias("edge"), count.cast("long").alias("count")
     )

@@ -37,9 +37,8 @@ def proximity(relations: DataFrame, mode: Mode = DIRECTED, chunks: bool = True,
     """
     half = pairs(mentions(relations), chunks).where((F.col("count") >= least) & (F.col("node_1") != "") & (F.col("node_2") != ""))
     rest = ["count", *(["chunk_ids"] if chunks else [])]
-    both = half.select(F.col("node_1").alias("source"), F.col("node_2").alias("target"), *rest).unionByName(
-        half.select(F.col("node_2").alias("source"), F.col("node_1").alias("target"), *rest)
-    )
+    ends = [F.struct(F.col(a).alias("source"), F.col(b).alias("target")) for a, b in (("node_1", "node_2"), ("node_2", "node_1"))]
+    both = half.select(F.inline(F.array(*ends)), *rest)  # a union would sum every pair twice
     return both.withColumns({
         "relationship": F.lit(mode.proximity_label), "weight": F.least(F.col("count"), F.lit(cap)).cast("double"), "description": F.lit(mode.proximity_description),
     })
