@@ -6,8 +6,8 @@ with spill: a vector nearer to the split than ``SPILL`` standard deviations of t
 threshold pair goes to both sides. The tops of the trees are fitted by the driver on a hashed sample of at most about
 ``sample`` representatives, and all vectors are routed through them. Leaves that hold more than ``leaf_limit`` vectors then are split
 again in rounds: a hashed sample of each such leaf, of about ``FIT_ROWS`` vectors, is fitted by a task, and the leaf's vectors are routed
-through its subtree, until leaves are small or can't be split, as when most of a leaf lies within the spill. So the size of
-leaves doesn't grow with the table. Between rounds only ids are kept.
+through its subtree, until leaves are small or can't be split, as when much of a leaf lies within the spill: such a leaf is a dense group, most
+of whose pairs are links to be counted. So the size of other leaves doesn't grow with the table. Between rounds only ids are kept.
 
 Members of a leaf are compared with each other; leaves that stay too large are compared as pairs of blocks, so none is too
 large for a task and none is left out. Each link is verified in double precision where it is found, and counted
@@ -37,6 +37,8 @@ from weftgraph.storage import cut, scratch
 #: Vectors of a fitted leaf in a sample at least, and levels of a tree at most.
 LEAF_SAMPLE, LEVELS = 16, 32
 SPILL = 0.4
+#: Vectors of both sides of a split at most, in those of the leaf.
+MOST_COPIES = 1.25
 #: Vectors of a leaf on which its subtree is fitted; numbers of the driver's sample at most.
 FIT_ROWS, SAMPLE_NUMBERS = 512, 8_000_000
 _FORESTS: dict[int, "Forest"] = {}
@@ -63,7 +65,7 @@ def fit_tree(p: np.ndarray, spill: float, leaf: float) -> dict[int, float]:
         q = p[own, level]
         at = float(np.median(q))
         left, right = own[q <= at + spill], own[q > at - spill]
-        if max(len(left), len(right)) > 0.9 * len(own):
+        if len(left) + len(right) > MOST_COPIES * len(own):  # comparing the parts would cost no less than comparing all
             continue
         splits[path] = at
         todo += [(2 * path, left), (2 * path + 1, right)]
