@@ -94,38 +94,34 @@ def _blocks(rows: DataFrame, mine: str, other: str, node_limit: int) -> tuple:
     return F.pmod(F.xxhash64("rep", "h1"), k).cast("int"), F.explode(F.sequence(F.lit(0), m - 1))
 
 
-def _led(large: DataFrame, fetch, percent: int, node_limit: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """Compare every member of each large node with one leader: links, nodes of doubtful members, and members not linked.
+def _led(large: DataFrame, fetch, percent: int, node_limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compare every member of each large node with one leader: links, nodes of doubtful members, and members not linked with their number.
 
     Members linked with the leader are joined by it. With distance 1 - similarity, which is a metric, a member
     at more than twice the threshold's distance from the leader can't be near one that is within it. So only members
     between the two must still meet the linked ones, block by block; and all that are not linked stay in the node.
-    The leader is the member of least hash, so the nodes that a dense group has in many trees mostly share it, and a
-    member is compared with it once.
+    The leader is the member of least hash, and is known by it (``lk``), so the nodes that a dense group has in many trees mostly
+    share it, and a member is compared with it once.
     """
-    member = F.struct(F.xxhash64("rep", "h1").alias("k"), "rep", "h1")
-    led = cut(large.select("node", "rep", "h1").join(large.groupBy("node").agg(F.min(member).alias("l")), "node").select("node", "rep", "h1", F.col("l.rep").alias("leader"), F.col("l.h1").alias("lh1")), "led")
-    pairs = led.select("rep", "h1", "leader", "lh1").distinct()
+    pairs = large.select("rep", "h1", "lk").distinct()
     sets = cut(fetch(pairs.select("rep", "h1").distinct()), "sets")
-    met = pairs.join(sets, ["rep", "h1"]).join(sets.select(F.col("rep").alias("leader"), F.col("h1").alias("lh1"), F.col("set").alias("leader_set")), ["leader", "lh1"])
+    leaders = sets.select(F.xxhash64("rep", "h1").alias("lk"), F.col("rep").alias("leader"), F.col("set").alias("leader_set")).join(pairs.select("lk").distinct(), "lk", "left_semi")
+    met = pairs.join(sets, ["rep", "h1"]).join(leaders, "lk")
     common = F.size(F.array_intersect("set", "leader_set"))
-    met = met.select("rep", "h1", "leader", "lh1", (100 * common).alias("c"), (F.size("set") + F.size("leader_set") - common).alias("u"))
+    met = met.select("rep", "h1", "lk", "leader", (100 * common).alias("c"), (F.size("set") + F.size("leader_set") - common).alias("u"))
     linked, doubtful = F.col("c") >= percent * F.col("u"), F.col("c") >= (2 * percent - 100) * F.col("u")
-    met = cut(met.select("rep", "h1", "leader", "lh1", F.when(linked, 0).when(doubtful, 1).otherwise(2).alias("far")), "met")
+    met = cut(met.select("rep", "h1", "lk", "leader", F.when(linked, 0).when(doubtful, 1).otherwise(2).alias("far")), "met")
     links = met.where("far = 0 and rep <> leader").select(F.col("rep").alias("src"), F.col("leader").alias("dst"))
-    placed = cut(led.join(met, ["rep", "h1", "leader", "lh1"]).select("node", "rep", "h1", "far"), "placed")
-    rest = placed.where("far > 0").select("node", "rep", "h1")
-    if placed.where("far = 1").isEmpty():
-        return links, None, rest
-    sizes = placed.groupBy("node").agg(F.count_if(F.col("far") == 0).alias("n0"), F.count_if(F.col("far") == 1).alias("n1")).where("n1 > 0")
-    both = cut(placed.where("far < 2").join(sizes, "node"), "doubts")
-    parts = []
+    placed = cut(large.join(met.select("rep", "h1", "lk", "far"), ["rep", "h1", "lk"]).select("node", "rep", "h1", "far"), "placed")
+    sizes = placed.groupBy("node").agg(*[F.count_if(F.col("far") == k).alias(f"n{k}") for k in range(3)]).where("n1 + n2 > 0")
+    left = cut(placed.join(sizes, "node").where("far > 0 or n1 > 0"), "left")
+    both, parts = left.where("far < 2 and n1 > 0"), []
     for far, mine, other in ((0, "n0", "n1"), (1, "n1", "n0")):
         own, meets = _blocks(both, mine, other, node_limit)
         rows = both.where(F.col("far") == far).select("node", "rep", "h1", own.alias("own"), meets.alias("meets"))
         pair = ("own", "meets") if far == 0 else ("meets", "own")
         parts.append(rows.select(F.xxhash64("node", F.lit("doubt"), *pair).alias("node"), "rep", "h1", F.lit(1 - far).alias("side")))
-    return links, parts[0].unionByName(parts[1]), rest
+    return links, parts[0].unionByName(parts[1]), left.where("far > 0").select("node", "rep", "h1", (F.col("n1") + F.col("n2")).alias("n"))
 
 
 def _nodes(reps: DataFrame, fetch, percent: int, trees: int, branches: int, depth: int, node_limit: int) -> tuple[DataFrame, DataFrame | None]:
@@ -134,7 +130,7 @@ def _nodes(reps: DataFrame, fetch, percent: int, trees: int, branches: int, dept
     level = reps.select(F.explode(F.array(*roots)).alias("node"), "rep", "h1")
     done = links = None
     for d in range(depth + 1):
-        size = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        size = level.groupBy("node").agg(F.count("*").alias("n"), F.min(F.xxhash64("rep", "h1")).alias("lk")).where("n > 1")
         sized = cut(level.join(size, "node"), "nodes")
         small = sized.where(F.col("n") <= node_limit).select("node", "rep", "h1", F.lit(0).alias("side"))
         done = small if done is None else done.unionByName(small)
@@ -145,10 +141,9 @@ def _nodes(reps: DataFrame, fetch, percent: int, trees: int, branches: int, dept
             break
         found, doubts, rest = _led(large, fetch, percent, node_limit)
         links = found if links is None else links.unionByName(found)
-        done = done if doubts is None else done.unionByName(doubts)
+        done = done.unionByName(doubts)
         if rest.isEmpty():
             return done, links
-        rest = rest.join(rest.groupBy("node").agg(F.count("*").alias("n")), "node")
         picks = F.explode(F.array(*[F.lit(b) for b in range(branches)]))
         split = (
             rest.where(F.col("n") > node_limit)
