@@ -149,3 +149,11 @@ def test_table_with_odd_rows(spark):
     # The long line has no mark at its end, so the notice behind it belongs to its paragraph.
     assert out == [("1", 1, ["mit"]), ("1", 1, ["mit"]), ("2", 0, []), ("3", 0, []), ("4", 1, ["cc-by-nc"]), ("None", 1, [])]
     assert licenses.scan_licenses(frame.limit(0)).collect() == []
+
+
+def test_ties_go_to_the_first_family():
+    templates = licenses.Templates()
+    families = sorted([*templates.families, licenses.UNKNOWN])
+    even = licenses.Classifier(families, np.zeros((licenses.WIDTH, len(families)), np.float32), np.zeros(len(families), np.float32), 1.0, templates)
+    assert scan(even, "AGPL License", "MIT License") == [[], []]  # no probability reaches the threshold
+    assert [f for _, f, _ in even.scan(*licenses._units(["GNU Affero General Public License", "MIT License"]), 0.0, 0.6)] == ["agpl"]
