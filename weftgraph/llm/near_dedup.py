@@ -105,7 +105,9 @@ def _led(large: DataFrame, fetch, percent: int, node_limit: int) -> tuple[DataFr
     """
     pairs = large.select("rep", "h1", "lk").distinct()
     sets = cut(fetch(pairs.select("rep", "h1").distinct()), "sets")
-    leaders = sets.select(F.xxhash64("rep", "h1").alias("lk"), F.col("rep").alias("leader"), F.col("set").alias("leader_set")).join(pairs.select("lk").distinct(), "lk", "left_semi")
+    # The few sets of leaders are found by the same keys as all others, so sets move by their keys once, and to their leaders once.
+    own = large.where(F.xxhash64("rep", "h1") == F.col("lk")).select("rep", "h1", "lk").distinct()
+    leaders = sets.join(own, ["rep", "h1"]).select("lk", F.col("rep").alias("leader"), F.col("set").alias("leader_set"))
     met = pairs.join(sets, ["rep", "h1"]).join(leaders, "lk")
     common = F.size(F.array_intersect("set", "leader_set"))
     met = met.select("rep", "h1", "lk", "leader", (100 * common).alias("c"), (F.size("set") + F.size("leader_set") - common).alias("u"))
