@@ -103,7 +103,8 @@ def _led(large: DataFrame, fetch, percent: int, node_limit: int) -> tuple[DataFr
     The leader is the member of least hash, and is known by it (``lk``), so the nodes that a dense group has in many trees mostly
     share it, and a member is compared with it once.
     """
-    pairs = large.select("rep", "h1", "lk").distinct()
+    # A table of its own: its size, not that of all nodes, says whether the texts must move to meet it.
+    pairs = cut(large.select("rep", "h1", "lk").distinct(), "pairs")
     sets = cut(fetch(pairs.select("rep", "h1").distinct()), "sets")
     # The few sets of leaders are found by the same keys as all others, so sets move by their keys once, and to their leaders once.
     own = large.where(F.xxhash64("rep", "h1") == F.col("lk")).select("rep", "h1", "lk").distinct()
