@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm import line_dedup, url_filters, warc
 from weftgraph.llm.decontaminate import decontaminate
 from weftgraph.llm.embedding_dedup import near_vectors
+from weftgraph.llm.html_text import extract_text
 from weftgraph.llm.language_id import identify
 from weftgraph.llm.licenses import scan_licenses
 from weftgraph.llm.near_dedup import near_duplicates
@@ -75,6 +76,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(url_filters.page_captures(pages), url_filters.page_entries(pages)).withColumn("fetched", F.col("fetched").cast("string"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
     "op10_url_filters": op10_url_filters,
+    "op11_html_extraction": op11_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {
