@@ -11,12 +11,31 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-#: Paths made so far, by the blocks of ``scratch`` that are open.
-_OPEN: list[list[str]] = []
+
+
+class Made(list):
+    """Paths that a block of ``scratch`` has made so far."""
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Leave the tables that ``df`` reads when the block ends."""
+        read = {_plain(f.rpartition("/")[0]) for f in df.inputFiles()}
+        self[:] = [path for path in self if _plain(path) not in read]
+        return df
+
+
+#: The blocks of ``scratch`` that are open where the code runs: other threads have their own.
+_OPEN: ContextVar[tuple[Made, ...]] = ContextVar("open", default=())
+
+
+def _plain(path: str) -> str:
+    """A path without its scheme and host: Spark writes both in more than one way."""
+    return unquote(urlsplit(path).path)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/weftgraph/{label}-{uuid.uuid4().hex}"
-    for made in _OPEN:
+    for made in _OPEN.get():
         made.append(path)
     return path
 
@@ -60,13 +79,16 @@ def drop(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Delete what the block has written to the shared folder when it ends. Paths taken out of the yielded list stay."""
-    made: list[str] = []
-    _OPEN.append(made)
+def scratch(spark: SparkSession) -> Iterator[Made]:
+    """Delete what the block has written to the shared folder when it ends. Paths taken out of the yielded list, and tables it was told to ``keep``, stay.
+
+    Only what the block's own thread writes counts: blocks of several threads don't meet.
+    """
+    made = Made()
+    token = _OPEN.set((*_OPEN.get(), made))
     try:
         yield made
     finally:
-        _OPEN[:] = [x for x in _OPEN if x is not made]
+        _OPEN.reset(token)
         for path in made:
             _delete(spark, path)
