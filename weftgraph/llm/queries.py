@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import line_dedup, url_filters, warc
+from weftgraph.llm import hard_negatives, line_dedup, url_filters, warc
 from weftgraph.llm.decontaminate import decontaminate
 from weftgraph.llm.embedding_dedup import near_vectors
 from weftgraph.llm.html_text import extract_text
@@ -80,6 +80,13 @@ def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op12_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row has the label after its own; anchors are every fiftieth."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), hard_negatives.integer_vector("embedding").alias("vec"))
+    return hard_negatives.hard_negatives(vectors, F.col("id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -92,10 +99,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_url_filters": op10_url_filters,
     "op11_html_extraction": op11_html_extraction,
+    "op12_hard_negative_mining": op12_hard_negative_mining,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.SQL,
     "op8_warc": warc.SQL,
     "op10_url_filters": url_filters.SQL,
+    "op12_hard_negative_mining": hard_negatives.SQL,
 }
