@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import hard_negatives, line_dedup, url_filters, warc
+from weftgraph.llm import hard_negatives, line_dedup, prefix_trie, url_filters, warc
 from weftgraph.llm.decontaminate import decontaminate
 from weftgraph.llm.embedding_dedup import near_vectors
 from weftgraph.llm.html_text import extract_text
@@ -87,6 +87,10 @@ def op12_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors, F.col("id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
 
 
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": op10_url_filters,
     "op11_html_extraction": op11_html_extraction,
     "op12_hard_negative_mining": op12_hard_negative_mining,
+    "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -107,4 +112,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_warc": warc.SQL,
     "op10_url_filters": url_filters.SQL,
     "op12_hard_negative_mining": hard_negatives.SQL,
+    "op13_conversation_prefix_trie": prefix_trie.SQL,
 }
