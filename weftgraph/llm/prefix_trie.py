@@ -104,9 +104,9 @@ def prefix_names(sequences: DataFrame, longest: int) -> DataFrame:
         if known is not None:
             first = first.unionByName(rows.where("before > 0").join(known.select("conv_id", F.col("depth").alias("before"), F.col("least").alias("shorter")), ["conv_id", "before"]))
         step = cut(first.drop("before"), "prefixes")
-        least = step.groupBy("depth", "shorter", "name").agg(F.min("conv_id").alias("least"))
+        least = cut(step.groupBy("depth", "shorter", "name").agg(F.min("conv_id").alias("least")), "least")  # written, so that a join on a common prefix can be split
         named = cut(step.join(least, ["depth", "shorter", "name"]).select("conv_id", "depth", "least"), "named")
-        drop(step)
+        drop(step, least)
         known = named if known is None else known.unionByName(named)
     return known
 
