@@ -60,3 +60,25 @@ def test_long_pre_tokens_come_into_the_head_as_far_as_they_fit(spark, monkeypatc
     monkeypatch.setattr(tc, "HEAD_BYTES", 4)
     assert " a" in tc._head(docs, BYTE_BPE, 10, 10) and "-" * 200 not in tc._head(docs, BYTE_BPE, 10, 10)
     assert tc._head(docs.limit(0), BYTE_BPE, 10, 10) == {}
+
+
+def test_rows_without_id_whose_short_hashes_are_equal(spark, library):
+    """The first two texts have the same 32-bit hash."""
+    rows = [(None, "w189018 x x x x"), (None, "w227783 x x x"), (7, "w189018 x x x x"), (7, "w227783 x x x"), (7, "w227783 x x x"), (7, "17 499 0"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    right = [(d, len((x or "").encode()), len(library.encode(x or "", add_special_tokens=False).ids)) for d, x in rows]
+    for head in (0, 1000):
+        found = tc.token_counts(frame, BYTE_BPE, head=head).collect()
+        assert sorted(str((r["doc_id"], r["n_bytes"], r["n_tokens"])) for r in found) == sorted(map(str, right))
+
+
+def test_rows_of_documents_are_dealt_to_many_units():
+    import pyarrow as pa
+
+    class Head:
+        value: dict = {}
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(range(2000)), pa.array(["a"] * 2000)], ["doc_id", "check", "text"])
+    rows = pa.Table.from_batches(list(tc._splitter(Head, -1)(iter([batch])))).to_pandas()
+    of_documents = rows[rows["n_bytes"] >= 0]["unit"].value_counts()
+    assert len(of_documents) == 500 and of_documents.max() == 4

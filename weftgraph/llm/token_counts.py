@@ -106,7 +106,10 @@ def _head_of(broadcast, number: int) -> dict[str, int]:
 
 
 def _splitter(broadcast, number: int):
-    """A row for each document, with what the head knows, summed; and one for each other pre-token of it, with its frequency."""
+    """A row for each document, with what the head knows, summed; and one for each other pre-token of it, with its frequency.
+
+    The rows of documents have one of 500 units, by their place, so that they are dealt to many tasks; it isn't theirs and isn't counted.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _head_of(broadcast, number).get
@@ -126,7 +129,7 @@ def _splitter(broadcast, number: int):
                         else:
                             total += pieces * n
                     rows.append(d)
-                    units.append("")
+                    units.append(str(d))
                     numbers.append(total)
                     sizes.append(len((text or "").encode()))
                 take = pa.array(rows, pa.int32())
@@ -139,19 +142,22 @@ def _splitter(broadcast, number: int):
 
 
 def _multiplier(path: str):
-    """Frequencies times pieces, of rows sorted by pre-token. Rows of documents (without pre-token) stay as they are."""
+    """Frequencies times pieces, of rows sorted by pre-token. Rows of documents stay as they are."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[str, int] = {"": 1}
+        last: dict[str, int] = {}
         for batch in batches:
-            coded = batch.column(2).dictionary_encode()
+            n, n_bytes = batch.column(3).to_numpy(), batch.column(4)
+            at = np.flatnonzero(n_bytes.to_numpy() == _REST)
+            coded = batch.column(2).take(pa.array(at)).dictionary_encode()
             names = coded.dictionary.to_pylist()
             new = [x for x in names if x not in last]
             found = last | dict(zip(new, count_pieces(path, new), strict=True))
-            pieces = np.array([found[x] for x in names], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if names else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(batch.column(3).to_numpy() * pieces), batch.column(4)], ["doc_id", "check", "n", "n_bytes"])
+            pieces = np.ones(len(n), np.int64)
             if names:
-                last = {"": 1, names[-1]: found[names[-1]]}
+                pieces[at] = np.array([found[x] for x in names], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+                last = {names[-1]: found[names[-1]]}
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n * pieces), n_bytes], ["doc_id", "check", "n", "n_bytes"])
 
     return multiply
 
@@ -161,13 +167,12 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = 1024, head:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     broadcast = spark.sparkContext.broadcast(_head(docs, tokenizer, head, sample))
-    # Rows are told apart by doc_id and a hash of the text: rows that are equal in both have equal counts and share a sum.
-    keyed = docs.select("doc_id", F.hash("text").alias("check"), "text")
-    rows = keyed.mapInArrow(_splitter(broadcast, int(broadcast._jbroadcast.id())), "doc_id long, check int, unit string, n long, n_bytes long")
+    # Rows are told apart by doc_id and 64 bits of their text's hash: rows that are equal in both have equal counts and share a sum.
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("check"), "text")
+    rows = keyed.mapInArrow(_splitter(broadcast, int(broadcast._jbroadcast.id())), "doc_id long, check long, unit string, n long, n_bytes long")
     of_document = F.col("n_bytes") != _REST
-    # Rows of documents have no pre-token: they come to one task, which Spark splits as it does any that gets much more.
     dealt = rows.hint("rebalance", "unit").sortWithinPartitions("unit")
-    counted = dealt.mapInArrow(_multiplier(tokenizer), "doc_id long, check int, n long, n_bytes long")
+    counted = dealt.mapInArrow(_multiplier(tokenizer), "doc_id long, check long, n long, n_bytes long")
     both = counted.groupBy("doc_id", "check").agg(F.sum("n").alias("n"), F.count_if(of_document).alias("rows"), F.max("n_bytes").alias("n_bytes"))
     tokens = F.expr("n div rows")
     return both.select("doc_id", "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"), F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("_row")).drop("_row")
