@@ -157,3 +157,16 @@ def test_ties_go_to_the_first_family():
     even = licenses.Classifier(families, np.zeros((licenses.WIDTH, len(families)), np.float32), np.zeros(len(families), np.float32), 1.0, templates)
     assert scan(even, "AGPL License", "MIT License") == [[], []]  # no probability reaches the threshold
     assert [f for _, f, _ in even.scan(*licenses._units(["GNU Affero General Public License", "MIT License"]), 0.0, 0.6)] == ["agpl"]
+
+
+def test_other_licences_are_none_of_these(classifier):
+    others = "BSL-1.0 CDDL-1.0 CDDL-1.1 Artistic-1.0 Artistic-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 Zlib OFL-1.1 AFL-2.0 AFL-3.0 OSL-3.0 Python-2.0 PostgreSQL Ruby NCSA W3C Vim WTFPL MS-PL MS-RL ODbL-1.0 PDDL-1.0 CECILL-2.1 LPPL-1.3c NPL-1.1 QPL-1.0 IPL-1.0 CPL-1.0 ZPL-2.1 PHP-3.01".split()
+    names = ["Academic Free License v. 2.0", "Boost Software License, version 1.0", "Eclipse Public License, v. 2.0", "Open Software License 3.0", "Common Public License 1.0", "Artistic License 2.0"]
+    texts = [frame.format(x) for x in others for frame in licenses.IDENTIFIED] + [frame.format(x) for x in names for frame in licenses.FRAMES]
+    assert [(x, found) for x, found in zip(texts, scan(classifier, *texts), strict=True) if found] == []
+
+
+def test_a_naming_pair_holds_a_name():
+    named = licenses.Templates().named
+    for text in ("1 0", "v 2", "1 1", "License v", "version 2", "the License", "2 0", "License version"):
+        assert not any(np.intersect1d(own, licenses.pair_sets([text])[0]).size for own in named.values()), text

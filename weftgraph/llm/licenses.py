@@ -10,7 +10,7 @@ Calibration never sees what is learnt: in each of ``FOLDS`` folds whole families
 unknown, beside variants kept out of the families that are learnt. Temperature and the bias of the unknown class are those of least loss over all folds.
 
 A unit whose most probable family reaches ``least`` is then compared with that family's notices. It counts only if it holds a word pair
-that tells the family by name or ``TELLS`` pairs that only its texts have, and most of a notice's word pairs are in it, or most of its own
+that tells the family by name (not by a number, "version" or "license" alone) or ``TELLS`` pairs that only its texts have, and most of a notice's word pairs are in it, or most of its own
 in a notice; a unit of two words must be a whole notice, and one of a single word never is one. Then what tells this family is taken out of the unit, and what is left is classified again, so a unit may name several families.
 A family found at several grains in one place is reported once, where the finest unit begins.
 
@@ -93,6 +93,9 @@ OTHERS = (
     "The license", "Public License", "The mozilla is a lizard of the public park.", "A copy of the software was sold by the lesser shop.",
 )
 
+# Words that name no licence, alone or together.
+UNTELLING = (*map(str, range(10)), "v", "version", "license", "licence", "licenses", "licensed", "public", "general", "software", "only", "or", "later", "the", "a", "of", "under", "terms", "see", "spdx", "identifier")
+
 UNKNOWN = "unknown"
 WIDTH, VARIANTS, STEPS, DECAY, FOLDS = 1 << 15, 4, 120, 1e-4, 3
 #: Bytes of a line that may be wrapped, characters of a line that is learnt from, and pairs that tell a family by its texts.
@@ -146,13 +149,14 @@ class Templates:
         joined = lambda x: np.unique(np.concatenate([np.zeros(0, np.uint64), *x]))
         every = {f: joined([*a, *b]) for f, (a, b) in sets.items()}
         words = {f: _words([*a, *b]) for f, (a, b) in known.items()}
+        untelling = joined(pair_sets([f"{a} {b}" for a in UNTELLING for b in UNTELLING]))
         self.notices, self.named, self.text, self.words = {}, {}, {}, {}
         for f, (named, texts) in sets.items():
             others = joined([every[g] for g in known if g != f])
             distinct: dict[bytes, np.ndarray] = {x.tobytes(): x for x in [*named, *texts] if len(x)}
             self.notices[f] = list(distinct.values())
             # "All rights reserved" has no name but itself.
-            self.named[f] = np.setdiff1d(joined(named or texts), others)
+            self.named[f] = np.setdiff1d(np.setdiff1d(joined(named or texts), others), untelling if named else [])
             self.text[f] = np.setdiff1d(joined(texts), others)
             self.words[f] = np.setdiff1d(words[f], joined([words[g] for g in known if g != f]))
 
