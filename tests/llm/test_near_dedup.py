@@ -140,3 +140,24 @@ def test_word_hashes_tell_words_apart():
     starts, ends, first = tk.words(data, at, tk.word_table(near_dedup.SEPARATORS))
     h = tk.word_hashes(data, starts, ends).tolist()
     assert h[0] == h[2] and h[1] == h[3] and len(set(h)) == 4 and first.tolist() == [0, 2, 5, 5, 5, 6]
+
+
+def test_repeated_rows_are_one_member(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text.replace("w30 ", "other ")
+    rows = [(5, text)] * 20_000 + [(9, near)] + [(5, "another text of the same id, with words enough for shingles of its own")] * 3
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    counted = {(r["doc_id"], r["n_shingles"], r["component_id"]): r["count"] for r in out.groupBy("doc_id", "n_shingles", "component_id").count().collect()}
+    assert counted == {(5, 56, 5): 20_000, (9, 56, 5): 1, (5, 10, 5): 3}
+
+
+def test_the_comparer_skips_repeated_members(monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(near_dedup, "node_links", lambda ids, sets, percent, sides=None: seen.append(list(ids)) or [])
+    own, other = np.arange(3, dtype=np.uint64).tobytes(), np.arange(4, dtype=np.uint64).tobytes()
+    rows = [(1, 5, 0, own)] * 4 + [(1, 5, 0, other), (1, 6, 0, own), (2, 6, 0, own)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*part, strict=True)], ["node", "rep", "side", "set"]) for part in (rows[:2], rows[2:])]
+    list(near_dedup._comparer(75)(iter(batches)))
+    assert [x for x in seen if x] == [[5, 5, 6], [6]]

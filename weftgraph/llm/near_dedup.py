@@ -42,6 +42,8 @@ _TABLE = tk.word_table(SEPARATORS)
 _SALT = tk.mix(np.arange(1, 2 * SKETCH + 5, dtype=np.uint64))
 #: Shingles of a matrix of members by shingles.
 _COLUMNS = 2048
+#: Documents that a task remembers to have sent.
+_RECENT = 100_000
 
 
 def _sketches(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -183,10 +185,10 @@ def _set_fetcher(size: int):
 
 
 def _fetcher(size: int):
-    """Sets of the documents that some node holds, one row for each node."""
+    """Sets of the documents that some node holds, one row for each node. Rows that repeat a document are sent once, as far as the last ``_RECENT`` tell."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "rep", "side", "set"]
+        names, sent = ["node", "rep", "side", "set"], {}
 
         def rows(own: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*own, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names)
@@ -198,8 +200,11 @@ def _fetcher(size: int):
                 ids, wanted = batch.column(0).slice(i, j - i).to_pylist(), batch.column(2).slice(i, j - i).to_pylist()
                 out, held = [], 0
                 for d, at_nodes in enumerate(batch.column(3).slice(i, j - i).to_pylist()):
-                    if int(seen[d]) != wanted[d]:
+                    if int(seen[d]) != wanted[d] or (ids[d], wanted[d]) in sent:
                         continue
+                    sent[ids[d], wanted[d]] = True
+                    if len(sent) > _RECENT:
+                        del sent[next(iter(sent))]
                     own = hashes[offsets[d] : offsets[d + 1]].tobytes()
                     for x in at_nodes:
                         out.append((x["node"], ids[d], x["side"], own))
@@ -266,12 +271,15 @@ def node_links(ids: list[int], sets: list[np.ndarray], percent: int, sides: list
 def _comparer(percent: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links() -> Iterator[tuple[int, int]]:
-            now, ids, sides, sets = None, [], [], []
+            now, ids, sides, sets, last = None, [], [], [], None
             for batch in batches:
                 for node, rep, side, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     if node != now:
                         yield from node_links(ids, sets, percent, sides)
-                        now, ids, sides, sets = node, [], [], []
+                        now, ids, sides, sets, last = node, [], [], [], None
+                    if last == (rep, side, own):  # a repeated row that came from another task
+                        continue
+                    last = (rep, side, own)
                     ids.append(rep)
                     sides.append(side)
                     sets.append(np.frombuffer(own, np.uint64))
@@ -316,7 +324,7 @@ def near_duplicates(
         at = nodes.join(chosen, "node").groupBy("rep", "h1").agg(F.collect_set(F.struct("node", "side")).alias("nodes"))
         held = texts.join(at, "rep").select("rep", "text", "h1", "nodes").mapInArrow(_fetcher(size), "node long, rep long, side int, set binary")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        links = held.repartition(parts, "node").sortWithinPartitions("node", "rep").mapInArrow(_comparer(percent), "src long, dst long")
+        links = held.repartition(parts, "node").sortWithinPartitions("node", "rep", "side", "set").mapInArrow(_comparer(percent), "src long, dst long")
         links = cut((links if early is None else links.unionByName(early)).distinct(), "links")
         made.pop()  # the links themselves stay
     found = connected_components(links)
