@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators import association, canonical, chunking, clean
-from weftgraph.operators.graph import backbone, cores, retrieve
-from weftgraph.plans.queries import _CLEAN, _DIRECT, _LINKS, _TERMS, _documents, _edges, page_links, query, raw_relations, table
+from weftgraph.operators.graph import backbone, betweenness, cores, modularity, retrieve
+from weftgraph.plans.queries import _BETWEENNESS, _CLEAN, _DIRECT, _LINKS, _NATIONS, _TERMS, _documents, _edges, nation_graph, page_links, query, raw_relations, table
 from weftgraph.storage import cut
 
 #: Words of four letters and more, as the relations of terms have them.
@@ -117,3 +117,19 @@ def retrieve_neighbours(spark: SparkSession, d: str) -> DataFrame:
     edges = cut(page_links(spark, d), "links").withColumn("weight", F.lit(1.0))
     found = retrieve.retrieve_neighbours(edges, edges.select(F.col("src").alias("seed")), k=10, rounds=5)
     return found.select("seed", "rank", "node", F.round("score", 9).alias("score"))
+
+
+@query()
+def communities_modularity(spark: SparkSession, d: str) -> DataFrame:
+    """Communities of the graph of links between pages and paths."""
+    return modularity.modularity_communities(page_links(spark, d), weight=None)
+
+
+@query(f"""WITH RECURSIVE {_NATIONS}, {_BETWEENNESS}, chosen AS (SELECT id FROM n ORDER BY md5(id), id LIMIT 10),
+f AS (SELECT u.a, u.b, sum(x.paths * y.paths / z.paths) / 2 * ((SELECT count(*) FROM n) / 10.0) AS found FROM u
+ JOIN e ON (e.v = u.a AND e.w = u.b) OR (e.v = u.b AND e.w = u.a) JOIN p x ON x.v = e.v JOIN p y ON y.v = e.w JOIN p z ON z.s = x.s AND z.v = y.s AND z.d = x.d + 1 + y.d WHERE x.s IN (SELECT id FROM chosen) GROUP BY ALL)
+SELECT u.a AS src, u.b AS dst, round(coalesce(found, 0), 6) AS betweenness, round((SELECT count(*) * (count(*) - 1) / 2 FROM n) * sqrt(ln(2 * (SELECT count(*) FROM u) / 0.05) / 20), 6) AS bound FROM u LEFT JOIN f USING (a, b)""")
+def edge_betweenness_sampled(spark: SparkSession, d: str) -> DataFrame:
+    """Edge betweenness of the nation graph from ten of its nodes, with the bound of its error."""
+    found = betweenness.sampled_betweenness(nation_graph(spark, d), sources=10)
+    return found.select("src", "dst", F.round("betweenness", 6).alias("betweenness"), F.round("bound", 6).alias("bound"))

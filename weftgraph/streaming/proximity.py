@@ -1,28 +1,103 @@
-"""Proximity counts over a stream of relations.
+"""Proximity counts over a stream of relations, exact however chunks are cut into batches.
 
-A pair's count is a sum over chunks, so counts of batches add up as long as a chunk comes whole in one batch.
-Each batch's counts are written as their own partition, named by the batch's number: a batch that runs again
-after a failure replaces its partition, so the total is exact.
+The count of a pair is a sum over chunks of products of mentions, so what a batch adds to a chunk follows from the chunk's mentions before (old) and in the
+batch (new): old x new + new x old + new x new. The state is two tables of increments, mentions of chunks and counts of pairs, with a partition for each
+batch, named by its number. A batch reads the increments of batches before it, of its own chunks only, and writes its own partitions, so a batch that runs again after a
+failure replaces what it wrote. Rows that are delivered twice are told by their ``key`` and count once. Chunks may come in pieces and late without a limit: no state
+expires. ``compact`` sums increments up in another folder, so that their number needn't grow with that of batches.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from weftgraph.operators.proximity import mentions
+from weftgraph.storage import cut, scratch
+
+_MENTIONS = "chunk_id string, node string, m long, batch long"
+_PAIRS = "node_1 string, node_2 string, count long, batch long"
+
+
+def _path(table: str, kind: str) -> str:
+    return f"{table.rstrip('/')}/{kind}"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def _before(spark: SparkSession, table: str, kind: str, schema: str | StructType, number: int) -> DataFrame:
+    """Increments of the batches before ``number``."""
+    path = _path(table, kind)
+    empty = spark.createDataFrame([], schema)
+    found = spark.read.schema(schema).parquet(path) if _exists(spark, path) else empty
+    return found.where(F.col("batch") < number)
+
+
+def _write(rows: DataFrame, table: str, kind: str, number: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{_path(table, kind)}/batch={number}")
+
+
+def delta_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``(node_1, node_2, count)`` that mentions ``new`` add to ``old``, both ``(chunk_id, node, m)`` with a node once in a chunk."""
+    before, added = old.withColumn("added", F.lit(0).cast("long")), new.select("chunk_id", "node", F.lit(0).cast("long").alias("m"), F.col("m").alias("added"))
+    every = before.unionByName(added).groupBy("chunk_id", "node").agg(F.sum("m").alias("old"), F.sum("added").alias("new"))
+    every = cut(every, "touched")
+    second = every.select("chunk_id", F.col("node").alias("node_2"), F.col("old").alias("old_2"), F.col("new").alias("new_2"))
+    first = every.withColumnsRenamed({"node": "node_1", "old": "old_1", "new": "new_1"})
+    parts = []
+    for a, b, times in (  # no pair of two old mentions is made
+        (first.where("new_1 > 0"), second, F.col("new_1") * (F.col("old_2") + F.col("new_2"))),
+        (first.where("old_1 > 0"), second.where("new_2 > 0"), F.col("old_1") * F.col("new_2")),
+    ):
+        parts.append(a.join(b, "chunk_id").where("node_1 < node_2").select("node_1", "node_2", times.alias("n")))
+    return reduce(DataFrame.unionByName, parts).groupBy("node_1", "node_2").agg(F.sum("n").alias("count")).where(F.col("count") > 0)
+
+
+def add_batch(relations: DataFrame, table: str, number: int, key: str | None = None) -> None:
+    """Count the relations ``(chunk_id, source, target[, key])`` as batch ``number``."""
+    spark = relations.sparkSession
+    with scratch(spark):
+        rows = relations.select("chunk_id", "source", "target", *([key] if key else []))
+        if key:
+            seen = StructType([rows.schema[key]]).add("batch", "long")
+            told = rows.where(F.col(key).isNotNull()).dropDuplicates([key]).join(_before(spark, table, "keys", seen, number), key, "left_anti")
+            rows = cut(told.unionByName(rows.where(F.col(key).isNull())), "rows")
+        new = cut(mentions(rows), "new")
+        chunks = new.select("chunk_id").distinct()
+        old = _before(spark, table, "mentions", _MENTIONS, number).join(chunks, "chunk_id", "left_semi").groupBy("chunk_id", "node").agg(F.sum("m").alias("m"))
+        _write(delta_pairs(old, new), table, "pairs", number)
+        _write(new, table, "mentions", number)
+        if key:
+            _write(rows.select(key).where(F.col(key).isNotNull()), table, "keys", number)
+
 
-from weftgraph.operators.proximity import mentions, pairs
+def start(relations: DataFrame, table: str, checkpoint: str, key: str | None = None, **trigger) -> StreamingQuery:
+    """Begin to count the pairs of a stream of ``(chunk_id, source, target[, key])`` into the folder ``table``.
 
+    Rows of the same ``key`` count once, whichever batch they come in; without a key, and where it is null, every row counts.
+    """
+    return relations.writeStream.foreachBatch(lambda batch, number: add_batch(batch, table, number, key)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
-def start(relations: DataFrame, table: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Begin to count the pairs of a stream of ``(chunk_id, source, target)`` into the folder ``table``."""
 
-    def count(batch: DataFrame, number: int) -> None:
-        pairs(mentions(batch), chunks=False).write.mode("overwrite").parquet(f"{table}/batch={number}")
+def compact(spark: SparkSession, table: str, into: str, last: int) -> None:
+    """Sum the increments of batches up to ``last`` up to one each in the folder ``into``, in which the next batches are to be counted.
 
-    return relations.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    ``table`` stays as it is, so a break on the way loses nothing; delete it when the stream has moved.
+    """
+    for kind, schema, keys, total in (("mentions", _MENTIONS, ["chunk_id", "node"], "m"), ("pairs", _PAIRS, ["node_1", "node_2"], "count")):
+        _write(_before(spark, table, kind, schema, last + 1).groupBy(*keys).agg(F.sum(total).alias(total)), into, kind, last)
+    if _exists(spark, _path(table, "keys")):
+        _write(spark.read.parquet(_path(table, "keys")).where(F.col("batch") <= last).drop("batch"), into, "keys", last)
 
 
 def totals(spark: SparkSession, table: str, least: int = 2) -> DataFrame:
     """``(node_1, node_2, count)`` over all batches so far, for counts of at least ``least``."""
-    return spark.read.parquet(table).groupBy("node_1", "node_2").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
+    pairs = spark.read.schema(_PAIRS).parquet(_path(table, "pairs"))
+    return pairs.groupBy("node_1", "node_2").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
