@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import association, canonical, chunking, clean
+from weftgraph.functions import tables
+from weftgraph.operators import association, canonical, chunking, clean, extract
 from weftgraph.operators.graph import backbone, betweenness, cores, modularity, retrieve
-from weftgraph.plans.queries import _BETWEENNESS, _CLEAN, _DIRECT, _LINKS, _NATIONS, _TERMS, _documents, _edges, nation_graph, page_links, query, raw_relations, table
-from weftgraph.storage import cut
+from weftgraph.plans.queries import _BETWEENNESS, _CLEAN, _DIRECT, _LINKS, _NATIONS, _TERMS, _documents, _edges, nation_graph, page_links, query, raw_relations, relations_clean, table
+from weftgraph.sources import extraction_cache, files, quoted_csv
+from weftgraph.storage import cut, new_path
 
 #: Words of four letters and more, as the relations of terms have them.
 WORD = r"[\p{L}\p{Nl}\p{No}]{4,}"
@@ -133,3 +135,49 @@ def edge_betweenness_sampled(spark: SparkSession, d: str) -> DataFrame:
     """Edge betweenness of the nation graph from ten of its nodes, with the bound of its error."""
     found = betweenness.sampled_betweenness(nation_graph(spark, d), sources=10)
     return found.select("src", "dst", F.round("betweenness", 6).alias("betweenness"), F.round("bound", 6).alias("bound"))
+
+
+@query(f"WITH {_TERMS} SELECT source, target, 'precedes' AS relationship, chunk_id FROM r")
+def cached_term_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Relations of neighbouring words by way of the extraction cache: documents' first chunks are extracted first, then all, of which only the others are new."""
+    chunks = cut(chunking.fixed_chunks(_documents(spark, d)).select("chunk_id", "pos", "text"), "chunks")
+    cache = extraction_cache.ExtractionCache(spark, new_path(spark, "extraction_cache"))
+    for some in (chunks.where("pos = 0"), chunks):
+        found = cache.extracted(some, extract.RegexRelations, "neighbours of four letters")
+    return found.select("source", "target", "relationship", "chunk_id")
+
+
+@query(_CLEAN + " SELECT source, target, relationship, weight, chunk_id FROM clean")
+def relations_csv_split(spark: SparkSession, d: str) -> DataFrame:
+    """Clean relations written as a delimited table and read back in byte ranges of 64 KiB."""
+    path = new_path(spark, "relations_csv")
+    files.write_table(relations_clean(spark, d), path)
+    found = quoted_csv.read_quoted(spark, path, ["source", "target", "relationship", "weight", "chunk_id"], split_bytes=1 << 16)
+    return found.withColumn("weight", F.col("weight").cast("double"))
+
+
+_SUCCESSIVE = """SELECT user_id, place, value, next FROM (SELECT user_id, row_number() OVER w AS place, event_type AS value, lead(event_type) OVER w AS next, lead(event_id) OVER w AS following
+ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE following IS NOT NULL"""
+
+
+@query(_SUCCESSIVE)
+def successive_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events and the next ones, by a table function over partitions in order."""
+    tables.register(spark)
+    return spark.sql(
+        "SELECT * FROM successive(TABLE(SELECT user_id, ts, event_id, event_type FROM {events}) PARTITION BY user_id ORDER BY (ts, event_id), 'user_id', 'event_type')", events=table(spark, d, "events")
+    )
+
+
+@query()
+def chunks_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The recursive chunks, by a table function: equal to ``chunks_recursive``, as tests hold."""
+    tables.register(spark)
+    return spark.sql("SELECT * FROM chunks(TABLE(SELECT doc_id, source, text FROM {documents}), 1500, 150)", documents=_documents(spark, d))
+
+
+@query(f"WITH {_TERMS} SELECT source, target, 'precedes' AS relationship, chunk_id FROM r")
+def relations_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Relations of neighbouring words, by a table function over chunks."""
+    tables.register(spark)
+    return spark.sql("SELECT source, target, relationship, chunk_id FROM relations(TABLE(SELECT chunk_id, text FROM {chunks}), 4)", chunks=chunking.fixed_chunks(_documents(spark, d)))
