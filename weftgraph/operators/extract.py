@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -182,6 +183,34 @@ class CapitalisedEntities:
         return [json.dumps([{"name": x, "entity": self.kind} for x in self.run.findall(t)]) for t in texts]
 
 
+class FrequentWords:
+    """Words of at least ``length`` letters are concepts, as important as they are frequent in the text, up to 5. Deterministic."""
+
+    def __init__(self, length: int = 8, category: str = "concept"):
+        self.word, self.category = re.compile(rf"[^\W\d_]{{{length},}}"), category
+
+    def __call__(self, texts: list[str]) -> list[str]:
+        counted = [Counter(self.word.findall(t.lower())) for t in texts]
+        return [json.dumps([{"entity": w, "importance": min(5, n), "category": self.category} for w, n in c.items()]) for c in counted]
+
+
+class SameSentence:
+    """Judges two entities to be related if one sentence of the context names both. Deterministic; reads what ``judged_pairs`` asks."""
+
+    asked = re.compile(r"Entities: \['(.*?)', '(.*?)'\]\. Context: ```(.*)```", re.DOTALL)
+
+    def __call__(self, texts: list[str]) -> list[str | None]:
+        out: list[str | None] = []
+        for text in texts:
+            if found := self.asked.fullmatch(text):
+                a, b, context = found.groups()
+                both = [s.strip() for s in re.split(r"[.!?\n]", context) if a in s and b in s]
+                out.append(json.dumps({"Entity 1": a, "Entity 2": b, "Relationship": both[0] if both else "", "Related": "Yes" if both else "No"}))
+            else:
+                out.append(None)
+        return out
+
+
 class ModelEntities:
     """Named entities of a token-classification model, loaded once per worker task. Needs the ``transformers`` package and the model's files."""
 

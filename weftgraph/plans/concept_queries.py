@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import tables
 from weftgraph.operators import association, canonical, chunking, clean, extract
-from weftgraph.operators.graph import backbone, betweenness, cores, modularity, retrieve
-from weftgraph.plans.queries import _BETWEENNESS, _CLEAN, _DIRECT, _LINKS, _NATIONS, _TERMS, _documents, _edges, nation_graph, page_links, query, raw_relations, relations_clean, table
-from weftgraph.sources import extraction_cache, files, quoted_csv
+from weftgraph.operators.graph import backbone, betweenness, cores, layout, modularity, retrieve
+from weftgraph.plans.queries import _BETWEENNESS, _CLEAN, _DIRECT, _FIXED, _LINKS, _NATIONS, _TERMS, _documents, _edges, nation_graph, page_links, query, raw_relations, relations_clean, table
+from weftgraph.sources import extraction_cache, files, quoted_csv, tiles
 from weftgraph.storage import cut, new_path
 
 #: Words of four letters and more, as the relations of terms have them.
@@ -181,3 +181,41 @@ def relations_sql(spark: SparkSession, d: str) -> DataFrame:
     """Relations of neighbouring words, by a table function over chunks."""
     tables.register(spark)
     return spark.sql("SELECT source, target, relationship, chunk_id FROM relations(TABLE(SELECT chunk_id, text FROM {chunks}), 4)", chunks=chunking.fixed_chunks(_documents(spark, d)))
+
+
+@query(rf"""WITH {_FIXED}, e AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{Nl}}\p{{No}}]{{8,}}')) AS entity FROM f)
+SELECT entity, CAST(least(5, count(*)) AS INTEGER) AS importance, 'concept' AS category, chunk_id, 'concept' AS type FROM e GROUP BY entity, chunk_id""")
+def concepts_extracted(spark: SparkSession, d: str) -> DataFrame:
+    """Concepts of every chunk of documents with their importance, by the deterministic extractor."""
+    return extract.concepts(chunking.fixed_chunks(_documents(spark, d)), extract.FrequentWords)
+
+
+_ENTITIES = rf"""{_FIXED}, e AS (SELECT chunk_id, text, regexp_extract_all(text, '[A-Z][\p{{L}}\p{{N}}_''-]*(?: [A-Z][\p{{L}}\p{{N}}_''-]*)*') AS names FROM f)"""
+
+
+@query(f"WITH {_ENTITIES} SELECT name, 'MISC' AS entity, chunk_id FROM (SELECT unnest(names) AS name, chunk_id FROM e)")
+def entities_extracted(spark: SparkSession, d: str) -> DataFrame:
+    """Named entities of every chunk of documents: runs of capitalised words."""
+    return extract.entities_of_text(chunking.fixed_chunks(_documents(spark, d)), extract.CapitalisedEntities)
+
+
+@query(f"""WITH {_ENTITIES}, p AS (SELECT chunk_id, names[1] AS entity_1, names[2] AS entity_2, list_filter(regexp_split_to_array(text, '[.!?\\n]'), lambda s: contains(s, names[1]) AND contains(s, names[2])) AS shared
+ FROM e WHERE len(names) > 1) SELECT chunk_id, entity_1, entity_2, coalesce(trim(shared[1], chr(32) || chr(9) || chr(13)), '') AS relationship, len(shared) > 0 AS related FROM p""")
+def pairs_judged(spark: SparkSession, d: str) -> DataFrame:
+    """The first two named entities of every chunk, judged by whether a sentence names both."""
+    chunks = chunking.fixed_chunks(_documents(spark, d)).select("chunk_id", "text", F.regexp_extract_all("text", F.lit(r"[A-Z][\p{L}\p{N}_'-]*(?: [A-Z][\p{L}\p{N}_'-]*)*"), 0).alias("n"))
+    pairs = chunks.where(F.size("n") > 1).select("chunk_id", "text", F.col("n")[0].alias("entity_1"), F.col("n")[1].alias("entity_2"))
+    return extract.judged_pairs(pairs, extract.SameSentence).drop("text")
+
+
+@query(f"""WITH {_LINKS}, n AS (SELECT src AS id FROM l UNION SELECT dst FROM l), k AS (SELECT count(*) AS n FROM n)
+SELECT CAST(unnest(range(CAST(greatest(0, ceil(round(ln(n / 256.0) / ln(4), 9))) AS BIGINT) + 1)) AS INTEGER) AS z, n AS n_nodes FROM k""")
+def graph_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of links laid out and written as tiles; how many nodes the tiles of each zoom level show."""
+    links = cut(page_links(spark, d).withColumn("weight", F.lit(1.0)), "links")
+    places = layout.layout(links, rounds=4)
+    weighed = places.join(links.groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("weight")), "id", "left").select("id", "x", "y", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.lit("#4477aa").alias("color"))
+    folder = new_path(spark, "tiles")
+    tiles.write_tiles(weighed, links, folder)
+    shown = spark.read.schema("k string, n long").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(f"{folder}/tiles").withColumn("path", F.input_file_name())
+    return shown.where("k = 'n'").groupBy(F.regexp_extract("path", "/tiles/([0-9]+)/", 1).cast("int").alias("z")).agg(F.sum("n").alias("n_nodes"))
