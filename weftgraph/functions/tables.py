@@ -10,7 +10,6 @@ After ``register(spark)``::
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 
 from pyspark.sql import Row, SparkSession
@@ -57,7 +56,7 @@ class Relations:
 
     def eval(self, row: Row, length: int) -> Iterator[tuple]:
         self.find = self.find or RegexRelations(length)
-        for x in json.loads(self.find([row["text"] or ""])[0]):
+        for x in self.find.rows([row["text"] or ""])[0]:
             yield row["chunk_id"], x["source"], x["target"], x["relationship"]
 
 

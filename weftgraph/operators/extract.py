@@ -2,7 +2,8 @@
 
 An extractor turns a batch of texts into answers, each the JSON text of a list of objects. It is made once per
 worker task by a factory, so that a model or an HTTP session is set up once. Answers are parsed strictly: a text whose
-answer is anything but a list of objects gives no rows. The chunk's own columns win over keys of the same name.
+answer is anything but a list of objects gives no rows. The chunk's own columns win over keys of the same name. An extractor that finds
+rows itself has a method ``rows`` that gives them as they are, without the way by JSON.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 from typing import Protocol
 
 import pyarrow as pa
@@ -95,8 +97,9 @@ def extract(chunks: DataFrame, factory: Callable[[], Extractor], schema: str = R
             for i in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(i, TEXTS)
                 texts = [x or "" for x in part.column(len(keep)).to_pylist()]
-                for d, answer in enumerate(extractor(texts), i):
-                    rows = strict_rows(answer)
+                answers = extractor.rows(texts) if hasattr(extractor, "rows") else extractor(texts)
+                for d, answer in enumerate(answers, i):
+                    rows = answer if isinstance(answer, list) else strict_rows(answer)
                     if rows is None and fail_fast:
                         raise ValueError(f"not a JSON list of objects: {answer}")
                     for row in rows or ():
@@ -165,12 +168,12 @@ class RegexRelations:
     def __init__(self, length: int = 4, relationship: str = "precedes"):
         self.word, self.relationship = re.compile(rf"[^\W\d_]{{{length},}}"), relationship
 
+    def rows(self, texts: list[str]) -> list[list[dict]]:
+        found = [self.word.findall(text.lower()) for text in texts]
+        return [[{"source": a, "target": b, "relationship": self.relationship, "weight": "1", "description": ""} for a, b in pairwise(words)] for words in found]
+
     def __call__(self, texts: list[str]) -> list[str]:
-        out = []
-        for text in texts:
-            words = self.word.findall(text.lower())
-            out.append(json.dumps([{"source": a, "target": b, "relationship": self.relationship, "weight": 1, "description": ""} for a, b in zip(words, words[1:], strict=False)]))
-        return out
+        return [json.dumps(x) for x in self.rows(texts)]
 
 
 class CapitalisedEntities:
@@ -179,8 +182,11 @@ class CapitalisedEntities:
     def __init__(self, kind: str = "MISC"):
         self.run, self.kind = re.compile(r"[A-Z][\w'-]*(?: [A-Z][\w'-]*)*"), kind
 
+    def rows(self, texts: list[str]) -> list[list[dict]]:
+        return [[{"name": x, "entity": self.kind} for x in self.run.findall(t)] for t in texts]
+
     def __call__(self, texts: list[str]) -> list[str]:
-        return [json.dumps([{"name": x, "entity": self.kind} for x in self.run.findall(t)]) for t in texts]
+        return [json.dumps(x) for x in self.rows(texts)]
 
 
 class FrequentWords:
@@ -189,9 +195,12 @@ class FrequentWords:
     def __init__(self, length: int = 8, category: str = "concept"):
         self.word, self.category = re.compile(rf"[^\W\d_]{{{length},}}"), category
 
-    def __call__(self, texts: list[str]) -> list[str]:
+    def rows(self, texts: list[str]) -> list[list[dict]]:
         counted = [Counter(self.word.findall(t.lower())) for t in texts]
-        return [json.dumps([{"entity": w, "importance": min(5, n), "category": self.category} for w, n in c.items()]) for c in counted]
+        return [[{"entity": w, "importance": min(5, n), "category": self.category} for w, n in c.items()] for c in counted]
+
+    def __call__(self, texts: list[str]) -> list[str]:
+        return [json.dumps(x) for x in self.rows(texts)]
 
 
 class SameSentence:
