@@ -2,7 +2,9 @@
 
 Every seed begins with a residual of 1 at its own node. In a round each entry (seed, node) whose residual is over ``eps`` times the node's degree is pushed: a share
 ``alpha`` of it becomes score and the rest goes to the neighbours by weight. Only entries that hold something are rows, and their number for a seed is bounded by
-1 / (alpha * eps) whatever the size of the graph. Once none is over its limit, a score is less than the true one by at most ``eps`` times the node's degree.
+1 / (alpha * eps) whatever the size of the graph. Once none is over its limit, a score is less than the true one by at most ``eps`` times the node's degree. At the
+end every residual gives its node the share ``alpha`` that it would get by a push, which brings scores nearer to the true ones from below: so neighbours of a seed that are
+too large to be pushed, as the hubs of a graph are, have a score too.
 """
 
 from __future__ import annotations
@@ -41,7 +43,8 @@ def push(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, eps: float = 1
     drop(both, share)
     limit = eps * F.col("degree")
     open_ = now.groupBy("seed").agg(F.max(F.when(over, 1).otherwise(0)).alias("open"), F.sum("residual").alias("left"))
-    return now.join(open_, "seed").select("seed", "node", "score", "residual", F.when(F.col("open") == 1, F.greatest(limit, "left")).otherwise(limit).alias("bound"))
+    score, rest = F.col("score") + alpha * F.col("residual"), (1 - alpha) * F.col("residual")
+    return now.join(open_, "seed").select("seed", "node", score.alias("score"), rest.alias("residual"), F.when(F.col("open") == 1, F.greatest(limit, "left")).otherwise(limit).alias("bound"))
 
 
 def retrieve_neighbours(edges: DataFrame, seeds: DataFrame, k: int = 10, alpha: float = 0.15, eps: float = 1e-3, rounds: int | None = None) -> DataFrame:

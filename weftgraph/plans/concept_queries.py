@@ -113,7 +113,7 @@ v AS (SELECT id, sum(w) AS degree FROM z GROUP BY id), r0 AS (SELECT DISTINCT sr
     )
 
 
-@query(f"WITH {_pushed(5)} SELECT seed, CAST(row_number() OVER p AS INTEGER) AS rank, id AS node, round(score, 9) AS score FROM r5 WHERE id <> seed AND score > 0 WINDOW p AS (PARTITION BY seed ORDER BY round(score, 9) DESC, id) QUALIFY row_number() OVER p <= 10")
+@query(f"WITH {_pushed(5)} SELECT seed, CAST(row_number() OVER p AS INTEGER) AS rank, id AS node, round(score, 9) AS score FROM (SELECT seed, id, score + 0.15 * residual AS score FROM r5) WHERE id <> seed AND score > 0 WINDOW p AS (PARTITION BY seed ORDER BY round(score, 9) DESC, id) QUALIFY row_number() OVER p <= 10")
 def retrieve_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten paths and pages nearest to each page by links, after five rounds of pushes."""
     edges = cut(page_links(spark, d), "links").withColumn("weight", F.lit(1.0))
