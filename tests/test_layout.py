@@ -44,7 +44,7 @@ def test_every_pair_of_cells_meets_once(spark):
 def test_neighbours_end_up_near_each_other(spark):
     cliques = [(f"{c}{i}", f"{c}{j}", 1.0) for c in "abc" for i, j in itertools.combinations(range(6), 2)] + [("a0", "b0", 0.5), ("b1", "c0", 0.5), ("a0", "a0", 9.0), (None, "a1", 1.0), ("a1", "z", 0.0)]
     edges = spark.createDataFrame(cliques, "src string, dst string, weight double")
-    found = {r["id"]: np.array([r["x"], r["y"]]) for r in layout.layout(edges, rounds=15).collect()}
+    found = {r["id"]: np.array([r["x"], r["y"]]) for r in layout.layout(edges, rounds=8).collect()}
     assert set(found) == {f"{c}{i}" for c in "abc" for i in range(6)} | {"z"}
     far = {(a, b): np.linalg.norm(found[a] - found[b]) for a, b in itertools.combinations(sorted(x for x in found if x != "z"), 2)}
     inside = np.mean([x for (a, b), x in far.items() if a[0] == b[0]])

@@ -46,7 +46,7 @@ def test_the_best_of_all_partitions(spark, name):
     edges = GRAPHS[name]
     nodes = sorted({x for a, b, _ in edges for x in (a, b)})
     best = max(quality(edges, {v: k for k, part in enumerate(p) for v in part}) for p in partitions(nodes))
-    found = modularity.modularity_communities(frame(spark, edges), tries=2)
+    found = modularity.modularity_communities(frame(spark, edges), tries=1)
     groups = {r["node"]: r["group"] for r in found.collect()}
     assert set(groups) == set(nodes) and quality(edges, groups) == pytest.approx(best)
     assert modularity.modularity(frame(spark, edges), found) == pytest.approx(best)

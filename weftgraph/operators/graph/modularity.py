@@ -37,9 +37,9 @@ def _labelled(both: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _quality(both: DataFrame, strengths: DataFrame, labels: DataFrame, total: float) -> float:
-    inside = _labelled(both, labels).where("a = b").agg(F.sum("w")).first()[0] or 0.0
-    squares = strengths.join(labels, "id").groupBy("label").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
-    return inside / total - squares / total**2
+    inside = _labelled(both, labels).where("a = b").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("q")).select(F.col("q") / total)
+    squares = strengths.join(labels, "id").groupBy("label").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("q")).select(-F.col("q") / total**2)
+    return sum(r[0] for r in inside.union(squares).collect())  # two rows
 
 
 def modularity(edges: DataFrame, groups: DataFrame, weight: str | None = "weight") -> float:
