@@ -1,8 +1,9 @@
 """Pairs of similar sets by a prefix-filtered join.
 
-Tokens are ordered by how many sets hold them, rare ones first, in every set alike. Two sets can only reach the threshold if they share one of their first
-few tokens, so only these are joined; sizes that differ too much and first common tokens too far back are ruled out in the join. A pair is met at its first
-common token only, so that no pair is compared twice, and its whole sets decide. Sets that are equal are one set in the join, so a group of them costs a row each.
+Tokens are ordered by how many sets hold them, rare ones first, in every set alike. A set that must share ``o`` of its ``n`` tokens shares two of its first n - o + 2, as
+only o - 2 come after them. So sets meet by pairs of these tokens, which far fewer sets have in common than a token; only where a set need not share two,
+as the smallest, by single ones. Sizes that differ too much and common tokens too far back are ruled out in the join. A pair is met at its first common
+tokens only, so that none is compared twice, and its whole sets decide. Sets that are equal are one set in the join, so a group of them costs a row each.
 """
 
 from __future__ import annotations
@@ -37,13 +38,25 @@ def similar_sets(sets: DataFrame, percent: int = 75) -> DataFrame:
     same = ordered.join(one.withColumnRenamed("id", "a"), "tokens").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
 
     size = F.size("tokens")
-    first = size - F.ceil(percent * size / 100).cast("int") + 1
-    heads = one.select("id", "tokens", size.alias("n"), F.posexplode(F.slice("tokens", F.lit(1), first)).alias("at", "token"))
-    a, b = (heads.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "tokens", "n", "at")]) for side in "ab")
-    total = F.col("n_a") + F.col("n_b")
-    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # common tokens there can be from this one on
-    near = (F.col("id_a") < F.col("id_b")) & (percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & ((100 + percent) * left >= percent * total)
-    shared = a.join(b, "token").where(near).withColumn("shared", F.array_intersect("tokens_a", "tokens_b"))
-    both = F.size("shared")
-    found = shared.where((F.col("shared")[0] == F.col("token")) & ((100 + percent) * both >= percent * total))
-    return found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), (both / (total - both)).alias("jaccard")).unionByName(same)
+    must = F.ceil(percent * size / 100).cast("int")  # what a set shares with any similar one at least
+    alone = 100 // percent  # tokens of the largest set that need not share two
+    known = one.select("id", "tokens", size.alias("n"), must.alias("must"))
+    pairs = known.where("must > 1").select("*", F.posexplode(F.slice("tokens", F.lit(1), F.col("n") - F.col("must") + 2)).alias("first", "token"))
+    second = F.slice("tokens", F.col("first") + 2, F.greatest(F.lit(0), F.col("n") - F.col("must") + 1 - F.col("first")))
+    pairs = pairs.select("*", F.posexplode(second).alias("next", "other")).withColumn("at", F.col("first") + F.col("next") + 1).drop("first", "next")
+    singles = known.where(percent * F.col("n") <= 100 * alone).select("*", F.posexplode(F.slice("tokens", F.lit(1), F.col("n") - F.col("must") + 1)).alias("at", "token")).withColumn("other", F.lit(None).cast("string"))
+
+    def met(heads: DataFrame, tokens: list[str]) -> DataFrame:
+        a, b = (heads.select(*tokens, *[F.col(c).alias(f"{c}_{side}") for c in ("id", "tokens", "n", "must", "at")]) for side in "ab")
+        total = F.col("n_a") + F.col("n_b")
+        left = len(tokens) - 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # common tokens there can be
+        near = (F.col("id_a") < F.col("id_b")) & (percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & ((100 + percent) * left >= percent * total)
+        if len(tokens) == 1:
+            near &= F.least("must_a", "must_b") < 2
+        shared = a.join(b, tokens).where(near).withColumn("shared", F.array_intersect("tokens_a", "tokens_b"))
+        here = (F.get("shared", F.lit(0)) == F.col("token")) & ((F.get("shared", F.lit(1)) == F.col("other")) if len(tokens) == 2 else F.lit(True))
+        both = F.size("shared")
+        return shared.where(here & ((100 + percent) * both >= percent * total)).select("id_a", "id_b", (both / (total - both)).alias("jaccard"))
+
+    found = met(pairs, ["token", "other"]).unionByName(met(singles, ["token"]))
+    return found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "jaccard").unionByName(same)
