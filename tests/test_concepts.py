@@ -209,3 +209,12 @@ def test_the_best_neighbours(spark):
     found = retrieve.retrieve_neighbours(frame, spark.createDataFrame([("v3",)], "seed string"), k=4, eps=1e-8).orderBy("rank").collect()
     right = sorted(((-round(x, 6), v) for v, x in exact_ranks(rows, "v3", 0.15).items() if v != "v3"))[:4]
     assert [(r["node"], r["rank"]) for r in found] == [(v, i) for i, (_, v) in enumerate(right, 1)]
+
+
+def test_sets_that_share_two_rare_tokens_only_do_not_meet(spark):
+    """Sets meet by three of their first tokens: 60 sets that share two rare ones have no key in common."""
+    rows = [(i, ["a", "b", *[f"{i}-{k}" for k in range(6)]], 8, 6) for i in range(60)]
+    heads = similar._together(spark.createDataFrame(rows, "id long, tokens array<string>, n int, must int"), 75, 3)
+    assert heads.count() == 60 * 10  # three of the first five
+    assert heads.select("id", "key").distinct().groupBy("key").count().where("count > 1").isEmpty()
+    assert similar.similar_sets(spark.createDataFrame(rows, "id long, tokens array<string>, n int, must int").select("id", "tokens")).isEmpty()

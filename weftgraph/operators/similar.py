@@ -1,18 +1,24 @@
 """Pairs of similar sets by a prefix-filtered join.
 
-Tokens are ordered by how many sets hold them, rare ones first, in every set alike. A set that must share ``o`` of its ``n`` tokens shares two of its first n - o + 2, as
-only o - 2 come after them. So sets meet by pairs of these tokens, which far fewer sets have in common than a token; only where a set need not share two,
-as the smallest, by single ones. Sizes that differ too much and common tokens too far back are ruled out in the join. A pair is met at its first common
+Tokens are ordered by how many sets hold them, rare ones first, in every set alike. A set that must share ``o`` of its ``n`` tokens shares k of its first n - o + k, as
+only o - k come after them. So sets meet by three of these tokens, which far fewer sets have in common than a token; only where a set need not share three,
+as the smallest, by two or one. Sizes that differ too much and common tokens too far back are ruled out in the join, and so are most sets that differ too much: each has 128
+bits, one set for each token, and two sets differ in as many tokens at least as in bits. A pair is met at its first common
 tokens only, so that none is compared twice, and its whole sets decide. Sets that are equal are one set in the join, so a group of them costs a row each.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.storage import cut
 
+#: Tokens by which sets meet, where they must share as many.
+TOGETHER = 3
+
 
 def grams(name: str, q: int = 4) -> Column:
     """The different runs of ``q`` characters of a name; a shorter name is its own only run."""
@@ -27,6 +33,26 @@ def _rare_first(sets: DataFrame) -> DataFrame:
     return ordered.select("id", F.transform("o", lambda x: x["token"]).alias("tokens"))
 
 
+def _bits(salt: int) -> Column:
+    """64 bits, of which each token sets one."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x, F.lit(salt)), F.lit(64)).cast("int"))
+    mine = F.filter("tokens", lambda x: F.pmod(F.xxhash64(x), F.lit(2)) == salt)
+    return F.aggregate(mine, F.lit(0).cast("long"), lambda held, x: held.bitwiseOR(bit(x)))
+
+
+def _together(known: DataFrame, percent: int, k: int) -> DataFrame:
+    """Sets with each ``k`` of their first tokens: ``key``, a hash of these, and ``at``, the place of the last one. For ``k`` less than ``TOGETHER`` only sets that may meet one that need not share more."""
+    rows = known.where(F.col("must") >= k)
+    if k < TOGETHER:  # the largest set that need not share more has 100 k / percent tokens
+        rows = rows.where(percent * F.col("n") <= 100 * (100 * k // percent))
+    last = F.col("n") - F.col("must") + k
+    rows = rows.withColumns({"at": F.lit(0), "held": F.array().cast("array<string>")})
+    for i in range(1, k + 1):  # the i-th one leaves k - i after it
+        places = F.explode(F.sequence(F.col("at") + 1, last - (k - i)))
+        rows = rows.withColumn("next", places).withColumn("held", F.concat("held", F.array(F.element_at("tokens", F.col("next"))))).withColumn("at", F.col("next"))
+    return rows.withColumn("key", F.xxhash64("held")).drop("held", "next")
+
+
 def similar_sets(sets: DataFrame, percent: int = 75) -> DataFrame:
     """``(a, b, jaccard)``, ``a`` less than ``b``, for sets ``(id, tokens)`` with 100 * intersection >= ``percent`` * union.
 
@@ -39,24 +65,24 @@ def similar_sets(sets: DataFrame, percent: int = 75) -> DataFrame:
 
     size = F.size("tokens")
     must = F.ceil(percent * size / 100).cast("int")  # what a set shares with any similar one at least
-    alone = 100 // percent  # tokens of the largest set that need not share two
-    known = one.select("id", "tokens", size.alias("n"), must.alias("must"))
-    pairs = known.where("must > 1").select("*", F.posexplode(F.slice("tokens", F.lit(1), F.col("n") - F.col("must") + 2)).alias("first", "token"))
-    second = F.slice("tokens", F.col("first") + 2, F.greatest(F.lit(0), F.col("n") - F.col("must") + 1 - F.col("first")))
-    pairs = pairs.select("*", F.posexplode(second).alias("next", "other")).withColumn("at", F.col("first") + F.col("next") + 1).drop("first", "next")
-    singles = known.where(percent * F.col("n") <= 100 * alone).select("*", F.posexplode(F.slice("tokens", F.lit(1), F.col("n") - F.col("must") + 1)).alias("at", "token")).withColumn("other", F.lit(None).cast("string"))
-
-    def met(heads: DataFrame, tokens: list[str]) -> DataFrame:
-        a, b = (heads.select(*tokens, *[F.col(c).alias(f"{c}_{side}") for c in ("id", "tokens", "n", "must", "at")]) for side in "ab")
+    known = cut(one.select("id", "tokens", size.alias("n"), must.alias("must"), *[_bits(salt).alias(f"bits{salt}") for salt in (0, 1)]).where("n > 0"), "known_sets")
+
+    def met(k: int) -> DataFrame:
+        """Pairs that share ``k`` tokens for certain and, if ``k`` is less than ``TOGETHER``, no more."""
+        heads = _together(known, percent, k)
+        a, b = (heads.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "tokens", "n", "must", "bits0", "bits1", "at")]) for side in "ab")
         total = F.col("n_a") + F.col("n_b")
-        left = len(tokens) - 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # common tokens there can be
+        least = F.least("must_a", "must_b")
+        left = k + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # common tokens there can be
+        apart = F.bit_count(F.col("bits0_a").bitwiseXOR(F.col("bits0_b"))) + F.bit_count(F.col("bits1_a").bitwiseXOR(F.col("bits1_b")))  # tokens in one set only that there are at least
         near = (F.col("id_a") < F.col("id_b")) & (percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & ((100 + percent) * left >= percent * total)
-        if len(tokens) == 1:
-            near &= F.least("must_a", "must_b") < 2
-        shared = a.join(b, tokens).where(near).withColumn("shared", F.array_intersect("tokens_a", "tokens_b"))
-        here = (F.get("shared", F.lit(0)) == F.col("token")) & ((F.get("shared", F.lit(1)) == F.col("other")) if len(tokens) == 2 else F.lit(True))
-        both = F.size("shared")
-        return shared.where(here & ((100 + percent) * both >= percent * total)).select("id_a", "id_b", (both / (total - both)).alias("jaccard"))
-
-    found = met(pairs, ["token", "other"]).unionByName(met(singles, ["token"]))
+        near &= (100 + percent) * (total - apart) >= 2 * percent * total
+        near &= least >= k if k == TOGETHER else least == k
+        shared = F.array_intersect("tokens_a", "tokens_b")
+        here = F.xxhash64(F.slice(shared, 1, k)) == F.col("key")
+        both = F.size(shared)
+        # Conditions of a join are reordered; a case isn't, so whole sets are compared only where the rest holds.
+        return a.join(b, "key").where(F.when(near, here & ((100 + percent) * both >= percent * total)).otherwise(False)).select("id_a", "id_b", (both / (total - both)).alias("jaccard"))
+
+    found = reduce(DataFrame.unionByName, [met(k) for k in range(1, TOGETHER + 1)]).dropDuplicates(["id_a", "id_b"])  # keys are hashes, of which a set may have equal ones
     return found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "jaccard").unionByName(same)
