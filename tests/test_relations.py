@@ -165,3 +165,15 @@ def test_flow_of_cached_relations(spark):
     assert [tuple(r) for r in flows.prepared(rows, DIRECTED).select("source", "weight").collect()] == [("a", 4.0)]
     assert [tuple(r) for r in flows.prepared(rows, PIPELINE).select("source", "weight").collect()] == [("A", None)]
     assert [r["weight"] for r in flows.prepared(rows, DIRECTED, cached=False).where("source = 'a'").collect()] == [5.0]
+
+
+def test_pairs_of_common_nodes_are_dealt_over_lanes(spark, monkeypatch):
+    """A node's pairs have a key for each ``LANE`` chunks that mention it, and counts and lists don't depend on that."""
+    rows = [(f"c{i:03}", "hub", f"n{i % 20}") for i in range(100)] + [(f"c{i:03}", "a", "hub") for i in range(0, 100, 3)]
+    counted = proximity.mentions(spark.createDataFrame(rows, "chunk_id string, source string, target string"))
+    found = []
+    for lane in (100_000, 10):
+        monkeypatch.setattr(proximity, "LANE", lane)
+        found.append(sorted(map(tuple, proximity.pairs(counted, least=2).collect())))
+    assert found[0] == found[1] and len(found[0]) == 35
+    assert max(r["lanes"] for r in proximity._laned(counted).collect()) == 10

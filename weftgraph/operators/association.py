@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.proximity import mentions
+from weftgraph.operators import proximity
+from weftgraph.operators.proximity import lane, mentions
 from weftgraph.storage import cut
 
 
@@ -38,10 +39,10 @@ def associations(relations: DataFrame, least: int = 2) -> DataFrame:
     once = cut(mentions(relations).select("chunk_id", "node"), "mentions")
     of_node = once.groupBy("node").agg(F.count("*").alias("c"))
     n = once.agg(F.count_distinct("chunk_id").cast("double").alias("n"))  # one row
-    marked = once.join(of_node, "node")
+    marked = cut(once.join(of_node, "node").select("chunk_id", "node", F.col("c").cast("int").alias("c")), "marked")
     a, b = (marked.select("chunk_id", F.col("node").alias(f"node_{k}"), F.col("c").alias(f"c_{k}")) for k in (1, 2))
-    joined = a.join(b, "chunk_id").where("node_1 < node_2")
-    pairs = joined.groupBy("node_1", "node_2").agg(F.count("*").alias("n_chunks"), F.first("c_1").cast("double").alias("c_1"), F.first("c_2").cast("double").alias("c_2")).where(F.col("n_chunks") >= least)
+    joined = a.join(b, "chunk_id").where("node_1 < node_2").withColumn("lane", lane(F.col("node_2"), F.ceil(F.greatest("c_1", "c_2") / proximity.LANE)))
+    pairs = joined.repartition("node_1", "lane").groupBy("node_1", "lane", "node_2").agg(F.count("*").alias("n_chunks"), F.first("c_1").cast("double").alias("c_1"), F.first("c_2").cast("double").alias("c_2")).where(F.col("n_chunks") >= least)
     both, c1, c2, total = F.col("n_chunks").cast("double"), F.col("c_1"), F.col("c_2"), F.col("n")
     return pairs.join(F.broadcast(n)).select("node_1", "node_2", "n_chunks", npmi(both, c1, c2, total).alias("npmi"), log_likelihood_ratio(both, c1, c2, total).alias("llr"))
 

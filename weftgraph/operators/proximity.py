@@ -7,10 +7,14 @@ its mirror image. A chunk with many mentions is one key of that join; AQE splits
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.schemas import DIRECTED, Mode
+from weftgraph.storage import cut
+
+#: Chunks of a node whose pairs one key takes.
+LANE = 100_000
 
 
 def mentions(relations: DataFrame) -> DataFrame:
@@ -19,15 +23,32 @@ def mentions(relations: DataFrame) -> DataFrame:
     return long.where("chunk_id is not null and node is not null").groupBy("chunk_id", "node").agg(F.count("*").alias("m"))
 
 
-def pairs(counted: DataFrame, chunks: bool = True) -> DataFrame:
-    """``(node_1, node_2, count[, chunk_ids])`` for node_1 < node_2, from mentions."""
-    a, b = counted.select("chunk_id", F.col("node").alias("node_1"), F.col("m").alias("m_1")), counted.select("chunk_id", F.col("node").alias("node_2"), F.col("m").alias("m_2"))
-    joined = a.join(b, (a.chunk_id == b.chunk_id) & (F.col("node_1") < F.col("node_2"))).select(a.chunk_id, "node_1", "node_2", (F.col("m_1") * F.col("m_2")).alias("n"))
-    total = [F.sum("n").alias("count")]
+def _laned(counted: DataFrame) -> DataFrame:
+    """Mentions with ``lanes``: over how many keys the pairs of the node are dealt, one for each ``LANE`` chunks that mention it. Nodes of more than one are few, as mentions are ``LANE`` to each."""
+    heavy = counted.groupBy("node").agg(F.count("*").alias("lanes")).where(F.col("lanes") > LANE)
+    return counted.join(F.broadcast(heavy), "node", "left").withColumn("lanes", F.coalesce(F.ceil(F.col("lanes") / LANE), F.lit(1)).cast("int"))
+
+
+def lane(other: Column, lanes: Column) -> Column:
+    """The key beside its first node that a pair is dealt by: one of ``lanes``, by its second node."""
+    return F.pmod(F.xxhash64(other), lanes).cast("int")
+
+
+def pairs(counted: DataFrame, chunks: bool = True, least: int = 1) -> DataFrame:
+    """``(node_1, node_2, count[, chunk_ids])`` for node_1 < node_2 and counts of ``least`` or more, from mentions.
+
+    Pairs are dealt by their first node, so that those of a chunk lie together and cost little to shuffle.
+    """
+    counted = _laned(cut(counted, "mentions")).select("chunk_id", "node", "m", "lanes")
+    a, b = (counted.select("chunk_id", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "m", "lanes")]) for k in (1, 2))
+    joined = a.join(b, (a.chunk_id == b.chunk_id) & (F.col("node_1") < F.col("node_2"))).select(a.chunk_id, "node_1", "node_2", lane(F.col("node_2"), F.greatest("lanes_1", "lanes_2")).alias("lane"), (F.col("m_1") * F.col("m_2")).alias("n"))
+    joined = joined.repartition("node_1", "lane")
+    total, one = [F.sum("n").alias("count")], ["node_1", "lane", "node_2"]
     if chunks:
+        joined = joined.withColumn("count", F.sum("n").over(Window.partitionBy(*one))).where(F.col("count") >= least)  # most pairs meet once: no list is made of them
         each = F.array_sort(F.collect_list(F.struct("chunk_id", "n")))
         total.append(F.flatten(F.transform(each, lambda x: F.array_repeat(x["chunk_id"], x["n"].cast("int")))).alias("chunk_ids"))
-    return joined.groupBy("node_1", "node_2").agg(*total)
+    return joined.groupBy(*one).agg(*total).where(F.col("count") >= least).drop("lane")
 
 
 def proximity(relations: DataFrame, mode: Mode = DIRECTED, chunks: bool = True, least: int = 2, cap: int = 3) -> DataFrame:
@@ -35,7 +56,7 @@ def proximity(relations: DataFrame, mode: Mode = DIRECTED, chunks: bool = True,
 
     ``chunk_ids`` holds each chunk as often as its product of mentions, in order of chunk_id.
     """
-    half = pairs(mentions(relations), chunks).where((F.col("count") >= least) & (F.col("node_1") != "") & (F.col("node_2") != ""))
+    half = pairs(mentions(relations), chunks, least).where((F.col("node_1") != "") & (F.col("node_2") != ""))
     rest = ["count", *(["chunk_ids"] if chunks else [])]
     ends = [F.struct(F.col(a).alias("source"), F.col(b).alias("target")) for a, b in (("node_1", "node_2"), ("node_2", "node_1"))]
     both = half.select(F.inline(F.array(*ends)), *rest)  # a union would sum every pair twice
