@@ -201,3 +201,13 @@ def test_relations_equal_the_operator_s(spark):
     chunks = chunking.fixed_chunks(_documents(spark, "/root/testdata/sf0.001"))
     right = extract.extract(chunks, extract.RegexRelations).select("chunk_id", "source", "target", "relationship")
     assert sorted(map(tuple, spark.sql("SELECT * FROM relations(TABLE({c}), 4)", c=chunks).collect())) == sorted(map(tuple, right.collect()))
+
+
+def test_short_ranges_share_tasks(monkeypatch):
+    """Every range is in one group, in order; a group has ``TASK`` bytes at most, or a task's share if that is less."""
+    found = [("f", i * 10, i * 10 + 10, False) for i in range(100)] + [("g", 0, 500, False)]
+    monkeypatch.setattr(quoted_csv, "TASK", 50)
+    groups = quoted_csv.grouped(found, 4)
+    assert [x for g in groups for x in g] == found and len(groups) == 21
+    assert len(quoted_csv.grouped(found[:100], 40)) == 50
+    assert quoted_csv.grouped([], 4) == []

@@ -2,7 +2,7 @@
 
 Where a record begins can't be told from the middle of such a file: a line break may be inside quotes. It is known once the quotes before a place are counted,
 as every quote, also of the two that stand for one inside a value, turns inside into outside. So files are cut into byte ranges; a first job counts each range's
-quotes; and the sums tell whether a range begins inside. Then a data source (``quoted_csv``) reads ranges, each in a task of its own: a record belongs to the range that
+quotes; and the sums tell whether a range begins inside. Then a data source (``quoted_csv``) reads ranges, one at a time, in tasks of ``TASK`` bytes or less: a record belongs to the range that
 its first byte is in. Columns that aren't asked for aren't converted, and rows that ``only`` rules out don't leave the reader. Spark's own pushing of filters isn't
 used: this version keeps a data frame's pushed filters for its next query, which would lose rows.
 
@@ -16,7 +16,7 @@ import csv
 import io
 import json
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 _QUOTE, _BREAK = 34, 10
 #: Bytes read at a time beyond a range's end.
 _MORE = 1 << 16
+#: Bytes of the ranges that a task reads, one after the other, so that short ranges don't cost a task each.
+TASK = 16 << 20
 
 
 def _open(path: str):
@@ -98,19 +100,28 @@ def parse(body: bytes, names: list[str], wanted: list[str]) -> pa.Table:
     return pa.table({x: table.column(x) if x in names else pa.nulls(n, pa.string()) for x in wanted}) if wanted else table.select([])
 
 
-class Range(InputPartition):
+class Range:
     def __init__(self, path: str, start: int, end: int, inside: bool):
         self.path, self.start, self.end, self.inside = path, start, end, inside
 
 
+class Ranges(InputPartition):
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
 class QuotedCsvReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.names, self.ranges, self.only = schema.names, json.loads(options["ranges"]), json.loads(options.get("only", "{}"))
 
-    def partitions(self) -> list[Range]:
-        return [Range(*x) for x in self.ranges]
+    def partitions(self) -> list[Ranges]:
+        return [Ranges([Range(*x) for x in group]) for group in self.ranges]
+
+    def read(self, some: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in some.ranges:
+            yield from self._read(part)
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def _read(self, part: Range) -> Iterator[pa.RecordBatch]:
         with _open(part.path) as file:
             names = _header(file)
             body = _records(file, part.start, part.end, part.inside)
@@ -159,13 +170,27 @@ def ranges(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> list[
     table = spark.createDataFrame(cuts, "path string, start long, end long").repartition(min(len(cuts), 4 * spark.sparkContext.defaultParallelism))
     counted = {(r["path"], r["start"]): r["quotes"] for r in table.mapInArrow(count, "path string, start long, quotes long").collect()}
     out = []
-    for p in dict.fromkeys(x[0] for x in cuts):
-        own = [x for x in cuts if x[0] == p]
+    for p, own in groupby(cuts, lambda x: x[0]):  # in order of files
+        own = list(own)
         before = accumulate((counted[p, a] for _, a, _ in own), initial=0)
         out += [(p, a, b, k % 2 == 1) for (_, a, b), k in zip(own, before, strict=False)]
     return out
 
 
+def grouped(found: list[tuple[str, int, int, bool]], tasks: int) -> list[list[tuple[str, int, int, bool]]]:
+    """Ranges in their order, in groups of ``TASK`` bytes or less, or of a ``tasks``-th of all bytes if that is less; a longer range is a group."""
+    most = min(TASK, sum(b - a for _, a, b, _ in found) // tasks)
+    out, held = [], 0
+    for x in found:
+        size = x[2] - x[1]
+        if not out or held + size > most:
+            out.append([])
+            held = 0
+        out[-1].append(x)
+        held += size
+    return out
+
+
 def read_quoted(spark: SparkSession, path: str, columns: list[str] | None = None, only: dict[str, list[str | None]] | None = None, split_bytes: int = 64 << 20) -> DataFrame:
     """The columns of the files' headers, or those asked for, as text; of the rows whose values are among those of ``only``, by column. A folder without files is an error unless columns are given."""
     spark.dataSource.register(QuotedCsv)
@@ -175,4 +200,4 @@ def read_quoted(spark: SparkSession, path: str, columns: list[str] | None = None
             raise ValueError(f"no file in {path} to take columns from")
         with _open(found[0][0]) as file:
             columns = _header(file)
-    return spark.read.format("quoted_csv").option("ranges", json.dumps(found)).option("names", json.dumps(columns)).option("only", json.dumps(only or {})).load()
+    return spark.read.format("quoted_csv").option("ranges", json.dumps(grouped(found, 4 * spark.sparkContext.defaultParallelism))).option("names", json.dumps(columns)).option("only", json.dumps(only or {})).load()
