@@ -17,3 +17,23 @@ def test_a_sentence_that_names_both_relates_them(spark):
     frame = spark.createDataFrame(rows, "chunk_id string, entity_1 string, entity_2 string, text string")
     found = {r["chunk_id"]: (r["relationship"], r["related"]) for r in extract.judged_pairs(frame, extract.SameSentence).collect()}
     assert found["1"] == ("Ada met Bob", True) and found["2"] == ("", False) and found["3"] == (None, None)
+
+
+def test_rows_by_column_are_those_by_row(spark, monkeypatch):
+    monkeypatch.setattr(extract, "ROWS", 7)
+    texts = ["", None, "one", "alpha beta gamma, alpha", "x " * 50, " ".join(f"word{chr(97 + i)}" for i in range(20))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    one = extract.RegexRelations()
+    at, values = one.columns([x or "" for x in texts])
+    found = sorted(tuple(r) for r in extract.extract(frame, extract.RegexRelations).collect())
+    assert found == sorted((i, *r.values()) for i, rows in enumerate(one.rows([x or "" for x in texts])) for r in rows)
+    assert len(at) == len(found) == len(values["source"]) == 3 + 19
+
+
+def test_strip_trims_only_what_has_space_at_an_end(spark):
+    from weftgraph.functions.text import strip
+
+    texts = ["", " ", "a", " a", "a　", "\x85a b\t", "é ", " x", "a\nb", None, "   ", "\U0001f600 "]
+    frame = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert [r[0] for r in frame.select(strip("t")).collect()] == [x if x is None else x.strip() for x in texts]
+    assert "CASE WHEN" in frame.select(strip("t"))._jdf.queryExecution().optimizedPlan().toString()

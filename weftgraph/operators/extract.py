@@ -3,7 +3,7 @@
 An extractor turns a batch of texts into answers, each the JSON text of a list of objects. It is made once per
 worker task by a factory, so that a model or an HTTP session is set up once. Answers are parsed strictly: a text whose
 answer is anything but a list of objects gives no rows. The chunk's own columns win over keys of the same name. An extractor that finds
-rows itself has a method ``rows`` that gives them as they are, without the way by JSON.
+rows itself has a method ``rows`` that gives them as they are, without the way by JSON, or ``columns``, which gives the rows of many texts by column.
 """
 
 from __future__ import annotations
@@ -97,6 +97,9 @@ def extract(chunks: DataFrame, factory: Callable[[], Extractor], schema: str = R
             for i in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(i, TEXTS)
                 texts = [x or "" for x in part.column(len(keep)).to_pylist()]
+                if hasattr(extractor, "columns"):
+                    yield from listed(part, *extractor.columns(texts))
+                    continue
                 answers = extractor.rows(texts) if hasattr(extractor, "rows") else extractor(texts)
                 for d, answer in enumerate(answers, i):
                     rows = answer if isinstance(answer, list) else strict_rows(answer)
@@ -110,6 +113,13 @@ def extract(chunks: DataFrame, factory: Callable[[], Extractor], schema: str = R
                         at, found = [], []
             yield made(batch, at, found)
 
+    def listed(part: pa.RecordBatch, at: list[int], values: dict[str, list | str]) -> Iterator[pa.RecordBatch]:
+        n = len(at)
+        found = [pa.repeat(v, n) if isinstance(v, str) else pa.array(v, pa.string()) if v is not None else pa.nulls(n, pa.string()) for v in map(values.get, names)]
+        own = [c.take(pa.array(at, pa.int64())) for c in part.columns[: len(keep)]]
+        whole = pa.RecordBatch.from_arrays([*own, *found], [*keep, *names])
+        yield from (whole.slice(i, ROWS) for i in range(0, n, ROWS))
+
     def made(batch: pa.RecordBatch, at: list[int], found: list[dict]) -> pa.RecordBatch:
         own = [c.take(pa.array(at, pa.int64())) for c in batch.columns[: len(keep)]]
         return pa.RecordBatch.from_arrays([*own, *[pa.array([_text(x.get(n)) for x in found], pa.string()) for n in names]], [*keep, *names])
@@ -168,6 +178,16 @@ class RegexRelations:
     def __init__(self, length: int = 4, relationship: str = "precedes"):
         self.word, self.relationship = re.compile(rf"[^\W\d_]{{{length},}}"), relationship
 
+    def columns(self, texts: list[str]) -> tuple[list[int], dict[str, list | str]]:
+        """The number of each row's text, and the rows' values by column: a text for a column is that of every row."""
+        at, source, target = [], [], []
+        for i, text in enumerate(texts):
+            words = self.word.findall(text.lower())
+            at += [i] * (len(words) - 1)
+            source += words[:-1]
+            target += words[1:]
+        return at, {"source": source, "target": target, "relationship": self.relationship, "weight": "1", "description": ""}
+
     def rows(self, texts: list[str]) -> list[list[dict]]:
         found = [self.word.findall(text.lower()) for text in texts]
         return [[{"source": a, "target": b, "relationship": self.relationship, "weight": "1", "description": ""} for a, b in pairwise(words)] for words in found]
