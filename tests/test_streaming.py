@@ -82,3 +82,26 @@ def test_a_compacted_table_goes_on(spark, rows, tmp_path):
     stream.add_batch(batch(2), new, 2, "key")
     stream.add_batch(batch(0), new, 3, "key")
     assert found(spark, new) == right(rows)
+
+
+def test_large_chunks_frequent_chunks_and_frequent_nodes(spark, rows, tmp_path, monkeypatch):
+    """The ways of chunks and nodes that are too large for one list, one partition or a broadcast give the same counts."""
+    odd = [("c1", "a\nb", "", 901), ("c2", "a\nb", "", 902), ("c2", "a\nb", "", 903), ("c3", "", "x", 904)]
+    for name, value in (("SMALL", 4), ("HOT", 9), ("FEW", 0), ("LANE", 2), ("BUCKETS", 4)):
+        monkeypatch.setattr(stream, name, value, raising=False)
+    for number in range(3):
+        stream.add_batch(spark.createDataFrame([x for i, x in enumerate(rows + odd) if i % 3 == number], SCHEMA), str(tmp_path / "out"), number, "key")
+    assert found(spark, tmp_path / "out") == right(rows + odd)
+    stream.compact(spark, str(tmp_path / "out"), str(tmp_path / "into"), 2)
+    assert found(spark, tmp_path / "into") == right(rows + odd)
+
+
+def test_pairs_are_shuffled_once_and_in_lists(spark, tmp_path):
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    r = random.Random(4)
+    lines = [(f"c{k // 9}", f"s{r.randrange(10**6)}", f"p{r.randrange(10**6)}", k) for k in range(18_000)]
+    pairs, before = 2000 * 18 * 17 // 2, shuffled()
+    for number in range(2):
+        stream.add_batch(spark.createDataFrame([x for x in lines if x[3] % 2 == number], SCHEMA), str(tmp_path), number, "key")
+    stream.totals(spark, str(tmp_path), least=1).write.format("noop").mode("overwrite").save()
+    assert shuffled() - before < 24 * pairs

@@ -5,22 +5,29 @@ batch (new): old x new + new x old + new x new. The state is two tables of incre
 batch, named by its number. A batch reads the increments of batches before it, of its own chunks only, and writes its own partitions, so a batch that runs again after a
 failure replaces what it wrote. Rows that are delivered twice are told by their ``key`` and count once. Chunks may come in pieces and late without a limit: no state
 expires. ``compact`` sums increments up in another folder, so that their number needn't grow with that of batches.
+
+Mentions go to their chunk once, and the pairs of a chunk of at most ``SMALL`` nodes are made there, as lists by first node; only larger chunks are joined with themselves.
+The lists are written as they are made, so that pairs are shuffled once, when ``totals`` sums them up by first node.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from weftgraph.operators.proximity import mentions
+from weftgraph.operators.proximity import LANE, lane
 from weftgraph.storage import cut, scratch
 
-_MENTIONS = "chunk_id string, node string, m long, batch long"
-_PAIRS = "node_1 string, node_2 string, count long, batch long"
+#: A row of a relation has both its ends, ``node`` and ``other``; a sum of several rows has one.
+_MENTIONS = "chunk_id string, node string, other string, m long, batch long"
+_PAIRS = "node_1 string, near array<struct<node_2: string, count: bigint>>, batch long"
+
+#: Nodes of a chunk whose pairs are made from one list; rows of a batch whose chunks are looked up by broadcast; rows of a bucket of chunks that are summed up before they meet; and buckets.
+SMALL, FEW, HOT, BUCKETS = 256, 100_000, 1_000_000, 1 << 14
 
 
 def _path(table: str, kind: str) -> str:
@@ -60,6 +67,42 @@ def delta_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("node_1", "node_2").agg(F.sum("n").alias("count")).where(F.col("count") > 0)
 
 
+def _ends(rows: DataFrame) -> DataFrame:
+    """A row for each node that a row mentions."""
+    rest = [c for c in rows.columns if c not in ("node", "other")]
+    return rows.select(*rest, F.explode(F.array("node", "other")).alias("node")).where("node is not null")
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+
+
+def _summed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``(chunk_id, node, old, new, size)``, dealt by chunk; ``size`` is the number of the chunk's nodes."""
+    none = F.lit(0).cast("long")
+    rows = old.select("chunk_id", "node", "other", F.col("m").alias("old"), none.alias("new")).unionByName(new.select("chunk_id", "node", "other", none.alias("old"), F.col("m").alias("new")))
+    hot = [r["b"] for r in rows.groupBy(_bucket("chunk_id").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") > HOT).collect()]  # a chunk of very many rows is in one of few buckets
+    sums = [F.sum(c).alias(c) for c in ("old", "new")]
+    if hot:
+        named = _bucket("chunk_id").isin(hot)
+        rows = rows.where(~named).unionByName(_ends(rows.where(named)).groupBy("chunk_id", "node").agg(*sums).withColumn("other", F.lit(None).cast("string")))
+    every = _ends(rows.repartition("chunk_id")).groupBy("chunk_id", "node").agg(*sums)
+    return every.withColumn("size", F.count("*").over(Window.partitionBy("chunk_id")))
+
+
+def _lists(summed: DataFrame) -> DataFrame:
+    """``(node_1, near)`` of each chunk: pairs of which one node is new."""
+    chunks = summed.groupBy("chunk_id").agg(F.collect_list(F.struct("node", "old", "new")).alias("every"), F.max("new").alias("most")).where("most > 0")
+    first = chunks.select("every", F.inline("every")).withColumnsRenamed({"node": "node_1", "old": "old_1", "new": "new_1"})
+    after = F.filter("every", lambda x: (x["node"] > F.col("node_1")) & ((F.col("new_1") > 0) | (x["new"] > 0)))
+    times = lambda x: F.col("new_1") * (x["old"] + x["new"]) + F.col("old_1") * x["new"]
+    return first.select("node_1", F.transform(after, lambda x: F.struct(x["node"].alias("node_2"), times(x).alias("count"))).alias("near")).where(F.size("near") > 0)
+
+
+def _singly(pairs: DataFrame) -> DataFrame:
+    return pairs.select("node_1", F.array(F.struct("node_2", "count")).alias("near"))
+
+
 def add_batch(relations: DataFrame, table: str, number: int, key: str | None = None) -> None:
     """Count the relations ``(chunk_id, source, target[, key])`` as batch ``number``."""
     spark = relations.sparkSession
@@ -68,14 +111,25 @@ def add_batch(relations: DataFrame, table: str, number: int, key: str | None = N
         if key:
             seen = StructType([rows.schema[key]]).add("batch", "long")
             told = rows.where(F.col(key).isNotNull()).dropDuplicates([key]).join(_before(spark, table, "keys", seen, number), key, "left_anti")
-            rows = cut(told.unionByName(rows.where(F.col(key).isNull())), "rows")
-        new = cut(mentions(rows), "new")
-        chunks = new.select("chunk_id").distinct()
-        old = _before(spark, table, "mentions", _MENTIONS, number).join(chunks, "chunk_id", "left_semi").groupBy("chunk_id", "node").agg(F.sum("m").alias("m"))
-        _write(delta_pairs(old, new), table, "pairs", number)
-        _write(new, table, "mentions", number)
+            rows = told.unionByName(rows.where(F.col(key).isNull()))
+        one = F.lit(1).cast("long").alias("m")
+        rows = rows.select("chunk_id", F.col("source").alias("node"), F.col("target").alias("other"), one, *([F.col(key).alias("#key")] if key else []))
+        _write(rows, table, "mentions", number)
+        added = spark.read.schema(rows.schema).parquet(f"{_path(table, 'mentions')}/batch={number}")
         if key:
-            _write(rows.select(key).where(F.col(key).isNotNull()), table, "keys", number)
+            _write(added.select(F.col("#key").alias(key)).where(F.col(key).isNotNull()), table, "keys", number)
+        new = added.where("chunk_id is not null")
+        n = new.count()
+        old = _before(spark, table, "mentions", _MENTIONS, number if n else 0).where("chunk_id is not null")
+        if n <= FEW:
+            old = old.join(F.broadcast(new.select("chunk_id").distinct()), "chunk_id", "left_semi")
+        seen_size = Observation()
+        summed = _summed(old, new)
+        _write(_lists(summed.observe(seen_size, F.max("size").alias("most")).where(F.col("size") <= SMALL)), table, "pairs", number)
+        if n and (seen_size.get["most"] or 0) > SMALL:
+            large = cut(summed.where(F.col("size") > SMALL), "large")
+            side = lambda c: large.where(F.col(c) > 0).select("chunk_id", "node", F.col(c).alias("m"))
+            _singly(delta_pairs(side("old"), side("new"))).write.mode("append").parquet(f"{_path(table, 'pairs')}/batch={number}")
 
 
 def start(relations: DataFrame, table: str, checkpoint: str, key: str | None = None, **trigger) -> StreamingQuery:
@@ -91,13 +145,29 @@ def compact(spark: SparkSession, table: str, into: str, last: int) -> None:
 
     ``table`` stays as it is, so a break on the way loses nothing; delete it when the stream has moved.
     """
-    for kind, schema, keys, total in (("mentions", _MENTIONS, ["chunk_id", "node"], "m"), ("pairs", _PAIRS, ["node_1", "node_2"], "count")):
-        _write(_before(spark, table, kind, schema, last + 1).groupBy(*keys).agg(F.sum(total).alias(total)), into, kind, last)
+    mentions = _ends(_before(spark, table, "mentions", _MENTIONS, last + 1)).where("chunk_id is not null")
+    _write(mentions.groupBy("chunk_id", "node").agg(F.sum("m").alias("m")), into, "mentions", last)
+    _write(_singly(_total(_before(spark, table, "pairs", _PAIRS, last + 1), 1)), into, "pairs", last)
     if _exists(spark, _path(table, "keys")):
         _write(spark.read.parquet(_path(table, "keys")).where(F.col("batch") <= last).drop("batch"), into, "keys", last)
 
 
+def _total(lists: DataFrame, least: int) -> DataFrame:
+    """``(node_1, node_2, count)``. Lists are dealt by first node, those of nodes with very many by their second nodes too; what counts once goes as one text, in a third of the bytes of pairs."""
+    crowd = lists.groupBy(_bucket("node_1").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") > LANE).select("b", F.ceil(F.col("n") / LANE).cast("int").alias("lanes"))
+    dealt = lists.withColumn("b", _bucket("node_1")).join(F.broadcast(crowd), "b", "left").withColumn("lanes", F.coalesce("lanes", F.lit(1)))
+    dealt = dealt.select("node_1", "near", "lanes", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"))
+    near = F.when(F.col("lanes") == 1, F.col("near")).otherwise(F.filter("near", lambda x: lane(x["node_2"], F.col("lanes")) == F.col("lane")))
+    plain = lambda x: (x["count"] == 1) & ~x["node_2"].contains("\n")
+    once, rest = F.transform(F.filter("near", plain), lambda x: x["node_2"]), F.filter("near", lambda x: ~plain(x))
+    sent = dealt.select("node_1", "lane", near.alias("near")).where(F.size("near") > 0)
+    sent = sent.select("node_1", "lane", F.when(F.size(once) > 0, F.array_join(once, "\n")).alias("once"), F.when(F.size(rest) > 0, rest).alias("rest")).repartition("node_1", "lane")
+    names = F.transform(F.split("once", "\n", -1), lambda x: F.struct(x.alias("node_2"), F.lit(1).cast("long").alias("count")))
+    none = F.array().cast("array<struct<node_2: string, count: bigint>>")
+    found = sent.select("node_1", "lane", F.inline(F.concat(F.coalesce(names, none), F.coalesce("rest", none))))
+    return found.groupBy("node_1", "lane", "node_2").agg(F.sum("count").alias("count")).where(F.col("count") >= least).drop("lane")
+
+
 def totals(spark: SparkSession, table: str, least: int = 2) -> DataFrame:
     """``(node_1, node_2, count)`` over all batches so far, for counts of at least ``least``."""
-    pairs = spark.read.schema(_PAIRS).parquet(_path(table, "pairs"))
-    return pairs.groupBy("node_1", "node_2").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
+    return _total(spark.read.schema(_PAIRS).parquet(_path(table, "pairs")), least)
