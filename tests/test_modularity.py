@@ -4,9 +4,11 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from weftgraph.operators.graph import betweenness, community, modularity
+from weftgraph.operators.graph import betweenness, community, components, modularity
 from weftgraph.plans.queries import page_links
+from weftgraph.storage import cut
 
 
 def quality(edges, groups):
@@ -97,3 +99,14 @@ def test_sampled_betweenness_is_within_its_bound(spark):
     every = betweenness.sampled_betweenness(pairs, sources=100).collect()
     assert all(x["bound"] == 0 and x["betweenness"] == pytest.approx(exact[x["src"], x["dst"]]) for x in every)
     assert betweenness.sampled_betweenness(pairs.limit(0)).isEmpty()
+
+
+def test_no_side_of_a_join_is_sent_to_the_driver(spark):
+    """Small enough to be broadcast, each would go by way of the driver in every round."""
+    both = cut(frame(spark, [("a", "b", 1.0), ("b", "a", 1.0)]).withColumnRenamed("weight", "w"))
+    strengths, labels = both.select(F.col("src").alias("id"), F.col("w").alias("k")), both.select(F.col("src").alias("id"), F.col("dst").alias("label"))
+    ends = both.select(F.col("src").alias("b"), F.col("dst").alias("a"))
+    found = [modularity._labelled(both, labels), modularity._moved(both, strengths, labels, 2.0, F.lit(True)), components._large(ends), components._small(ends)]
+    for df in found:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators.graph.betweenness import edge_betweenness, from_source
 from weftgraph.operators.graph.build import nodes_of, undirected
 from weftgraph.operators.graph.components import connected_components
-from weftgraph.storage import cut, drop
+from weftgraph.storage import apart, cut, drop
 
 IN_MEMORY = 2_000
 MAX_ROUNDS = 30
@@ -137,4 +137,4 @@ def numbered(members: DataFrame) -> DataFrame:
     before = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("p").orderBy("component"))
     ranked = heads.withColumn("k", inside).join(F.broadcast(before), "p").select("component", (F.col("before") + F.col("k")).cast("int").alias("group"))
-    return members.join(ranked, "component").select("node", "group")
+    return members.join(apart(ranked), "component").select("node", "group")

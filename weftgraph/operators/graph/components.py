@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.storage import cut, drop
+from weftgraph.storage import apart, cut, drop
 
 MAX_ROUNDS = 60
 
@@ -20,7 +20,7 @@ MAX_ROUNDS = 60
 def _star(edges: DataFrame, u: str, v: str) -> DataFrame:
     """For each ``u`` the least id among itself and its neighbours, attached to its edges."""
     least = edges.groupBy(u).agg(F.min(v).alias("_m")).select(F.col(u), F.least(u, "_m").alias("m"))
-    return edges.join(least, u)
+    return edges.join(apart(least), u)
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def _small(edges: DataFrame) -> DataFrame:
 def _stars(edges: DataFrame) -> bool:
     """Whether every component is a star by now: no centre (``b``) is a leaf (``a``), and no leaf has two centres. A centre is less than its leaves."""
     centres = edges.select(F.col("b").alias("a")).distinct()
-    if not edges.join(centres, "a", "left_semi").isEmpty():
+    if not edges.join(apart(centres), "a", "left_semi").isEmpty():
         return False
     return edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 

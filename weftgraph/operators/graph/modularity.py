@@ -5,7 +5,7 @@ if it does; the other half stays, so that two nodes don't swap for ever. When ro
 lowers modularity, each community becomes a node of a smaller graph, and the rounds begin again on that, until no community joins another.
 
 A round is equi-joins and partially aggregated groupings of a table with a row for each edge; strengths of communities and the weight of the whole graph are
-sums. A hub's edges are summed by community before they are compared. Nothing but one-row sums comes to the driver.
+sums. A hub's edges are summed by community before they are compared. Nothing but one-row sums comes to the driver, as no side of a join is broadcast.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators.graph.build import nodes_of
 from weftgraph.operators.graph.community import numbered
 from weftgraph.operators.graph.components import connected_components
-from weftgraph.storage import cut, drop, scratch
+from weftgraph.storage import apart, cut, scratch
 
 #: Rounds of a level, levels, and the rise of modularity that counts.
 ROUNDS, LEVELS, RISE = 20, 20, 1e-7
@@ -33,12 +33,12 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _labelled(both: DataFrame, labels: DataFrame) -> DataFrame:
     """Edges with the communities of both ends."""
     own, other = labels.select(F.col("id").alias("src"), F.col("label").alias("a")), labels.select(F.col("id").alias("dst"), F.col("label").alias("b"))
-    return both.join(own, "src").join(other, "dst")
+    return both.join(apart(own), "src").join(apart(other), "dst")
 
 
 def _quality(both: DataFrame, strengths: DataFrame, labels: DataFrame, total: float) -> float:
     inside = _labelled(both, labels).where("a = b").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("q")).select(F.col("q") / total)
-    squares = strengths.join(labels, "id").groupBy("label").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("q")).select(-F.col("q") / total**2)
+    squares = strengths.join(apart(labels), "id").groupBy("label").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("q")).select(-F.col("q") / total**2)
     return sum(r[0] for r in inside.union(squares).collect())  # two rows
 
 
@@ -52,12 +52,12 @@ def modularity(edges: DataFrame, groups: DataFrame, weight: str | None = "weight
 
 def _moved(both: DataFrame, strengths: DataFrame, labels: DataFrame, total: float, turn) -> DataFrame:
     """Labels after one round. The gain of a community is the weight to it less what chance gives it, with the node itself out of its own community."""
-    k_of = strengths.join(labels, "id").groupBy("label").agg(F.sum("k").alias("sum"))
-    to = both.where("src <> dst").join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("w").alias("w"))
-    own = labels.select("id", F.col("label").alias("own")).join(strengths, "id")
+    k_of = strengths.join(apart(labels), "id").groupBy("label").agg(F.sum("k").alias("sum"))
+    to = both.where("src <> dst").join(apart(labels.select(F.col("id").alias("dst"), "label")), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("w").alias("w"))
+    own = labels.select("id", F.col("label").alias("own")).join(apart(strengths), "id")
     stay = own.select("id", F.col("own").alias("label"), F.lit(0.0).alias("w"))  # leaving no neighbour behind is a choice too
     weights = to.unionByName(stay).groupBy("id", "label").agg(F.sum("w").alias("w"))
-    rated = weights.join(own, "id").join(k_of, "label")
+    rated = weights.join(apart(own), "id").join(apart(k_of), "label")
     gain = F.col("w") - F.col("k") * (F.col("sum") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)) / total
     best = rated.groupBy("id").agg(
         F.min(F.struct((-F.round(gain, 9)).alias("g"), "label")).alias("best"), F.max(F.when(F.col("label") == F.col("own"), F.round(gain, 9))).alias("kept"), F.first("own").alias("own")
@@ -85,7 +85,7 @@ def _settled(both: DataFrame, total: float, rounds: int, seed: int) -> tuple[Dat
         return best, top, False
     inside = _labelled(both, best).where("a = b and src < dst").select("src", "dst")
     parts = connected_components(inside)
-    return cut(best.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("label")), "labels"), top, True
+    return cut(best.join(apart(parts), "id", "left").select("id", F.coalesce("component", "id").alias("label")), "labels"), top, True
 
 
 def modularity_communities(edges: DataFrame, weight: str | None = "weight", rounds: int = ROUNDS, levels: int = LEVELS, tries: int = 1) -> DataFrame:
@@ -104,7 +104,7 @@ def modularity_communities(edges: DataFrame, weight: str | None = "weight", roun
         found = max((_levels(first, total, rounds, levels, seed) for seed in range(tries)), key=lambda x: x[1])[0]
         # The label of a group is a node's of it, not always its least.
         heads = found.groupBy("label").agg(F.min("id").alias("component"))
-        members = every.join(found.join(heads, "label"), "id", "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
+        members = every.join(apart(found.join(apart(heads), "label")), "id", "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
         return made.keep(cut(numbered(members), "communities"))
 
 
@@ -112,7 +112,7 @@ def _levels(both: DataFrame, total: float, rounds: int, levels: int, seed: int)
     whole, top = None, 0.0
     for _ in range(levels):
         labels, top, moved = _settled(both, total, rounds, seed)
-        whole = labels if whole is None else cut(whole.withColumnRenamed("label", "id_").join(labels.withColumnRenamed("id", "id_"), "id_").select("id", "label"), "whole")
+        whole = labels if whole is None else cut(whole.withColumnRenamed("label", "id_").join(apart(labels.withColumnRenamed("id", "id_")), "id_").select("id", "label"), "whole")
         if not moved:
             break
         # Loops already hold both directions, as do the sums of edges inside a community.
