@@ -81,3 +81,13 @@ def test_tiles_of_one_node_and_of_none(spark, tmp_path):
     edges = spark.createDataFrame([("a", "b", 1.0)], "src string, dst string, weight double")
     assert [tuple(r) for r in tiles.write_tiles(spark.createDataFrame([("a", 3.0, 3.0, None, None)], schema), edges, f"file://{tmp_path}/one").collect()] == [(0, 0, 0, 1)]
     assert tiles.write_tiles(spark.createDataFrame([], schema), edges, f"file://{tmp_path}/none").isEmpty()
+
+
+def test_no_side_of_a_join_is_sent_to_the_driver(spark):
+    """Small enough to be broadcast, each would go by way of the driver in every round."""
+    places = places_of(spark, [(0.1 * i, 0.2 * i) for i in range(30)])
+    edges = spark.createDataFrame([("v0000", "v0001", 1.0)], "src string, dst string, weight double")
+    drawn = tiles.tile_rows(places.withColumns({"weight": F.lit(1.0), "color": F.lit("#112233")}), edges)
+    for df in (layout.repulsion(places), drawn):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
