@@ -211,3 +211,38 @@ def test_short_ranges_share_tasks(monkeypatch):
     assert [x for g in groups for x in g] == found and len(groups) == 21
     assert len(quoted_csv.grouped(found[:100], 40)) == 50
     assert quoted_csv.grouped([], 4) == []
+
+
+def odd():
+    class Odd:
+        """Rows with line breaks, with nulls, of one empty text, and none."""
+
+        def __call__(self, texts):
+            rows = {"plain": [("a", "b"), ("b", "c")], "breaks": [("a\nb", "c"), ("", "")], "nulls": [(None, "x"), ("y", None)], "empty": [("", "")]}
+            return [json.dumps([{"source": a, "target": b} for a, b in rows.get(t, [])]) for t in texts]
+
+    return Odd
+
+
+def test_a_text_is_one_row_of_the_cache_and_odd_values_survive(spark, tmp_path):
+    chunks = spark.createDataFrame([(x, x) for x in ("plain", "breaks", "nulls", "empty", "none")], "chunk_id string, text string")
+    cache = ExtractionCache(spark, str(tmp_path))
+    want = sorted([("plain", "a", "b"), ("plain", "b", "c"), ("breaks", "a\nb", "c"), ("breaks", "", ""), ("nulls", None, "x"), ("nulls", "y", None), ("empty", "", "")], key=str)
+    for _ in range(2):
+        rows = cache.extracted(chunks, odd(), "odd", fields=("source", "target"))
+        assert rows.columns == ["chunk_id", "source", "target"] and sorted(map(tuple, rows.collect()), key=str) == want
+    (part,) = cache.parts()
+    assert spark.read.parquet(f"{tmp_path}/parts/{part}/lists").count() == 5 == cache.keys().count() and cache.rows().count() == 7
+    assert os.listdir(tmp_path / "parts") == [part]
+
+
+def test_parts_with_tables_of_keys_and_rows_are_read(spark, tmp_path):
+    cache, log = ExtractionCache(spark, str(tmp_path / "cache")), tmp_path / "log"
+    log.mkdir()
+    frame = spark.createDataFrame([("1", "a b"), ("2", "none"), ("3", "new")], "chunk_id string, text string")
+    keyed = frame.where("chunk_id < 3").select("chunk_id", F.sha2(F.concat(F.lit("v\x01"), "text"), 256).alias("key"))
+    keyed.select("key").write.parquet(str(tmp_path / "cache/parts/old/keys"))
+    old = keyed.where("chunk_id = 1").select("key", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("source"), *[F.lit("t").alias(x) for x in ("target", "relationship", "weight", "description")])
+    old.write.parquet(str(tmp_path / "cache/parts/old/rows"))
+    cache._commit("old")
+    assert found(cache.extracted(frame, asking(str(log)), "v")) == [("1", "a"), ("1", "b"), ("3", "new")] and asked(log) == ["new"]

@@ -12,7 +12,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import pairwise
+from itertools import accumulate, pairwise
 from typing import Protocol
 
 import pyarrow as pa
@@ -79,8 +79,8 @@ def parse_rows(table: DataFrame, column: str, schema: str, fail_fast: bool = Fal
     return rows.select(*rest, *[F.col(f"_row.{n}").alias(n) for n in names])
 
 
-def extract(chunks: DataFrame, factory: Callable[[], Extractor], schema: str = RELATION, column: str = "text", keep: tuple[str, ...] = ("chunk_id",), tasks: int | None = None, fail_fast: bool = False) -> DataFrame:
-    """Rows extracted from each chunk. ``tasks`` bounds how many extractors run at once.
+def extract(chunks: DataFrame, factory: Callable[[], Extractor], schema: str = RELATION, column: str = "text", keep: tuple[str, ...] = ("chunk_id",), tasks: int | None = None, fail_fast: bool = False, lists: bool = False) -> DataFrame:
+    """Rows extracted from each chunk. ``tasks`` bounds how many extractors run at once. With ``lists`` each chunk is one row, and a column has the list of its values.
 
     Answers are parsed where they are made, ``TEXTS`` at a time, and rows go on in batches of ``ROWS``, so a worker never holds
     the answers of a whole batch of chunks.
@@ -108,24 +108,36 @@ def extract(chunks: DataFrame, factory: Callable[[], Extractor], schema: str = R
                     for row in rows or ():
                         at.append(d)
                         found.append(row)
-                    if len(found) >= ROWS:
+                    if len(found) >= ROWS and not lists:
                         yield made(batch, at, found)
                         at, found = [], []
-            yield made(batch, at, found)
+                if lists:
+                    yield gathered(part, [d - i for d in at], [pa.array([_text(x.get(n)) for x in found], pa.string()) for n in names])
+                    at, found = [], []
+            if not lists:
+                yield made(batch, at, found)
 
     def listed(part: pa.RecordBatch, at: list[int], values: dict[str, list | str]) -> Iterator[pa.RecordBatch]:
         n = len(at)
         found = [pa.repeat(v, n) if isinstance(v, str) else pa.array(v, pa.string()) if v is not None else pa.nulls(n, pa.string()) for v in map(values.get, names)]
+        if lists:
+            yield gathered(part, at, found)
+            return
         own = [c.take(pa.array(at, pa.int64())) for c in part.columns[: len(keep)]]
         whole = pa.RecordBatch.from_arrays([*own, *found], [*keep, *names])
         yield from (whole.slice(i, ROWS) for i in range(0, n, ROWS))
 
+    def gathered(part: pa.RecordBatch, at: list[int], found: list[pa.Array]) -> pa.RecordBatch:
+        n = Counter(at)  # rows are in order of their texts
+        ends = pa.array(list(accumulate((n[d] for d in range(part.num_rows)), initial=0)), pa.int32())
+        return pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *[pa.ListArray.from_arrays(ends, x) for x in found]], [*keep, *names])
+
     def made(batch: pa.RecordBatch, at: list[int], found: list[dict]) -> pa.RecordBatch:
         own = [c.take(pa.array(at, pa.int64())) for c in batch.columns[: len(keep)]]
         return pa.RecordBatch.from_arrays([*own, *[pa.array([_text(x.get(n)) for x in found], pa.string()) for n in names]], [*keep, *names])
 
     kinds = [f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in keep]
-    return picked.mapInArrow(run, ", ".join([*kinds, *[f"`{n}` string" for n in names]]))
+    return picked.mapInArrow(run, ", ".join([*kinds, *[f"`{n}` {'array<string>' if lists else 'string'}" for n in names]]))
 
 
 def concepts(chunks: DataFrame, factory: Callable[[], Extractor], **options) -> DataFrame:
