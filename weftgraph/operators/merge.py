@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.schemas import DIRECTED, NOTEBOOK, Mode
 
-_PAIR = ["source", "target"]
+_PAIR, _ENDS = ["source", "target"], ["node_1", "node_2"]
 
 
 def union(direct: DataFrame, near: DataFrame) -> DataFrame:
@@ -75,6 +75,64 @@ def merge(direct: DataFrame, near: DataFrame, mode: Mode = DIRECTED, chunks: boo
     return both.select(*_PAIR, *listed, values("relationships", "n_relationships").alias("relationships"), weight.alias("weight"), values("descriptions", "n_descriptions").alias("descriptions"))
 
 
+def _folded(direct: DataFrame, *values: str) -> DataFrame:
+    """Complete relations by ``node_1`` <= ``node_2``, dealt by both; ``forth`` where node_1 is the source."""
+    rows = _with_ord(direct).where("source is not null and target is not null")
+    return rows.select(F.least(*_PAIR).alias("node_1"), F.greatest(*_PAIR).alias("node_2"), (F.col("source") <= F.col("target")).alias("forth"), "ord", *values).repartition(*_ENDS)
+
+
+def _of(forth: bool, rows: str, value: str) -> Column:
+    """The non-null values of gathered rows of one direction."""
+    mine = F.filter(rows, lambda x: (x["forth"] if forth else ~x["forth"]) & x[value].isNotNull())
+    return F.coalesce(F.transform(mine, lambda x: x[value]), F.array().cast("array<string>"))
+
+
+def _sides(value: Column) -> list[Column]:
+    """Sums of what the relations of each direction give; null where there is none."""
+    return [F.sum(F.when(F.col("forth"), value)).alias("own_forth"), F.sum(F.when(~F.col("forth"), value)).alias("own_back")]
+
+
+def _ways(both: DataFrame, made) -> DataFrame:
+    """A row for each direction of a pair: that of a near pair has both. ``made(forth, source, target)`` gives its columns."""
+    ways = [F.struct((F.col(own).isNotNull() | F.col("near")).alias("here"), *made(forth, *ends)) for forth, own, ends in ((True, "own_forth", _ENDS), (False, "own_back", _ENDS[::-1]))]
+    return both.select(F.inline(F.array(*ways))).where("here").drop("here")
+
+
+def merge_half(direct: DataFrame, half: DataFrame, mode: Mode = DIRECTED, chunks: bool = True) -> DataFrame:
+    """``merge`` of direct relations and ``proximity.half``: both directions of a pair meet in one row, so that near pairs are shuffled once."""
+    values = ["relationship", "description", *(["chunk_id"] if chunks else [])]
+    rows = _folded(direct, "weight", *values).withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    if mode.distinct and not chunks:  # a row holds different labels only; dealt by pair, so nothing is shuffled
+        rows = rows.groupBy(*_ENDS, "forth", *values).agg(F.sum("weight").alias("weight"), F.min("ord").alias("ord"))
+    found = rows.groupBy(*_ENDS).agg(*_sides(F.col("weight")), F.array_sort(F.collect_list(F.struct("ord", *values, "forth"))).alias("rows"))
+    listed = ["chunk_ids"] if chunks else []
+    both = found.join(half.select(*_ENDS, F.col("weight").alias("n_weight"), *listed), _ENDS, "full").withColumn("near", F.col("n_weight").isNotNull())
+    empty = F.array().cast("array<string>")
+
+    def made(forth: bool, source: str, target: str) -> list[Column]:
+        def labels(value: str, label: str) -> Column:
+            every = F.concat(_of(forth, "rows", value), F.when(F.col("near"), F.array(F.lit(label))).otherwise(empty))
+            return F.array_distinct(every) if mode.distinct else every
+
+        weight = F.coalesce("own_forth" if forth else "own_back", F.lit(0.0)) + F.coalesce("n_weight", F.lit(0.0))
+        ids = [F.concat(_of(forth, "rows", "chunk_id"), F.coalesce("chunk_ids", empty)).alias("chunk_ids")] if chunks else []
+        return [
+            F.col(source).alias("source"), F.col(target).alias("target"), *ids, labels("relationship", mode.proximity_label).alias("relationships"), weight.alias("weight"),
+            labels("description", mode.proximity_description).alias("descriptions"),
+        ]
+
+    return _ways(both, made)
+
+
+def summed_half(direct: DataFrame, half: DataFrame) -> DataFrame:
+    """``(source, target, weight)`` of ``merge_half``: merged edges with their weight alone."""
+    rows = direct.where("source is not null and target is not null").select(F.least(*_PAIR).alias("node_1"), F.greatest(*_PAIR).alias("node_2"), (F.col("source") <= F.col("target")).alias("forth"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    own = rows.select(*_ENDS, F.when(F.col("forth"), F.col("weight")).alias("forth"), F.when(~F.col("forth"), F.col("weight")).alias("back"))
+    near = half.select(*_ENDS, F.col("weight").alias("forth"), F.col("weight").alias("back"))
+    both = own.unionByName(near).groupBy(*_ENDS).agg(F.sum("forth").alias("own_forth"), F.sum("back").alias("own_back")).withColumn("near", F.lit(False))
+    return _ways(both, lambda forth, source, target: [F.col(source).alias("source"), F.col(target).alias("target"), F.col("own_forth" if forth else "own_back").alias("weight")])
+
+
 def rendered(edges: DataFrame, mode: Mode = DIRECTED) -> DataFrame:
     """Merged edges with their arrays as text, and a ``label``: the first relationship."""
     listed = [F.array_join("chunk_ids", ",").alias("chunk_id")] if "chunk_ids" in edges.columns else []
@@ -106,6 +164,17 @@ def merge_counts(direct: DataFrame, near: DataFrame, direct_count: int = 4, mode
     )
 
 
+def last_counts(direct: DataFrame, half: DataFrame, direct_count: int = 4, mode: Mode = NOTEBOOK, scale: float = 4.0) -> DataFrame:
+    """``(src, dst, title, weight)``: ``build.last_written`` of ``merge_counts``, from ``proximity.half``. Both directions of a pair meet in one row, of which the last written, from the greater end, stays if there is one."""
+    found = _folded(direct, "relationship").groupBy(*_ENDS).agg(*_sides(F.lit(1)), F.array_sort(F.collect_list(F.struct("ord", "relationship", "forth"))).alias("rows"))
+    both = found.join(half.select(*_ENDS, F.col("count").alias("near_count")), _ENDS, "full")
+    back = F.col("own_back").isNotNull() | F.col("near_count").isNotNull()
+    label = F.when(F.col("near_count").isNotNull(), F.array(F.lit(mode.proximity_label))).otherwise(F.array().cast("array<string>"))
+    title, own = (F.when(back, a).otherwise(b) for a, b in ((_of(False, "rows", "relationship"), _of(True, "rows", "relationship")), (F.col("own_back"), F.col("own_forth"))))
+    count = F.coalesce(own, F.lit(0)) * direct_count + F.coalesce("near_count", F.lit(0))
+    return both.select(F.col("node_1").alias("src"), F.col("node_2").alias("dst"), F.array_join(F.concat(title, label), mode.separator).alias("title"), (count.cast("long") / scale).alias("weight"))
+
+
 def top_edges(edges: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` heaviest edges; equal weights in order of their ends."""
     return edges.orderBy(F.desc("weight"), "source", "target").limit(n)

@@ -48,7 +48,7 @@ def merged_edges(relations: DataFrame, mode: Mode, chunks: bool = True) -> DataF
     """Direct and proximity edges merged to one per pair; without lists of chunks if told so (the notebook's have them always)."""
     if mode.name == NOTEBOOK.name:
         return merge.merge_counts(relations, proximity.proximity(relations, mode))
-    return merge.rendered(merge.merge(relations, proximity.proximity(relations, mode, chunks), mode, chunks), mode)
+    return merge.rendered(merge.merge_half(relations, proximity.half(relations, chunks), mode, chunks), mode)
 
 
 def directed_graph(relations: DataFrame, mode: Mode = DIRECTED, seed: int | None = None, communities: Communities = community.girvan_newman, chunks: bool = True) -> Graph:
