@@ -17,17 +17,19 @@ def _chance(weight: str, strength: str, degree: str):
     return F.when(F.col(degree) > 1, F.pow(1 - F.col(weight) / F.col(strength), F.col(degree) - 1)).otherwise(1.0)
 
 
-def disparity(edges: DataFrame, directed: bool = True) -> DataFrame:
+def disparity(edges: DataFrame, directed: bool = True, single: bool = False) -> DataFrame:
     """``(src, dst, weight, chance)`` of ``(src, dst, weight)``: the less of an edge's chances at its ends.
 
     Parallel edges add up. Edges with a null end, a null weight or one of 0 and less are left out. A directed edge is tested among those that leave its source
     and those that reach its target; an undirected one, given in either direction, among all at each end (a loop once).
+    ``single`` edges are known to have no parallels (in their direction, if directed), and aren't shuffled to be added up.
     """
     ends = ["src", "dst"]
     rows = edges.where("src is not null and dst is not null and weight > 0")
     if not directed:
         rows = rows.select(F.least(*ends).alias("src"), F.greatest(*ends).alias("dst"), "weight")
-    once = cut(rows.groupBy(*ends).agg(F.sum(F.col("weight").cast("double")).alias("weight")), "weights")
+    weight = F.col("weight").cast("double")
+    once = cut(rows.select(*ends, weight.alias("weight")) if single else rows.groupBy(*ends).agg(F.sum(weight).alias("weight")), "weights")
     sums = [F.sum("weight").alias("strength"), F.count("*").alias("degree")]
     if directed:
         of_end = {end: once.groupBy(end).agg(*sums) for end in ends}
@@ -41,6 +43,6 @@ def disparity(edges: DataFrame, directed: bool = True) -> DataFrame:
     return once.select(*ends, "weight", F.least(*chances).alias("chance"))
 
 
-def backbone(edges: DataFrame, level: float = 0.05, directed: bool = True) -> DataFrame:
+def backbone(edges: DataFrame, level: float = 0.05, directed: bool = True, single: bool = False) -> DataFrame:
     """The edges of ``disparity`` whose chance is under ``level``."""
-    return disparity(edges, directed).where(F.col("chance") < level)
+    return disparity(edges, directed, single).where(F.col("chance") < level)
