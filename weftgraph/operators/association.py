@@ -2,8 +2,7 @@
 
 Two nodes that are mentioned in many chunks meet in many of them by chance alone. The measures here compare the number of chunks that
 mention both with what the numbers for each would give: normalised pointwise mutual information, between -1 and 1, and the log-likelihood ratio,
-which tells how sure a deviation is. Each mention carries its node's number of chunks into the pairing, so that pairs, the largest table, are never joined to
-nodes.
+which tells how sure a deviation is. Only pairs that meet often enough are joined to the numbers of their nodes.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators import proximity
-from weftgraph.operators.proximity import lane, mentions
+from weftgraph.operators.proximity import mentions
 from weftgraph.storage import cut
 
 
@@ -36,13 +35,12 @@ def associations(relations: DataFrame, least: int = 2) -> DataFrame:
 
     A chunk counts once for a pair, however often it mentions them. Chunks that mention nothing don't count.
     """
-    once = cut(mentions(relations).select("chunk_id", "node"), "mentions")
-    of_node = once.groupBy("node").agg(F.count("*").alias("c"))
-    n = once.agg(F.count_distinct("chunk_id").cast("double").alias("n"))  # one row
-    marked = cut(once.join(of_node, "node").select("chunk_id", "node", F.col("c").cast("int").alias("c")), "marked")
-    a, b = (marked.select("chunk_id", F.col("node").alias(f"node_{k}"), F.col("c").alias(f"c_{k}")) for k in (1, 2))
-    joined = a.join(b, "chunk_id").where("node_1 < node_2").withColumn("lane", lane(F.col("node_2"), F.ceil(F.greatest("c_1", "c_2") / proximity.LANE)))
-    pairs = joined.repartition("node_1", "lane").groupBy("node_1", "lane", "node_2").agg(F.count("*").alias("n_chunks"), F.first("c_1").cast("double").alias("c_1"), F.first("c_2").cast("double").alias("c_2")).where(F.col("n_chunks") >= least)
+    once = proximity.blocks(mentions(relations).select("chunk_id", "node", F.lit(1).cast("long").alias("m")))
+    of_node = cut(once.select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count("*").cast("double").alias("c")), "spread")
+    n = once.agg(F.count_if(F.col("block") == 0).cast("double").alias("n"))  # one row
+    pairs = proximity.pairs_of(once, chunks=False, least=least).withColumnRenamed("count", "n_chunks")
+    for k in (1, 2):
+        pairs = pairs.join(of_node.select(F.col("node").alias(f"node_{k}"), F.col("c").alias(f"c_{k}")), f"node_{k}")
     both, c1, c2, total = F.col("n_chunks").cast("double"), F.col("c_1"), F.col("c_2"), F.col("n")
     return pairs.join(F.broadcast(n)).select("node_1", "node_2", "n_chunks", npmi(both, c1, c2, total).alias("npmi"), log_likelihood_ratio(both, c1, c2, total).alias("llr"))
 
