@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators import association, merge, proximity
 from weftgraph.operators.graph import backbone, build
 from weftgraph.schemas import DIRECTED, NOTEBOOK, PIPELINE
+from weftgraph.streaming import proximity as stream
 
 SCHEMA = "chunk_id string, source string, target string, relationship string, weight double, description string, ord long"
 
@@ -91,3 +92,17 @@ def test_associations_carry_no_numbers_of_nodes_through_the_pairs(spark):
         n.setdefault(c, set()).update(x for x in (a, b) if x is not None)
     both = Counter((a, b) for nodes in n.values() for a in nodes for b in nodes if a < b)
     assert {(r["node_1"], r["node_2"]): r["n_chunks"] for r in association.associations(small).collect()} == {p: k for p, k in both.items() if k > 1}
+
+
+def test_a_stream_writes_lists_as_they_are_shuffled(spark, tmp_path):
+    """As one text for each first node, with counts only where some aren't 1; names with line breaks as a list."""
+    lines = [("c1", "a", "b", 1), ("c1", "c", "d", 2), ("c2", "a", "a", 3), ("c2", "b", "x", 4), ("c3", "m\nn", "o", 5)]
+    for number in (0, 1):
+        part = spark.createDataFrame([x for x in lines if x[3] % 2 == number], "chunk_id string, source string, target string, key long")
+        stream.add_batch(part, str(tmp_path), number, "key")
+    written = spark.read.parquet(f"{tmp_path}/pairs").where("batch = 1")
+    found = sorted((r["node_1"], r["text"], r["plain"], r["counts"]) for r in written.where("text is not null").collect())
+    assert found == [("a", "b\nc\nd", None, None), ("a", "b\nx", None, [2, 2]), ("b", "c\nd", None, None)]
+    assert [(r["node_1"], r["plain"], r["counts"]) for r in written.where("text is null").collect()] == [("m\nn", ["o"], None)]
+    want = {("a", "b"): 3, ("a", "c"): 1, ("a", "d"): 1, ("a", "x"): 2, ("b", "c"): 1, ("b", "d"): 1, ("b", "x"): 1, ("c", "d"): 1, ("m\nn", "o"): 1}
+    assert {(r["node_1"], r["node_2"]): r["count"] for r in stream.totals(spark, str(tmp_path), 1).collect()} == want

@@ -24,7 +24,8 @@ from weftgraph.storage import cut, scratch
 
 #: A row of a relation has both its ends, ``node`` and ``other``; a sum of several rows has one.
 _MENTIONS = "chunk_id string, node string, other string, m long, batch long"
-_PAIRS = "node_1 string, near array<struct<node_2: string, count: bigint>>, batch long"
+#: Second nodes are one text, a line each, or ``plain`` where a name has a line break; ``counts`` is null where each counts once.
+_PAIRS = "node_1 string, text string, plain array<string>, counts array<bigint>, batch long"
 
 #: Nodes of a chunk whose pairs are made from one list; rows of a batch whose chunks are looked up by broadcast; rows of a bucket of chunks that are summed up before they meet; and buckets.
 SMALL, FEW, HOT, BUCKETS = 256, 100_000, 1_000_000, 1 << 14
@@ -78,7 +79,7 @@ def _bucket(key: str) -> Column:
 
 
 def _summed(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``(chunk_id, node, old, new, size)``, dealt by chunk; ``size`` is the number of the chunk's nodes."""
+    """``(chunk_id, node, old, new, size, upto)``, dealt by chunk; ``size`` is the number of the chunk's nodes, ``upto`` that of its new ones up to the node."""
     none = F.lit(0).cast("long")
     rows = old.select("chunk_id", "node", "other", F.col("m").alias("old"), none.alias("new")).unionByName(new.select("chunk_id", "node", "other", none.alias("old"), F.col("m").alias("new")))
     hot = [r["b"] for r in rows.groupBy(_bucket("chunk_id").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") > HOT).collect()]  # a chunk of very many rows is in one of few buckets
@@ -87,20 +88,27 @@ def _summed(old: DataFrame, new: DataFrame) -> DataFrame:
         named = _bucket("chunk_id").isin(hot)
         rows = rows.where(~named).unionByName(_ends(rows.where(named)).groupBy("chunk_id", "node").agg(*sums).withColumn("other", F.lit(None).cast("string")))
     every = _ends(rows.repartition("chunk_id")).groupBy("chunk_id", "node").agg(*sums)
-    return every.withColumn("size", F.count("*").over(Window.partitionBy("chunk_id")))
+    ordered = Window.partitionBy("chunk_id").orderBy("node")
+    size = F.count("*").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return every.withColumns({"size": size, "upto": F.count_if(F.col("new") > 0).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")})
 
 
 def _lists(summed: DataFrame) -> DataFrame:
-    """``(node_1, near)`` of each chunk: pairs of which one node is new."""
-    chunks = summed.groupBy("chunk_id").agg(F.collect_list(F.struct("node", "old", "new")).alias("every"), F.max("new").alias("most")).where("most > 0")
-    first = chunks.select("every", F.inline("every")).withColumnsRenamed({"node": "node_1", "old": "old_1", "new": "new_1"})
-    after = F.filter("every", lambda x: (x["node"] > F.col("node_1")) & ((F.col("new_1") > 0) | (x["new"] > 0)))
-    times = lambda x: F.col("new_1") * (x["old"] + x["new"]) + F.col("old_1") * x["new"]
-    return first.select("node_1", F.transform(after, lambda x: F.struct(x["node"].alias("node_2"), times(x).alias("count"))).alias("near")).where(F.size("near") > 0)
+    """``(node_1, text, plain, counts)`` of each chunk: pairs of which one node is new. A new node takes all nodes after it, another one the new ones after it: slices of lists in order, compared with nothing."""
+    row = F.struct("node", "old", "new", "upto")
+    lists = [F.sort_array(F.collect_list(x)).alias(name) for name, x in (("every", row), ("added", F.when(F.col("new") > 0, row)))]
+    chunks = summed.groupBy("chunk_id").agg(*lists, F.max(F.col("old") + F.col("new")).alias("most")).where(F.size("added") > 0)
+    chunks = chunks.select("every", "added", "most", F.array_join("every.node", "").contains("\n").alias("odd"))
+    first = chunks.select("every", "added", "most", "odd", F.posexplode("every").alias("at", "one"))
+    after = F.when(F.col("one.new") > 0, F.slice("every", F.col("at") + 2, F.size("every"))).otherwise(F.slice("added", F.col("one.upto") + 1, F.size("every")))
+    found = first.select("one", "most", "odd", after.alias("near")).where(F.size("near") > 0)
+    times = F.transform("near", lambda x: F.col("one.new") * (x["old"] + x["new"]) + F.col("one.old") * x["new"])
+    names = F.col("near.node")
+    return found.select(F.col("one.node").alias("node_1"), F.when(~F.col("odd"), F.array_join(names, "\n")).alias("text"), F.when(F.col("odd"), names).alias("plain"), F.when(F.col("most") > 1, times).alias("counts"))
 
 
 def _singly(pairs: DataFrame) -> DataFrame:
-    return pairs.select("node_1", F.array(F.struct("node_2", "count")).alias("near"))
+    return pairs.select("node_1", F.lit(None).cast("string").alias("text"), F.array("node_2").alias("plain"), F.array("count").alias("counts"))
 
 
 def add_batch(relations: DataFrame, table: str, number: int, key: str | None = None) -> None:
@@ -153,19 +161,21 @@ def compact(spark: SparkSession, table: str, into: str, last: int) -> None:
 
 
 def _total(lists: DataFrame, least: int) -> DataFrame:
-    """``(node_1, node_2, count)``. Lists are dealt by first node, those of nodes with very many by their second nodes too; what counts once goes as one text, in a third of the bytes of pairs."""
+    """``(node_1, node_2, count)``. Lists are dealt by first node as they were written, those of nodes with very many by their second nodes too."""
+    lists = lists.select("node_1", "text", "plain", "counts")
     crowd = lists.groupBy(_bucket("node_1").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") > LANE).select("b", F.ceil(F.col("n") / LANE).cast("int").alias("lanes"))
-    dealt = lists.withColumn("b", _bucket("node_1")).join(F.broadcast(crowd), "b", "left").withColumn("lanes", F.coalesce("lanes", F.lit(1)))
-    dealt = dealt.select("node_1", "near", "lanes", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"))
-    near = F.when(F.col("lanes") == 1, F.col("near")).otherwise(F.filter("near", lambda x: lane(x["node_2"], F.col("lanes")) == F.col("lane")))
-    plain = lambda x: (x["count"] == 1) & ~x["node_2"].contains("\n")
-    once, rest = F.transform(F.filter("near", plain), lambda x: x["node_2"]), F.filter("near", lambda x: ~plain(x))
-    sent = dealt.select("node_1", "lane", near.alias("near")).where(F.size("near") > 0)
-    sent = sent.select("node_1", "lane", F.when(F.size(once) > 0, F.array_join(once, "\n")).alias("once"), F.when(F.size(rest) > 0, rest).alias("rest")).repartition("node_1", "lane")
-    names = F.transform(F.split("once", "\n", -1), lambda x: F.struct(x.alias("node_2"), F.lit(1).cast("long").alias("count")))
-    none = F.array().cast("array<struct<node_2: string, count: bigint>>")
-    found = sent.select("node_1", "lane", F.inline(F.concat(F.coalesce(names, none), F.coalesce("rest", none))))
-    return found.groupBy("node_1", "lane", "node_2").agg(F.sum("count").alias("count")).where(F.col("count") >= least).drop("lane")
+    names, key = F.coalesce("plain", F.split("text", "\n", -1)), ["node_1"]
+    if not crowd.isEmpty():
+        key = ["node_1", "lane"]
+        dealt = lists.withColumn("b", _bucket("node_1")).join(F.broadcast(crowd), "b", "left").withColumn("lanes", F.coalesce("lanes", F.lit(1)))
+        dealt = dealt.select("node_1", "text", "plain", "counts", "lanes", F.when(F.col("lanes") > 1, names).alias("near"), F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"))
+        here, several = lambda x: lane(x, F.col("lanes")) == F.col("lane"), F.col("lanes") > 1
+        counts = F.when(several, F.filter("counts", lambda _, i: here(F.get("near", i)))).otherwise(F.col("counts")).alias("counts")
+        lists = dealt.select(*key, F.when(~several, F.col("text")).alias("text"), F.when(several, F.filter("near", here)).otherwise(F.col("plain")).alias("plain"), counts)
+    sent = lists.repartition(*key)
+    found = sent.select(*key, "counts", F.posexplode(names).alias("at", "node_2"))
+    count = F.coalesce(F.get("counts", F.col("at")), F.lit(1).cast("long"))
+    return found.select(*key, "node_2", count.alias("n")).groupBy(*key, "node_2").agg(F.sum("n").alias("count")).where(F.col("count") >= least).drop("lane")
 
 
 def totals(spark: SparkSession, table: str, least: int = 2) -> DataFrame:
